@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe_automaton, quality_rules, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +18,25 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(*names)
+
+
+def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_automaton.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe_automaton.digests(coded)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op5_host_quality_rules": op5_host_quality_rules,
+        "op7_bpe_automaton": op7_bpe_automaton,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_host_quality_rules": quality_rules.ORACLE_SQL,
+    }
