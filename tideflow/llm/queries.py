@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, quality_rules, simhash
+from . import bpe_automaton, quality_rules, simhash, wavelet_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +28,17 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(coded)
 
 
+def op8_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = wavelet_store.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return wavelet_store.read_documents(manifest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_host_quality_rules": op5_host_quality_rules,
         "op7_bpe_automaton": op7_bpe_automaton,
+        "op8_wavelet_token_files": op8_wavelet_token_files,
     }
 
 
