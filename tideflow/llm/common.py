@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -72,3 +73,15 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if chained.isEmpty() and doubled.isEmpty():
             return edges.selectExpr("a AS node", "b AS label").unionByName(edges.selectExpr("b AS node", "b AS label").distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished phases, which it does once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, quality_rules, simhash, wavelet_store
+from . import bpe_automaton, quality_rules, simhash, suffix_family, wavelet_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +33,17 @@ def op8_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_store.read_documents(manifest)
 
 
+def op10_suffix_family_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_family.digests(suffix_family.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_host_quality_rules": op5_host_quality_rules,
         "op7_bpe_automaton": op7_bpe_automaton,
         "op8_wavelet_token_files": op8_wavelet_token_files,
+        "op10_suffix_family_dedup": op10_suffix_family_dedup,
     }
 
 
