@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, quality_rules, simhash, suffix_family, wavelet_store
+from . import bpe_automaton, quality_rules, simhash, suffix_family, url_filter, wavelet_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op8_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_store.read_documents(manifest)
 
 
+def op9_url_range_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+    return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(rules, "host string, path string, verdict string"))
+
+
 def op10_suffix_family_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_family.digests(suffix_family.remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -43,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_host_quality_rules": op5_host_quality_rules,
         "op7_bpe_automaton": op7_bpe_automaton,
         "op8_wavelet_token_files": op8_wavelet_token_files,
+        "op9_url_range_rules": op9_url_range_rules,
         "op10_suffix_family_dedup": op10_suffix_family_dedup,
     }
 
@@ -50,4 +56,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_host_quality_rules": quality_rules.ORACLE_SQL,
+        "op9_url_range_rules": url_filter.ORACLE_SQL,
     }
