@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, quality_rules, simhash, suffix_family, url_filter, wavelet_store
+from . import ann_search, bpe_automaton, quality_rules, simhash, suffix_family, url_filter, wavelet_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op5_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(*names)
 
 
+def op6_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_automaton.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return bpe_automaton.digests(coded)
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_host_quality_rules": op5_host_quality_rules,
+        "op6_multiprobe_ann": op6_multiprobe_ann,
         "op7_bpe_automaton": op7_bpe_automaton,
         "op8_wavelet_token_files": op8_wavelet_token_files,
         "op9_url_range_rules": op9_url_range_rules,
