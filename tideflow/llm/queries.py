@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_search, bpe_automaton, quality_rules, simhash, suffix_family, url_filter, wavelet_store
+from . import ann_search, bpe_automaton, quality_rules, simhash, source_mix, suffix_family, url_filter, wavelet_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents"), source_mix.WEIGHTS, source_mix.REST_WEIGHT).select("doc_id", "source", "block", "slot")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_suffix_family_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_pfair_mix": op3_pfair_mix,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_host_quality_rules": op5_host_quality_rules,
         "op6_multiprobe_ann": op6_multiprobe_ann,
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_pfair_mix": source_mix.ORACLE_SQL,
         "op5_host_quality_rules": quality_rules.ORACLE_SQL,
         "op9_url_range_rules": url_filter.ORACLE_SQL,
     }
