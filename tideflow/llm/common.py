@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a batch that are held as Python objects at a time.
@@ -85,3 +85,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder that nothing reads any more."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fold_of(id_col: str, folds: int) -> Column:
+    """CRC-32 of the id as text (empty for null), modulo ``folds``."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, folds: int, held_out_fold: int, max_rows: int) -> DataFrame:
+    """``(label, text)`` of at most ``max_rows`` labelled documents outside the held-out fold, chosen by a hash of the id."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
+    known = known.where(fold_of("id", folds) != held_out_fold)
+    share = min(1.0, max_rows / max(1, known.count()))
+    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_rows)
+    # At most max_rows rows of two numbers.
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")

@@ -7,13 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_search, bpe_automaton, quality_rules, simhash, source_mix, suffix_family, url_filter, wavelet_store
+from . import ann_search, boosted_quality, bpe_automaton, counterfactual_toxicity, quality_rules, simhash, source_mix, suffix_family, url_filter, wavelet_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosted_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counterfactual_toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"), source_mix.WEIGHTS, source_mix.REST_WEIGHT).select("doc_id", "source", "block", "slot")
 
@@ -52,6 +60,8 @@ def op10_suffix_family_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_boosted_quality": op1_boosted_quality,
+        "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
         "op3_pfair_mix": op3_pfair_mix,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_host_quality_rules": op5_host_quality_rules,
