@@ -12,15 +12,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, materialise, shared_dir, utf8
+from .common import materialise, shared_dir
 
 _MAGIC = b"TFWM0001"
+_SLICE_ROWS = 4096
+#: Tails: any ASCII punctuation but the apostrophe, which may begin a contraction.
+_WORD_AND_TAIL = r"""(?s)^(?P<word>.*?)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"""
 
 
 class WaveletMatrix:
@@ -37,7 +41,7 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, x = [], np.ascontiguousarray(ids)
         for level in range(bits - 1, -1, -1):
-            ones = (x >> level & 1).astype(bool)
+            ones = (x & x.dtype.type(1 << level)) != 0
             packed = np.packbits(ones, bitorder="little")
             planes.append(np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]).view(np.uint64))
             x = np.concatenate([x[~ones], x[ones]])
@@ -171,8 +175,8 @@ class ChunkEncoder:
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known_cap, self.joined = known_cap, joined
-        self.known: dict[bytes, bytes] = {}
-        self.former: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
         return [np.array(c.ids, self.dtype).tobytes() for c in self.lib.encode_batch_fast(words, add_special_tokens=False)]
@@ -192,40 +196,48 @@ class ChunkEncoder:
                 at = cut
         return out
 
-    def _learn(self, chunks: set[bytes]) -> None:
+    def _packed(self, chunks: pa.StringArray) -> list[bytes]:
+        """The packed ids of distinct chunks."""
+        cut = pc.extract_regex(chunks, _WORD_AND_TAIL)
+        word, tail = cut.field("word"), cut.field("tail").dictionary_encode()
+        # Up to U+012F every letter has one letter as its lower case; words with others are left as they are.
+        word = pc.if_else(pc.match_substring_regex(word, r"[^\x00-\x{12F}]"), word, pc.utf8_lower(word)).dictionary_encode()
+        # U+0130 becomes more than a letter in lower case, and that would run into the tail.
+        plain = pc.and_(pc.utf8_is_alpha(word.dictionary), pc.invert(pc.match_substring(word.dictionary, "\u0130"))).to_numpy(zero_copy_only=False).tolist()
+        names, at = word.dictionary.to_numpy(zero_copy_only=False).tolist(), word.indices.to_numpy().tolist()
+        tails, tail_at = tail.dictionary.to_pylist(), tail.indices.to_numpy().tolist()
         known, former = self.known, self.former
+        new = [w for w, p in zip(names, plain, strict=True) if p and w not in known]
+        old = [w for w in new if w in former]
+        known.update(zip(old, map(former.__getitem__, old), strict=True))
+        if old:
+            new = [w for w in new if w not in known]
+        known.update(zip(new, self._words(new), strict=True))
+        whole = [k for k, i in enumerate(at) if not plain[i]]
+        others = [chunks[k].as_py() for k in whole]
+        new = [c for c in {*others, *tails} if c not in known]
+        known.update(zip(new, self._one_by_one(new), strict=True))
+        ids, ends = [known[w] if p else b"" for w, p in zip(names, plain, strict=True)], [known[t] for t in tails]
+        out = [ids[i] + ends[k] for i, k in zip(at, tail_at, strict=True)]
+        for k, c in zip(whole, others, strict=True):
+            out[k] = known[c]
         if len(known) > self.known_cap:
-            former = self.former = known
-            known = self.known = {}
-        words, others, closed = [], [], []
-        for chunk in chunks:
-            if (ids := former.get(chunk)) is not None:
-                known[chunk] = ids
-                continue
-            word = chunk.rstrip(b".,;:!?")
-            if not (word.decode().isalpha() and word.decode().lower().isalpha()):
-                others.append(chunk)
-            elif len(word) < len(chunk):
-                closed.append((chunk, word))
-            else:
-                words.append(chunk)
-        ends = {c[len(w) :] for c, w in closed} - known.keys()
-        others += ends - set(others)
-        words += {w for _, w in closed} - known.keys() - set(words)
-        known.update(zip(words, self._words([w.decode() for w in words]), strict=True))
-        known.update(zip(others, self._one_by_one([o.decode() for o in others]), strict=True))
-        for chunk, word in closed:
-            known[chunk] = known[word] + known[chunk[len(word) :]]
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """The packed ids of each text."""
-        chunks = [(t or b"").split() for t in texts]
-        every = set().union(*chunks)
-        if len(self.known) > self.known_cap:
-            self._learn(every)
-        elif missing := every - self.known.keys():
-            self._learn(missing)
-        return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
+            self.former, self.known = known, {}
+        return out
+
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """The packed ids of each text: split into chunks, coded by distinct chunk, and put together again."""
+        chunks = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = chunks.flatten().dictionary_encode()
+        packed, at = self._packed(coded.dictionary), coded.indices.to_numpy()
+        size = np.dtype(self.dtype).itemsize
+        pool, sizes = np.frombuffer(b"".join(packed), self.dtype), np.fromiter(map(len, packed), np.int64, len(packed)) // size
+        begins = np.cumsum(sizes) - sizes
+        ends = np.cumsum(sizes[at]) if len(at) else np.zeros(0, np.int64)
+        before = np.concatenate([[0], ends])
+        ids = pool[np.repeat(begins[at] - before[:-1], sizes[at]) + np.arange(before[-1])] if len(at) else pool[:0]
+        cuts, data = (before[chunks.offsets.to_numpy()] * size).tolist(), ids.tobytes()
+        return [data[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -265,10 +277,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str | None = Non
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [path], "n_docs": [len(held)], "n_tokens": [sum(lengths)]})
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                rows = batch.slice(lo, SLICE_ROWS)
+            for lo in range(0, batch.num_rows, _SLICE_ROWS):
+                rows = batch.slice(lo, _SLICE_ROWS)
                 ids.append(rows.column(0))
-                held += [x + end for x in coder.encode(utf8(rows.column(1)))]
+                held += [x + end for x in coder.encode(rows.column(1))]
                 held_tokens += sum(map(len, held[-rows.num_rows :])) // np.dtype(coder.dtype).itemsize
                 if held_tokens >= shard_tokens:
                     yield flush()
@@ -301,5 +313,6 @@ def read_documents(manifest: DataFrame, id_type: str = "bigint", id_col: str = "
                 sums = [zlib.crc32(ids[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"id": table.column(0), "start": pa.array(start + ends - lengths), "n_tokens": table.column(1), "ids_crc32": pa.array(sums, pa.int64())})
 
-    spread = manifest.select("path", "start").repartition("path")
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = manifest.select("path", "start").repartition(n, "path")  # a number, or few small rows would go to one task
     return spread.mapInArrow(run, f"id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint").withColumnRenamed("id", id_col)
