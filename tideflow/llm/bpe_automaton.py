@@ -173,9 +173,11 @@ def automaton(path: str) -> Automaton:
     return Automaton(path)
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(id, ids ARRAY<INT>, decoded)`` of every whole text: its token ids, and the text decoded from those.
 
+    Columns named in ``keep`` are passed on.
+
     ``path``: a byte-level BPE file of the tokenizers library, readable on every executor. Null and
     empty texts have no ids and decode to the empty text. Rows are mapped one by one, without a
     shuffle: repeated rows repeat, an empty table stays empty.
@@ -186,11 +188,12 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         ids = [auto.encode(t) for t in part.column(1).to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
         values = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
-        return {"id": part.column(0), "ids": pa.ListArray.from_arrays(pa.array(offsets), values), "decoded": pa.array([auto.decode(x) for x in ids], pa.string())}
+        return {"__id": part.column(0), "ids": pa.ListArray.from_arrays(pa.array(offsets), values), "decoded": pa.array([auto.decode(x) for x in ids], pa.string())} | {c: part.column(2 + i) for i, c in enumerate(keep)}
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_slices(src, run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, *keep)}
+    src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *keep)
+    passed = "".join(f", `{c}` {kinds[c]}" for c in keep)
+    return map_slices(src, run, f"__id {kinds[id_col]}, ids array<int>, decoded string{passed}").withColumnRenamed("__id", id_col)
 
 
 def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of a batch that are held as Python objects at a time.
 SLICE_ROWS = 512
@@ -31,7 +32,7 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], schema: str) -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` in slices of ``SLICE_ROWS`` rows; ``fn`` returns the columns of the output rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

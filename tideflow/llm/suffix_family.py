@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_path, map_slices, materialise, release, shared_dir, utf8
@@ -71,10 +71,16 @@ def _anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     return h[at[first]], at[first], starts[first], starts[last]
 
 
+def _identity(id_: Column, text: Column) -> tuple[Column, Column]:
+    """``row`` and ``mark``, 79 bits of hash: they tell rows apart where id or text differ."""
+    return F.xxhash64(id_, text), F.hash(text, id_).bitwiseAND(F.lit(0x7FFF)).cast("bigint")
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, text, row, mark)``; the last two, 79 bits of hash, tell rows apart where id or text differ."""
+    """``(id, text, row, mark)`` of every document; a null text is empty."""
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return src.withColumn("row", F.xxhash64("id", "text")).withColumn("mark", F.hash("text", "id").bitwiseAND(F.lit(0x7FFF)).cast("bigint"))
+    row, mark = _identity(F.col("id"), F.col("text"))
+    return src.withColumns({"row": row, "mark": mark})
 
 
 def suffixes(keyed: DataFrame, length: int) -> DataFrame:
@@ -244,6 +250,17 @@ def repeated_starts(docs: DataFrame, id_col: str, text_col: str, length: int = 2
     return whole.unionByName(parts)
 
 
+def _runs(starts: list[dict[str, int]] | None, length: int) -> list[list[int]]:
+    """The maximal runs of bytes in strings that begin at ``starts``."""
+    runs: list[list[int]] = []
+    for lo, hi in sorted((s["lo"], s["hi"] + length) for s in starts or ()):
+        if runs and lo <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], hi)
+        else:
+            runs.append([lo, hi])
+    return runs
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batches: int = 2, crowd: int = 20_000) -> DataFrame:
     """One row for each document: id, ``n_bytes``, ``spans ARRAY<STRUCT<lo, hi>>`` and ``kept BINARY``.
 
@@ -259,12 +276,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(part: pa.RecordBatch) -> dict[str, object]:
         spans, kept, sizes = [], [], []
         for text, starts in zip(utf8(part.column(1)), part.column(2).to_pylist(), strict=True):
-            runs: list[list[int]] = []
-            for lo, hi in sorted((s["lo"], s["hi"] + length) for s in starts or ()):
-                if runs and lo <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], hi)
-                else:
-                    runs.append([lo, hi])
+            runs = _runs(starts, length)
             at, left = 0, []
             for lo, hi in runs:
                 left.append(text[at:lo])
@@ -280,6 +292,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return map_slices(texts, cut, f"id {kind}, n_bytes bigint, spans array<struct<lo: bigint, hi: bigint>>, kept binary").withColumnRenamed("id", id_col)
 
 
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", length: int = 200, batches: int = 2, crowd: int = 20_000) -> DataFrame:
+    """``docs`` with the repeated strings of ``remove_repeats`` cut out of the texts, and ``size_col`` counted anew where there is one.
+
+    Characters that lose some of their bytes to a cut go wholly. No document goes; a text that lost
+    everything is empty, a null text stays null.
+    """
+    starts = repeated_starts(docs, id_col, text_col, length, batches, crowd)
+    listed = starts.groupBy("row", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("starts")).select(F.col("row").alias("__row"), F.col("mark").alias("__mark"), F.col("starts").alias("__starts"))
+    row, mark = _identity(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    marked = docs.withColumns({"__row": row, "__mark": mark}).join(listed, ["__row", "__mark"], "left").drop("__row", "__mark")
+    place, starts_at, kinds = docs.columns.index(text_col), len(docs.columns), docs.schema
+
+    def run(part: pa.RecordBatch) -> dict[str, object]:
+        texts = part.column(place).to_pylist()
+        for i, starts in enumerate(part.column(starts_at).to_pylist()):
+            if starts:
+                data, at, left = texts[i].encode(), 0, []
+                for lo, hi in _runs(starts, length):
+                    left.append(data[at:lo].decode("utf-8", "ignore"))
+                    at = hi
+                texts[i] = "".join([*left, data[at:].decode("utf-8", "ignore")])
+        out = {f.name: part.column(i) for i, f in enumerate(kinds)} | {text_col: pa.array(texts, pa.string())}
+        if size_col in out:
+            out[size_col] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(part.schema.field(size_col).type)
+        return out
+
+    return map_slices(marked, run, kinds)
+
+
 def digests(cut: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept_sha256)`` of the rows of ``remove_repeats``."""
     return cut.select(id_col, "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
