@@ -101,8 +101,10 @@ def fill_missing(df: DataFrame, series_cols: Sequence[str] = (), columns: Sequen
     """Nulls of numeric columns get the last value before, else the first after, else 0, within the series."""
     names = list(columns) if columns is not None else [c for c in numeric_columns(df) if c not in series_cols]
     w = in_series(series_cols)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.last(c, True).over(before), F.first(c, True).over(after), F.lit(0).cast(df.schema[c].dataType)) for c in names})
+    # Only the head of a series has nothing before it, and there the first value after is the first of all:
+    # a frame of the whole series is aggregated once, one from each row to the end would be at every row.
+    before, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.withColumns({c: F.coalesce(F.last(c, True).over(before), F.first(c, True).over(whole), F.lit(0).cast(df.schema[c].dataType)) for c in names})
 
 
 def fill_calendar(daily: DataFrame, series_cols: Sequence[str] = ()) -> DataFrame:
