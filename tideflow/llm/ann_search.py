@@ -67,13 +67,16 @@ def _usable(v: Column, dim: int) -> Column:
 
 def _ranked(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """The k best of ``found(query, uid, score)``, with the ids that share each vector."""
-    each = found.dropDuplicates(["query", "uid"]).join(members, "uid").select("query", F.explode("ids").alias("vec_id"), "score").where("query != vec_id")
+    # The k + 1 best vectors hold the k best ids but the query's own: each has an id that goes before those of the rest.
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "uid")
+    vectors = found.dropDuplicates(["query", "uid"]).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    each = vectors.join(members, "uid").select("query", F.explode("ids").alias("vec_id"), "score").where("query != vec_id")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", dim: int | None = None,
-           tables: int = 8, projections: int = 6, width: float = 1.6, probes: int = 60, seed: int = 6, block_rows: int = 4096, block_queries: int = 20_000) -> DataFrame:
+           tables: int = 8, projections: int = 6, width: float = 1.6, probes: int = 60, seed: int = 6, block_rows: int = 8192, block_queries: int = 20_000) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each row whose id is divisible by ``every``.
 
     Candidates are all rows but the query's own; nearness is the cosine in double precision. Vectors
@@ -151,7 +154,11 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
                 i, j = np.nonzero(np.isfinite(np.take_along_axis(rough, best, 1)))
                 e = best[i, j]
                 score = (q[lo + i] * x[e]).sum(1) / (q_norm[lo + i] * x_norm[e])
-                out.append((query[lo + i], uid[e], score))
+                exact = np.full(best.shape, -np.inf)
+                exact[i, j] = score
+                m = min(k + 1, n)
+                near = score >= np.partition(exact, n - m, axis=1)[i, n - m]  # the k + 1 best, and their equals
+                out.append((query[lo + i][near], uid[e][near], score[near]))
         cat = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)]
         return pa.table({"query": pa.array(cat[0].astype(np.int64)), "uid": pa.array(cat[1].astype(np.int64)), "score": pa.array(cat[2].astype(float))})
 
