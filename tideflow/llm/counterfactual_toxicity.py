@@ -22,8 +22,8 @@ IDENTITY_TERMS = (
 
 
 def _marks(word: str) -> tuple[str, ...]:
-    """What a word counts as: itself, and its first five and four letters, which inflections share."""
-    return (f"={word}", *(f"{k}{word[:k]}" for k in (5, 4) if len(word) >= k))
+    """What a word counts as: itself, and its first four to seven letters, which inflections share."""
+    return (f"={word}", *(f"{k}{word[:k]}" for k in (7, 6, 5, 4) if len(word) >= k))
 
 
 def _distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -56,7 +56,7 @@ class Model:
         names, words, owner = _distinct_words(texts)
         get, found, of = self.marks.get, [], []
         for i, n in enumerate(names):
-            for m in (f"={n}", f"5{n[:5]}" if len(n) > 4 else "", f"4{n[:4]}" if len(n) > 3 else ""):
+            for m in _marks(n):
                 if (k := get(m)) is not None:
                     found.append(k)
                     of.append(i)
@@ -73,7 +73,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, swaps: list[np.ndarray], signs: list[np.ndarray], k: int, ridge: float = 2e-4, fairness: float = 5.0, steps: int = 400, rate: float = 0.5) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], y: np.ndarray, swaps: list[np.ndarray], signs: list[np.ndarray], k: int, ridge: float = 1e-5, fairness: float = 5.0, steps: int = 400, rate: float = 0.5) -> tuple[np.ndarray, float]:
     """Weights and base of the logistic loss over texts' marks, with a penalty on counterfactual pairs.
 
     ``swaps`` and ``signs`` have, for each text and swapped identity term, the marks gained (+1) and

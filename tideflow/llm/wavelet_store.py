@@ -279,12 +279,18 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str | None = Non
         for batch in batches:
             for lo in range(0, batch.num_rows, _SLICE_ROWS):
                 rows = batch.slice(lo, _SLICE_ROWS)
-                ids.append(rows.column(0))
-                held += [x + end for x in coder.encode(rows.column(1))]
-                held_tokens += sum(map(len, held[-rows.num_rows :])) // np.dtype(coder.dtype).itemsize
-                if held_tokens >= shard_tokens:
-                    yield flush()
-                    ids, held, held_tokens, seq = [], [], 0, seq + 1
+                coded, at = [x + end for x in coder.encode(rows.column(1))], 0
+                while at < len(coded):
+                    to = at
+                    while to < len(coded) and held_tokens < shard_tokens:
+                        held_tokens += len(coded[to]) // np.dtype(coder.dtype).itemsize
+                        to += 1
+                    ids.append(rows.column(0).slice(at, to - at))
+                    held += coded[at:to]
+                    at = to
+                    if held_tokens >= shard_tokens:
+                        yield flush()
+                        ids, held, held_tokens, seq = [], [], 0, seq + 1
         if held:
             yield flush()
 
