@@ -97,7 +97,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
     """``(label, text)`` of at most ``max_rows`` labelled documents outside the held-out fold, chosen by a hash of the id."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
     known = known.where(fold_of("id", folds) != held_out_fold)
-    share = min(1.0, max_rows / max(1, known.count()))
+    total = known.count()
+    # A little under the bound, so that the limit, which may take any rows, does not bite.
+    share = 1.0 if total <= max_rows else 0.95 * max_rows / total
     chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_rows)
     # At most max_rows rows of two numbers.
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
