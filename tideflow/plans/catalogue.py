@@ -213,9 +213,9 @@ def fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.filled(spark, sf_dir).select("date", *(F.round(c, 9).alias(c) for c in _RATES))
 
 
-@_register(with_views("rated") + f"SELECT CAST(date_trunc('month', date) + INTERVAL 1 MONTH AS DATE) AS month, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _RATES)} FROM rated GROUP BY 1")
+@_register(with_views("rated") + f"SELECT CAST(date_trunc('month', date) + INTERVAL 1 MONTH AS DATE) AS month, {', '.join(f'round(avg({c}), {9 if c[0] == "m" else 6}) AS {c}' for c in _RATES)} FROM rated GROUP BY 1")
 def prev_month_exog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.previous_month_means(views.rated(spark, sf_dir), _RATES).select("month", *(F.round(c, 6).alias(c) for c in _RATES))
+    return features.previous_month_means(views.rated(spark, sf_dir), _RATES).select("month", *(F.round(c, 9 if c[0] == "m" else 6).alias(c) for c in _RATES))
 
 
 @_register(with_views("daily") + "SELECT " + ", ".join(f"round(quantile_cont({t}, {q}), 4) AS {t}_{n}" for t in T for n, q in (("lo", 0.01), ("hi", 0.99))) + " FROM daily")
