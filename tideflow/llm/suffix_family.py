@@ -32,6 +32,8 @@ _TABLE = np.random.default_rng(10).integers(0, 2**63, 256, dtype=np.uint64) * np
 _BASE = 0x9E3779B97F4A7C15
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
+#: Bytes of text that are hashed together; a longer text is taken alone.
+_AT_A_TIME = 1 << 19
 
 
 def _hashes(data: np.ndarray) -> np.ndarray:
@@ -86,18 +88,27 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def suffixes(keyed: DataFrame, length: int) -> DataFrame:
     """``(row, place, key, context)`` of each anchor; ``place`` packs mark, first start, number of starts less 1, and bytes before the anchor."""
 
-    def run(part: pa.RecordBatch) -> dict[str, object]:
-        texts, rows, marks = utf8(part.column(0)), part.column(1).to_numpy(), part.column(2).to_numpy()
+    def some(texts: list[bytes], rows: np.ndarray, marks: np.ndarray) -> list[np.ndarray]:
         ends = np.cumsum([len(t) for t in texts])
         raw = b"".join(texts)
-        if len(raw) < length:
-            return {"row": pa.array([], pa.int64()), "place": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "context": pa.array([], pa.int64())}
         key, at, first, last = _anchors(np.frombuffer(raw, np.uint8), ends, length)
         doc = np.searchsorted(ends, first, "right")
         begin = np.concatenate([[0], ends])[doc]
         context = np.fromiter(map(xxhash.xxh3_64_intdigest, (raw[i:j] for i, j in zip(first.tolist(), (last + length).tolist(), strict=True))), np.uint64, len(first))
         place = marks[doc] << 48 | (first - begin) << 16 | (last - first) << 8 | (at - first)
-        return {"row": rows[doc], "place": place, "key": key.view(np.int64), "context": context.view(np.int64)}
+        return [rows[doc], place, key.view(np.int64), context.view(np.int64)]
+
+    def run(part: pa.RecordBatch) -> dict[str, object]:
+        texts, rows, marks = utf8(part.column(0)), part.column(1).to_numpy(), part.column(2).to_numpy()
+        out, lo = [[np.zeros(0, np.int64)] * 4], 0
+        while lo < len(texts):  # the arrays take some hundred bytes for each byte of text
+            hi, held = lo + 1, len(texts[lo])
+            while hi < len(texts) and held + len(texts[hi]) <= _AT_A_TIME:
+                held += len(texts[hi])
+                hi += 1
+            out.append(some(texts[lo:hi], rows[lo:hi], marks[lo:hi]))
+            lo = hi
+        return dict(zip(("row", "place", "key", "context"), map(np.concatenate, zip(*out, strict=True)), strict=True))
 
     return map_slices(keyed.where(F.octet_length("text") >= length).select("text", "row", "mark"), run, "row bigint, place bigint, key bigint, context bigint")
 
@@ -234,13 +245,13 @@ def repeated_starts(docs: DataFrame, id_col: str, text_col: str, length: int = 2
     wanted = several.groupBy("row", "mark").agg(F.collect_list(F.struct("place", "key", "n_contexts")).alias("anchors"))
 
     def cut(part: pa.RecordBatch) -> dict[str, object]:
-        out = []
-        for text, row, anchors in zip(utf8(part.column(0)), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-            for a in anchors:
-                s = a["place"] >> 16 & 0xFFFFFFFF
-                out.append((a["key"], a["n_contexts"], row, a["place"], text[s : s + (a["place"] >> 8 & 0xFF) + length]))
-        names = ("key", "n_contexts", "row", "place", "bytes")
-        return {n: pa.array([r[i] for r in out], pa.binary() if n == "bytes" else pa.int64()) for i, n in enumerate(names)}
+        texts, anchors = utf8(part.column(0)), part.column(2)
+        owner = np.repeat(np.arange(len(texts)), anchors.value_lengths().to_numpy())
+        place, key, n = (anchors.flatten().field(i).to_numpy() for i in range(3))
+        first = place >> 16 & 0xFFFFFFFF
+        ends = first + (place >> 8 & 0xFF) + length
+        parts = [texts[o][i:j] for o, i, j in zip(owner.tolist(), first.tolist(), ends.tolist(), strict=True)]
+        return {"key": key, "n_contexts": n, "row": part.column(1).to_numpy()[owner], "place": place, "bytes": pa.array(parts, pa.binary())}
 
     texts = keyed.select("text", "row", "mark").join(wanted, ["row", "mark"]).select("text", "row", "anchors")
     contexts = materialise(map_slices(texts, cut, "key bigint, n_contexts bigint, row bigint, place bigint, bytes binary"))
