@@ -299,6 +299,15 @@ def test_quality_classifier(spark, data_dir, none):
     assert boosted_quality.score_quality(none, labels).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 90, 600, 3999, 4000, 20000])
+def test_top_word_counts_all_words(n):
+    filler = [f"w{i}" for i in range(n)]
+    for words in (["again"] * n, ["again"] * (n // 3) + filler[n // 3 :], [w if i % 2 else "again" for i, w in enumerate(filler)], [w if i % 7 else "again" for i, w in enumerate(filler)]):
+        found = dict(zip(boosted_quality.FEATURES, boosted_quality.statistics(" ".join(words).encode()), strict=True))
+        assert found["top_word"] == max(map(words.count, set(words[:99]))) / n
+        assert found["distinct_words"] == len(set(words)) / n
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
