@@ -358,28 +358,25 @@ def _panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     return rows, features.model_columns(rows, ["segment"])
 
 
-_TREES = {"trees": 5, "depth": 4}
-
-
 @_register()
 def seed_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, columns = _panel(spark, sf_dir)
     train, valid = rows.where("date < '2001-06-01'"), rows.where("date >= '2001-06-01'")
-    return models.fit_ensemble(train, "purchase", columns, seeds=3, **_TREES).predict(valid, "purchase_pred").select("segment", "date", "purchase", "purchase_pred")
+    return models.fit_ensemble(train, "purchase", columns).predict(valid, "purchase_pred").select("segment", "date", "purchase", "purchase_pred")
 
 
 @_register()
 def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, columns = _panel(spark, sf_dir)
     train, valid = rows.where("date < '2001-06-01'"), rows.where("date >= '2001-06-01'")
-    return models.Ensemble([models.fit_one(train, "purchase", columns, kind="boosted", **_TREES)]).predict(valid, "purchase_pred").select("segment", "date", "purchase", "purchase_pred")
+    return models.Ensemble([models.fit_one(train, "purchase", columns, kind="boosted")]).predict(valid, "purchase_pred").select("segment", "date", "purchase", "purchase_pred")
 
 
 @_register()
 def rf_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, columns = _panel(spark, sf_dir)
     train, valid = rows.where("date < '2001-06-01'"), rows.where("date >= '2001-06-01'")
-    return models.Ensemble([models.fit_one(train, "redeem", columns, kind="forest", trees=10, depth=8)]).predict(valid, "redeem_pred").select("segment", "date", "redeem", "redeem_pred")
+    return models.Ensemble([models.fit_one(train, "redeem", columns, kind="forest")]).predict(valid, "redeem_pred").select("segment", "date", "redeem", "redeem_pred")
 
 
 @_register(with_views("daily") + """, d AS (SELECT date, row_number() OVER (ORDER BY date) AS k, count(*) OVER () AS n FROM daily), f AS (SELECT *, n - (4 - fold) * (n // 4) AS cut, n // 4 AS size FROM d, range(1, 4) t(fold))
@@ -392,24 +389,26 @@ def time_series_cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register()
 def time_series_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, columns = _panel(spark, sf_dir)
-    return models.cross_validate(rows, columns, **_TREES)
+    return models.cross_validate(rows, columns)
 
 
 @_register()
 def loss_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, columns = _panel(spark, sf_dir)
-    return models.loss_curve(rows.where("date < '2001-06-01'"), rows.where("date >= '2001-06-01'"), "purchase", columns, trees=10, depth=4)
+    train, valid = rows.where("date < '2001-06-01'"), rows.where("date >= '2001-06-01'")
+    purchase, redeem = (models.loss_curve(train, valid, t, columns, seed=s) for t, s in zip(T, (42, 142), strict=True))
+    return purchase.unionByName(redeem)
 
 
 @_register()
 def one_step_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, columns = _panel(spark, sf_dir)
-    return models.one_step_validation(rows.where("date < '2001-06-01'"), rows.where("date >= '2001-06-01'"), columns, **_TREES)
+    return models.one_step_validation(rows.where("date < '2001-06-01'"), rows.where("date >= '2001-06-01'"), columns)
 
 
 def _forecast(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
     rows, columns = _panel(spark, sf_dir)
-    fitted = [models.fit_ensemble(rows, t, columns, seeds=1, **_TREES) for t in T]
+    fitted = [models.fit_ensemble(rows, t, columns) for t in T]
     state = forecast.with_bounds(forecast.start_state(rows, ["segment"]), rows, ["segment"])
     state = forecast.with_exogenous(state, rows, features.exogenous_columns(columns), ["segment"])
     return forecast.recursive_forecast(state, forecast.ensemble_predictor(*fitted), days, ["segment"], HOLIDAYS)
@@ -428,4 +427,4 @@ def forecast_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register()
 def rolling_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = _panel(spark, sf_dir)
-    return backtest.rolling_backtest(rows, ["2001-05", "2001-06"], ["segment"], holiday_dates=HOLIDAYS, trees=5, depth=4)[1]
+    return backtest.rolling_backtest(rows, ["2001-02", "2001-03", "2001-04", "2001-05", "2001-06"], ["segment"], holiday_dates=HOLIDAYS)[1]
