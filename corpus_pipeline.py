@@ -25,15 +25,23 @@ def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return suffix_family.cut_texts(docs)
 
 
+def _mix(docs: DataFrame) -> DataFrame:
+    return source_mix.in_order(source_mix.mix(docs, source_mix.WEIGHTS, source_mix.REST_WEIGHT))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix of sources."""
-    return source_mix.in_order(source_mix.mix(docs, source_mix.WEIGHTS, source_mix.REST_WEIGHT)).select(*docs.columns)
+    return _mix(docs).select(*docs.columns)
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, source, n_tokens, ids, decoded_sha256)``: the token ids of every text, and a digest of what they decode to."""
-    coded = bpe_automaton.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("source",))
-    return coded.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``(doc_id, source, n_tokens, ids, decoded_sha256, slot, place)``: the token ids of every text, and a digest of what they decode to.
+
+    ``slot`` and ``place`` are those of the mix, which depend on ids and sources alone: reading does not
+    keep the order of files, so they are found again here. Rows are written in their order.
+    """
+    coded = bpe_automaton.encode_decode(_mix(docs), public_tokenizers.path("byte_bpe_50k.json"), keep=("source", "slot", "place"))
+    return coded.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "slot", "place")
 
 
 STAGES = [
@@ -49,7 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; ``slot`` and ``place`` give the order of the rows."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/stage-{k}")

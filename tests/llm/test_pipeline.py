@@ -7,7 +7,7 @@ from test_text_operators import _classes, _fingerprint, _removed
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from tideflow.llm import quality_rules, queries  # noqa: E402
+from tideflow.llm import quality_rules, queries, source_mix  # noqa: E402
 
 
 def test_stages(spark, data_dir, tmp_path):
@@ -38,6 +38,17 @@ def test_stages(spark, data_dir, tmp_path):
         assert r.ids == library.encode(cut[i].text, add_special_tokens=False).ids and r.decoded_sha256 == hashlib.sha256(cut[i].text.encode()).hexdigest()
 
 
+def test_order_of_the_mix_reaches_the_output(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}", f"src{i * i % 7}", i % 5) for i in range(600)], "doc_id long, text string, source string, n_chars long").repartition(5)
+    expected = [r.doc_id for r in source_mix.mix(docs, source_mix.WEIGHTS, source_mix.REST_WEIGHT).orderBy("slot", "place").collect()]
+    for name, stage in corpus_pipeline.STAGES[3:]:
+        stage(spark, docs, "unused").write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert [r.doc_id for r in docs.orderBy("slot", "place").collect()] == expected
+    files = sorted((tmp_path / name).glob("part-*.parquet"))
+    assert len(files) > 1 and [r.doc_id for f in files for r in spark.read.parquet(str(f)).collect()] == expected
+
+
 def test_oracle_names_are_queries():
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert corpus_pipeline.ORACLE_SQL is None
