@@ -224,7 +224,7 @@ def test_ann(spark):
     vectors = {i: rng.normal(size=16) for i in range(400)}
     for i in range(300, 320):
         vectors[i] = vectors[50] * 1.0  # copies of a query
-    odd = [(900, None), (950, [0.0] * 16), (1000, [float("nan")] * 16), (1050, [None] * 16), (1100, [1.0]), (None, [1.0] * 16)]
+    odd = [(900, None), (950, [0.0] * 16), (1000, [float("nan")] * 16), (1050, [None] * 16), (1100, [1.0]), (None, [1.0] * 16), (1150, [])]
     rows = spark.createDataFrame([*((i, v.tolist()) for i, v in vectors.items()), *odd], "vec_id long, embedding array<double>").withColumn("query", F.lit("x"))
     found: dict[int, list] = {}
     for r in ann_search.search(rows, block_rows=64, block_queries=3).orderBy("query_id", "rank").collect():
@@ -237,6 +237,59 @@ def test_ann(spark):
     assert sorted(r.vec_id for r in few.collect()) == [1, 2]
 
 
+def _search(spark, rows, **options):
+    found: dict[int, list] = {}
+    for r in ann_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), **options).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return found
+
+
+def test_ann_ties_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=16)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(1, 50)] + [(50, (base + 0.1 * rng.normal(size=16)).tolist())]
+    rows += [(941 + i, (base * 2.0 ** (i % 30 - 15) * (1 if i < 30 else 2.0**40)).tolist()) for i in range(60)]  # 60 scalings, equal cosines
+    found = _search(spark, rows)
+    assert [i for _, i, _ in found[50]] == [941, 942, 943, 944, 945] and len({s for *_, s in found[50]}) == 1
+    assert [i for _, i, _ in found[950]] == [941, 942, 943, 944, 945] and [i for _, i, _ in found[1000]] == [941, 942, 943, 944, 945]
+
+
+def test_ann_huge_tiny_repeated_and_odd_sizes(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0, [1.0, 2.0, 3.0]), (50, [1.0, 2.0, 3.5]), (7, [3.0, 2.0, 1.0])]  # another size comes first
+    rows += [(100 + i, (rng.normal(size=8) * 1e200).tolist()) for i in range(10)] + [(150 + i, (rng.normal(size=8) * 1e-200).tolist()) for i in range(10)]
+    rows += [(400, [1.0] * 8)] * 4 + [(401, [1.0] * 7 + [1.1])] * 3 + [(401, [-1.0] * 8), (402, [1.0] * 7 + [1.2]), (402, [1.0] * 7 + [1.2])]
+    found = _search(spark, rows)
+    least: dict[int, list] = {}
+    for i, v in rows:
+        least[i] = min(v, least.get(i, v))
+    for q in (0, 50, 100, 150, 400):
+        a, scores = np.array(least[q]) / np.abs(least[q]).max(), []
+        for i, v in least.items():
+            if i != q and len(v) == len(a):
+                b = np.array(v) / np.abs(v).max()
+                scores.append((-(a @ b) / np.sqrt((a @ a) * (b @ b)), i))
+        expected = [(n + 1, i, pytest.approx(-s)) for n, (s, i) in enumerate(sorted((round(s, 12), i) for s, i in scores)[:5])]
+        assert found[q] == expected
+    assert found.keys() == {0, 50, 100, 150, 400}
+
+
+def test_ann_recall_on_the_given_vectors(spark, data_dir):
+    table = spark.read.parquet(f"{data_dir}/embeddings.parquet")
+    rows = {r.vec_id: np.array(r.embedding, float) for r in table.where("embedding IS NOT NULL").collect()}
+    ids = np.array(sorted(rows))
+    unit = np.array([rows[i] / np.sqrt(rows[i] @ rows[i]) for i in ids])
+    found: dict[int, set] = {}
+    for r in ann_search.search(table).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in ids[ids % 50 == 0]:
+        scores = unit @ unit[np.searchsorted(ids, q)]
+        scores[ids == q] = -2
+        hits += len(found[q] & set(ids[np.argsort(-scores)[:5]].tolist()))
+    assert hits >= 0.9 * 5 * len(found) and len(found) == (ids % 50 == 0).sum()
+
+
 def test_url_rules(spark, data_dir):
     assert_same(spark, data_dir, queries.op9_url_range_rules, url_filter.ORACLE_SQL)
     urls = ["http://A.B.Example.com/en/x?q", "https://example.com", "x://notexample.com/en/", None, "no scheme", "http://www.example.com/en/#a", "http://other.org/y", "h://net./es/"]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -53,128 +54,164 @@ class PStableHashes:
         return out
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(flat, pa.ChunkedArray):  # no chunks
-        return np.zeros((0, dim))
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-
-
-def _usable(v: Column, dim: int) -> Column:
+@lru_cache(maxsize=8)
+def _hashes(dim: int, tables: int, projections: int, width: float, seed: int) -> PStableHashes:
+    return PStableHashes(dim, tables, projections, width, seed)
+
+
+def _by_size(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The vectors of each size apart: their rows, and a matrix of doubles."""
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    sizes = np.concatenate([np.zeros(0, np.int64), *(p.value_lengths().to_numpy(zero_copy_only=False) for p in parts)]).astype(np.int64)
+    flat = np.concatenate([np.zeros(0), *(p.flatten().to_numpy(zero_copy_only=False) for p in parts)])
+    begins = np.cumsum(sizes) - sizes
+    for dim in np.unique(sizes):
+        rows = np.flatnonzero(sizes == dim)
+        yield rows, flat[begins[rows][:, None] + np.arange(dim)]
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component below 1: exact, and no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None]) if x.size else x
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _cosines(q: np.ndarray, x: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The cosine of each pair ``q[at], x[of]``."""
+    q_norm, x_norm, out = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1)), np.empty(len(at))
+    for lo in range(0, len(at), 1 << 15):
+        i, j = at[lo : lo + (1 << 15)], of[lo : lo + (1 << 15)]
+        out[lo : lo + len(i)] = (q[i] * x[j]).sum(1) / (q_norm[i] * x_norm[j])
+    return out
+
+
+def _nearest(entries: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """``(query, uid, score)``: of a block's entries the k best in the buckets that each query asks for, ties to the smaller uid."""
+    uid, query, keys = entries["uid"].to_numpy(), asked["query"].to_numpy(), asked["keys"]
+    kinds, kind = np.unique(entries["key"].to_numpy(), return_inverse=True)
+    of_size, out = dict((x.shape[1], (rows, _scaled(x))) for rows, x in _by_size(entries["v"])), []
+    for asking, q in _by_size(asked["qv"]):
+        if q.shape[1] not in of_size:
+            continue
+        rows, x = of_size[q.shape[1]]
+        q, x_unit = _scaled(q), _unit(x)
+        for lo in range(0, len(asking), 512):
+            part, these = q[lo : lo + 512], asking[lo : lo + 512]
+            open_ = np.zeros((len(part), len(kinds)), bool)
+            for i, wanted in enumerate(keys.take(pa.array(these)).to_pylist()):
+                open_[i] = True if wanted is None else np.isin(kinds, wanted)
+            rough = _unit(part) @ x_unit.T
+            rough[~open_[:, kind[rows]]] = -np.inf
+            m = min(k, len(rows))
+            # The product rounds otherwise than the score: whatever may be among the m best by the score is kept, ties too.
+            cut = np.partition(rough, len(rows) - m, axis=1)[:, len(rows) - m]
+            i, j = np.nonzero((rough >= cut[:, None] - 1e-9) & np.isfinite(rough))
+            score, of = _cosines(part, x, i, j), uid[rows[j]]
+            order = np.lexsort((of, -score, i))
+            place = np.arange(len(order)) - np.searchsorted(i[order], i[order])
+            best = order[place < k]
+            out.append((query[these[i[best]]], of[best], score[best]))
+    cat = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)]
+    return pa.table({"query": pa.array(cat[0].astype(np.int64)), "uid": pa.array(cat[1].astype(np.int64)), "score": pa.array(cat[2].astype(float))})
+
+
+def _usable(v: Column) -> Column:
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return v.isNotNull() & (F.size(v) == dim) & finite & F.exists(v, lambda x: x != 0)
+    return v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
 
 
-def _ranked(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """The k best of ``found(query, uid, score)``, with the ids that share each vector."""
-    # The k + 1 best vectors hold the k best ids but the query's own: each has an id that goes before those of the rest.
+def _ranked(found: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """``(query, best)``: the n best ids of ``found(query, uid, score)``, by falling score and rising id."""
+    # The n best vectors hold the n best ids: each has an id that goes before those of the rest.
     best = Window.partitionBy("query").orderBy(F.desc("score"), "uid")
-    vectors = found.dropDuplicates(["query", "uid"]).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
-    each = vectors.join(members, "uid").select("query", F.explode("ids").alias("vec_id"), "score").where("query != vec_id")
+    vectors = found.dropDuplicates(["query", "uid"]).withColumn("n", F.row_number().over(best)).where(F.col("n") <= n)
+    each = vectors.join(members, "uid").select("query", F.explode("ids").alias("vec_id"), "score")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    listed = each.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
+    return listed.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
 
 
-def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", dim: int | None = None,
-           tables: int = 8, projections: int = 6, width: float = 1.6, probes: int = 60, seed: int = 6, block_rows: int = 8192, block_queries: int = 20_000) -> DataFrame:
+def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8, projections: int = 6,
+           width: float = 1.6, probes: int = 80, seed: int = 6, block_rows: int = 8192, block_queries: int = 20_000) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each row whose id is divisible by ``every``.
 
-    Candidates are all rows but the query's own; nearness is the cosine in double precision. Vectors
-    that are null, zero, of another size than ``dim`` (by default that of the smallest id) or hold
-    null or non-finite components take no part, nor do rows with a null id. Equal vectors share one
-    entry of the index with their k + 1 smallest ids, which is all that k results can need, as ties
-    go to the smaller id; ids are taken to be unique. Other columns are ignored.
-
-    Each query visits the ``probes`` likeliest buckets of each of ``tables`` tables (``projections``
-    is at most 8: a move to either side of each is weighed). Buckets are dealt to blocks of about
-    ``block_rows`` entries, a larger bucket to several; a block's task takes the cosines of the
-    entries in its queries' buckets. A query that finds fewer than k is compared with all rows, in blocks.
+    Candidates are all rows but the query's own; nearness is the cosine in double precision, ties go to
+    the smaller id. Vectors that are null, empty, zero or hold null or non-finite components take no
+    part, nor do rows with a null id. Vectors are compared with those of their size only. Rows that share
+    an id count once, with the least of their vectors. Other columns are ignored, very large and very
+    small components are no special case, and an empty table gives no rows.
+
+    Equal vectors share one entry of the index with their k + 1 smallest ids, which is all that k results
+    can need, and are one query. Each query visits the ``probes`` likeliest buckets of each of ``tables``
+    tables (``projections`` is at most 8: a move to either side of each is weighed). Buckets are dealt to
+    blocks of about ``block_rows`` entries, a larger bucket to several; a block's task takes the cosines of
+    the entries in its queries' buckets. Only a block that over ``block_queries`` queries visit is copied,
+    once for each ``block_queries`` of them, so the rows shuffled grow with entries and visits alone. A
+    query that finds fewer than k is compared with all entries, in blocks.
     """
     if projections > 8:
         raise ValueError("at most 8 projections")
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL")
-    if dim is None:
-        first = rows.where("size(v) > 0").agg(F.min_by(F.size("v"), "id")).first()[0]
-        dim = first or 1
-    rows = rows.where(_usable(F.col("v"), dim))
+    v = F.col(vector_col)
+    if vectors.schema[vector_col].dataType.simpleString() not in ("array<float>", "array<double>"):
+        v = v.cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).where("id IS NOT NULL").where(_usable(F.col("v")))
+    kind = rows.schema["v"].dataType.simpleString()
+    rows = materialise(rows.groupBy("id").agg(F.min("v").alias("v")))
     least = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     entries = materialise(least.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("uid", F.element_at("ids", 1)))
     members = entries.select("uid", "ids")
-    queries = materialise(rows.where(F.col("id") % every == 0).select(F.col("id").alias("query"), F.col("v").alias("qv")))
-    n_entries, n_queries = entries.count(), queries.count()
-    n_blocks, n_parts = max(1, -(-n_entries // block_rows)), max(1, -(-n_queries // block_queries))
-    hashes = PStableHashes(dim, tables, projections, width, seed)
+    queries = materialise(rows.where(F.col("id") % every == 0).join(entries.select("uid", "v"), "v").select(F.col("id").alias("query_id"), "uid"))
+    targets = materialise(entries.select("uid", "v").join(queries.select("uid").distinct(), "uid").select(F.col("uid").alias("query"), F.col("v").alias("qv")))
+    n_entries = entries.count()
+    n_blocks = max(1, -(-n_entries // block_rows))
+    setting, per_table = (tables, projections, width, seed), min(probes, 3**projections)
 
-    def unit(column: pa.Array) -> np.ndarray:
-        x = _matrix(column, dim)
-        x = x / np.abs(x).max(1, keepdims=True)
-        return x / np.sqrt((x * x).sum(1, keepdims=True))
+    def keyed(batches: Iterator[pa.RecordBatch], names: list[str], n: int, keys_of: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.zeros((batch.num_rows, n), np.int64)
+            for at, x in _by_size(batch.column(1)):
+                keys[at] = keys_of(_unit(x))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(keys), pa.list_(pa.int64()))], names)
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = hashes.keys(unit(batch.column(1))) if batch.num_rows else np.zeros((0, tables), np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(keys), pa.list_(pa.int64()))], ["uid", "v", "keys"])
+        return keyed(batches, ["uid", "v", "keys"], tables, lambda x: _hashes(x.shape[1], *setting).keys(x))
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = hashes.probes(unit(batch.column(1)), probes).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(keys), pa.list_(pa.int64()))], ["query", "keys"])
+        return keyed(batches, ["query", "qv", "keys"], tables * per_table, lambda x: _hashes(x.shape[1], *setting).probes(x, probes).reshape(len(x), -1))
 
-    index = materialise(entries.select("uid", "v").mapInArrow(bucketed, "uid bigint, v array<double>, keys array<bigint>"))
+    index = materialise(entries.select("uid", "v").mapInArrow(bucketed, f"uid bigint, v {kind}, keys array<bigint>"))
     index = index.select("uid", "v", F.posexplode("keys").alias("t", "key"))
-    large = index.groupBy("t", "key").count().where(F.col("count") > block_rows).select("t", "key", F.ceil(F.col("count") / block_rows).cast("int").alias("splits"))
+    large = materialise(index.groupBy("t", "key").count().where(F.col("count") > block_rows).select("t", "key", F.ceil(F.col("count") / block_rows).cast("int").alias("splits")))
     splits = F.coalesce("splits", F.lit(1))
     block = F.pmod(F.xxhash64("t", "key", "split"), F.lit(n_blocks)).cast("int")
-    dealt = index.join(large, ["t", "key"], "left").withColumn("split", F.pmod(F.xxhash64("uid"), splits).cast("int")).withColumn("block", block)
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))).select("t", "block", "part", "key", "uid", "v")
-    asked = queries.mapInArrow(probed, "query bigint, keys array<bigint>").select("query", F.posexplode("keys").alias("at", "key"))
-    per_table = min(probes, 3**projections)
+    asked = targets.mapInArrow(probed, f"query bigint, qv {kind}, keys array<bigint>").select("query", F.posexplode("keys").alias("at", "key"))
     asked = asked.withColumn("t", F.floor(F.col("at") / per_table).cast("int")).join(large, ["t", "key"], "left")
     asked = asked.withColumn("split", F.explode(F.sequence(F.lit(0), splits - 1))).withColumn("block", block)
-    asked = asked.groupBy("query", "t", "block").agg(F.collect_set("key").alias("keys")).join(queries, "query")
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(n_parts)).cast("int")).select("t", "block", "part", "query", "qv", "keys")
-
-    def nearest(entries: pa.Table, asked: pa.Table) -> pa.Table:
-        uid, query = entries["uid"].to_numpy(), asked["query"].to_numpy()
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(uid) and len(query):
-            x, q = _matrix(entries["v"], dim), _matrix(asked["qv"], dim)
-            x_norm, q_norm = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
-            kinds, kind = np.unique(entries["key"].to_numpy(), return_inverse=True)
-            for lo in range(0, len(query), 512):
-                hi = min(lo + 512, len(query))
-                open_ = np.zeros((hi - lo, len(kinds)), bool)
-                for i, keys in enumerate(asked["keys"].slice(lo, hi - lo).to_pylist()):
-                    open_[i] = True if keys is None else np.isin(kinds, keys)
-                rough = (q[lo:hi] / q_norm[lo:hi, None]) @ (x / x_norm[:, None]).T
-                rough[~open_[:, kind]] = -np.inf
-                n = min(2 * k + 6, len(uid))  # more than k, as the product may round otherwise than the score
-                best = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-                i, j = np.nonzero(np.isfinite(np.take_along_axis(rough, best, 1)))
-                e = best[i, j]
-                score = (q[lo + i] * x[e]).sum(1) / (q_norm[lo + i] * x_norm[e])
-                exact = np.full(best.shape, -np.inf)
-                exact[i, j] = score
-                m = min(k + 1, n)
-                near = score >= np.partition(exact, n - m, axis=1)[i, n - m]  # the k + 1 best, and their equals
-                out.append((query[lo + i][near], uid[e][near], score[near]))
-        cat = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)]
-        return pa.table({"query": pa.array(cat[0].astype(np.int64)), "uid": pa.array(cat[1].astype(np.int64)), "score": pa.array(cat[2].astype(float))})
-
-    found = asked.groupBy("t", "block", "part").cogroup(dealt.groupBy("t", "block", "part")).applyInArrow(
-        lambda a, e: nearest(e, a), "query bigint, uid bigint, score double")
-    ranked = materialise(_ranked(found, members, k))
-    enough = ranked.groupBy("query").count().where(F.col("count") >= k)
-    short = materialise(queries.join(enough, "query", "left_anti"))
+    asked = materialise(asked.groupBy("query", "t", "block").agg(F.collect_set("key").alias("keys")))
+    busy = materialise(asked.groupBy("t", "block").count().where(F.col("count") > block_queries).select("t", "block", F.ceil(F.col("count") / block_queries).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = index.join(large, ["t", "key"], "left").withColumn("split", F.pmod(F.xxhash64("uid"), splits).cast("int")).withColumn("block", block)
+    dealt = dealt.join(busy, ["t", "block"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("t", "block", "part", "key", "uid", "v")
+    asked = asked.join(busy, ["t", "block"], "left").withColumn("part", F.pmod(F.xxhash64("query"), parts).cast("int")).join(targets, "query").select("t", "block", "part", "query", "qv", "keys")
+
+    def compared(asked: DataFrame, dealt: DataFrame) -> DataFrame:
+        where = ("t", "block", "part")
+        return asked.groupBy(*where).cogroup(dealt.groupBy(*where)).applyInArrow(lambda a, e: _nearest(e, a, k + 1), "query bigint, uid bigint, score double")
+
+    ranked = materialise(_ranked(compared(asked, dealt), members, k + 1))
+    # Of a query's own vector all ids are listed, or k + 1 of them: with k + 1 ids, k are left without its own.
+    short = materialise(targets.join(ranked.where(F.size("best") > k), "query", "left_anti"))
     n_short = short.count()
     if n_short:
+        n_parts = max(1, -(-n_short // block_queries))
         cut = F.pmod(F.xxhash64("uid"), F.lit(n_blocks)).cast("int").alias("block")
-        parts = max(1, -(-n_short // block_queries))
-        spread = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-        all_entries = entries.select(F.lit(0).alias("t"), cut, spread, F.lit(0).cast("bigint").alias("key"), "uid", "v")
-        all_short = short.select(F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int").alias("part"), "query", "qv", F.lit(None).cast("array<bigint>").alias("keys"))
-        exact = all_short.groupBy("t", "block", "part").cogroup(all_entries.groupBy("t", "block", "part")).applyInArrow(
-            lambda a, e: nearest(e, a), "query bigint, uid bigint, score double")
-        ranked = ranked.join(short, "query", "left_anti").unionByName(_ranked(exact, members, k))
-    return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("vec_id"), "score")
+        everywhere = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
+        all_entries = entries.select(F.lit(0).alias("t"), cut, F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), F.lit(0).cast("bigint").alias("key"), "uid", "v")
+        all_short = short.select(F.lit(0).alias("t"), everywhere, F.pmod(F.xxhash64("query"), F.lit(n_parts)).cast("int").alias("part"), "query", "qv", F.lit(None).cast("array<bigint>").alias("keys"))
+        ranked = ranked.join(short, "query", "left_anti").unionByName(_ranked(compared(all_short, all_entries), members, k + 1))
+    results = queries.join(ranked.withColumnRenamed("query", "uid"), "uid").select("query_id", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("best"))
+    return results.select("query_id", F.posexplode("best").alias("at", "near")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "near.vec_id", "near.score")
