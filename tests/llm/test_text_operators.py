@@ -80,10 +80,32 @@ def test_simhash(docs, texts, none, cap):
     assert _by_id(found, "fingerprint", "component_id") == {i: (f"{p:016x}", classes[i]) for i, p in prints.items()}
     if cap == 64:
         kept = simhash.keep_one(docs)
-        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(classes.values())
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(classes.values()))
         assert simhash.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_a_component_stays_where_ids_are_null_or_repeat(spark):
+    texts = [" ".join(random.Random(k).choices(WORDS, k=60)) for k in range(3)]
+    rows = [(1, texts[0])] * 3 + [(None, texts[0]), (None, texts[1]), (None, texts[1]), (4, texts[2]), (4, texts[2] + "!"), (9, None), (3, ""), (None, " ")]
+    docs = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, fp int, label string").repartition(3)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text[:20]) for r in kept.collect()) == sorted([(1, texts[0][:20]), (0, texts[1][:20]), (4, texts[2][:20]), (3, "")])
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_a_posting_is_shared_three_times_from_six_bytes_on():
+    for equal in range(256):
+        shared = sum(all(equal >> i & 1 for i in c) for c in simhash._FOURS)
+        assert (shared >= simhash._LEAST_SHARED) == (equal.bit_count() >= 6)
+
+
+def test_simhash_of_a_very_long_text(spark):
+    words = [f"w{i % 9000}" for i in range(400_000)]
+    long = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-1]))], "doc_id long, text string")
+    rows = simhash.near_duplicates(long).collect()
+    assert {r.fingerprint for r in rows} == {f"{_fingerprint(' '.join(words[k:])):016x}" for k in (0,)} and {r.component_id for r in rows} == {1}
+
+
 def test_simhash_lists_over_the_cap_link_as_pairs_do(spark):
     rng = random.Random(5)
     prints = [rng.getrandbits(64) for _ in range(5)]
@@ -204,6 +226,29 @@ def test_quality_rules(spark, docs, texts, none, data_dir):
     assert quality_rules.judge(none).count() == 0
 
 
+def test_each_row_is_kept_or_not_by_its_own_verdict(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, good), (None, "bad"), (1, good), (1, "bad"), (2, good), (2, good), (3, None)]
+    docs = spark.createDataFrame([(i, t, "h", 5) for i, t in rows], "doc_id long, text string, source string, n_words int").repartition(3)
+    kept = quality_rules.keep_good(docs, max_host_rate=1.0)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, good), (1, good), (2, good), (2, good)]
+    assert quality_rules.keep_good(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_repeated_words_by_brute_force(seed):
+    rng = random.Random(seed)
+    words = [rng.choice([b"a", b"b", b"c", b"dd"][: 1 + seed % 4]) for _ in range(rng.randint(0, 200))]
+    grams = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    inside = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(8)}
+    assert quality_rules._repeated_words(words) == len(inside)
+
+
+def test_repeated_words_of_a_very_long_text():
+    words = [b"w%d" % (i % 5000) for i in range(1_000_000)]
+    assert quality_rules._repeated_words(words) == len(words)
+
+
 def test_bad_hosts_are_rejected_after_shrinking(spark):
     rows = [("big_bad", i < 90) for i in range(100)] + [(f"h{k}", i < 3) for k in range(20) for i in range(50)] + [("one", True), (None, False)]
     hosts = {r.host: r for r in quality_rules.host_verdicts(spark.createDataFrame(rows, "host string, base_failed boolean")).collect()}
@@ -315,6 +360,18 @@ def test_mix(spark, docs, none, data_dir):
     assert ordered == sorted(ordered)
     with pytest.raises(ValueError):
         source_mix.mix(docs, {"s0": 0})
+    clash = docs.withColumns({c: F.lit("mine") for c in ("weight", "period", "slots", "base", "first_block", "end_block", "of_class", "class", "slot")})
+    mixed = source_mix.mix(clash, {"s0": 3, "s1": 1}, block_docs=2)
+    assert mixed.count() == docs.count() and mixed.where("weight = 'mine' AND slots = 'mine' AND of_class = 'mine' AND slot IS NOT NULL").count() == docs.count()
+    odd = spark.createDataFrame([(None, "s0"), (None, None), (None, "s1"), (5, "s0"), (5, "s0"), (5, "s9")] * 3, "doc_id long, source string")
+    places = [(r.block, r.slot, r.place, r.source) for r in source_mix.mix(odd, {"s0": 2, "s1": 1}, block_docs=4).collect()]
+    assert len({(s, p) for _, s, p, _ in places}) == 18 and max(p for *_, p, _ in places) == 3
+
+
+def test_schedule_with_large_weights():
+    assert source_mix.schedule([6, 2], [3_000_000, 1_000_000]) == source_mix.schedule([6, 2], [3, 1])
+    phases = source_mix.schedule([10, 1, 3], [10**9, 1, 10**9 - 7])  # far more slots in a period than blocks
+    assert sorted((c, b) for c, first, end, *_ in phases for b in range(first, end)) == [(0, b) for b in range(10)] + [(1, 0)] + [(2, b) for b in range(3)]
 
 
 @pytest.mark.parametrize("seed", range(20))

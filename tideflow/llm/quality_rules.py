@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialise, utf8
+from .common import identity, map_slices, materialise, utf8
 
 _SPACES = [32, *range(9, 14)]
 _SYMBOLS = list(b"#*$%&|<>")
@@ -30,14 +30,25 @@ def _repeated_words(words: list[bytes]) -> int:
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     if not len(twice):
         return 0
-    starts = np.flatnonzero(np.isin(windows, twice)).tolist()  # equal windows hash alike; the rest is told apart below
-    found = [tuple(words[i : i + _WINDOW]) for i in starts]
-    times = Counter(found)
+    # Equal windows hash alike. Those that hash alike are told apart by the numbers of their words, a hash at a time.
+    starts = np.flatnonzero(np.isin(windows, twice))
+    starts = starts[np.argsort(windows[starts], kind="stable")]
+    known: dict[bytes, int] = {}
+    numbers = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    same = np.ones(len(starts) - 1, bool)
+    for j in range(_WINDOW):
+        same &= numbers[starts[1:] + j] == numbers[starts[:-1] + j]
     covered = np.zeros(len(words) + 1, np.int64)
-    for i, w in zip(starts, found, strict=True):
-        if times[w] > 1:
-            covered[i] += 1
-            covered[i + _WINDOW if i + _WINDOW <= len(words) else len(words)] -= 1
+    if (same == (windows[starts[1:]] == windows[starts[:-1]])).all():
+        again = np.zeros(len(starts), bool)
+        again[1:] |= same
+        again[:-1] |= same
+        starts = starts[again]
+    else:  # two windows with one hash: by their words
+        times = Counter(tuple(numbers[i : i + _WINDOW].tolist()) for i in starts.tolist())
+        starts = np.array([i for i in starts.tolist() if times[tuple(numbers[i : i + _WINDOW].tolist())] > 1], np.int64)
+    covered[starts] += 1
+    np.add.at(covered, starts + _WINDOW, -1)
     return int((np.cumsum(covered[:-1]) > 0).sum())
 
 
@@ -51,16 +62,20 @@ def _counts(text: bytes | None) -> tuple[int, int, int, int, int]:
 
 
 def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``(id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)`` of whole texts; a null text counts as empty."""
+    """``(id, host, row, mark, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)`` of whole texts; a null text counts as empty.
+
+    ``row`` and ``mark`` tell rows apart that differ in id, text or host.
+    """
 
     def run(part: pa.RecordBatch) -> dict[str, object]:
-        rows = [_counts(t) for t in utf8(part.column(2))]
+        rows = [_counts(t) for t in utf8(part.column(4))]
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-        return {"id": part.column(0), "host": part.column(1)} | {n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)}
+        return {n: part.column(i) for i, n in enumerate(("id", "host", "row", "mark"))} | {n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)}
 
     kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, host_col)}
-    src = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    return map_slices(src, run, f"id {kinds[id_col]}, host {kinds[host_col]}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint")
+    row, mark = identity(F.col(id_col), F.col(text_col), F.col(host_col))
+    src = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), row.alias("row"), mark.alias("mark"), F.col(text_col).alias("text"))
+    return map_slices(src, run, f"id {kinds[id_col]}, host {kinds[host_col]}, row bigint, mark bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint")
 
 
 def host_verdicts(judged: DataFrame, max_rate: float = 0.5, max_weight: float = 1e6) -> DataFrame:
@@ -85,11 +100,13 @@ def host_verdicts(judged: DataFrame, max_rate: float = 0.5, max_weight: float =
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
           min_words: int = 20, max_repeat_percent: int = 30, max_host_rate: float = 0.5) -> DataFrame:
-    """One row for each document: its counts, ``base_failed``, its host's shrunk rate, and ``kept``.
+    """One row for each document: its counts, ``base_failed``, its host's shrunk rate, ``kept``, and ``row`` and ``mark``, which identify it.
 
     ``base_failed``: under ``min_words`` words, or over ``max_repeat_percent`` % of words in repeated
     windows of eight. ``kept``: neither that nor a rejected host. A null text has no words and so
-    fails; a null host is a host of its own; repeated rows each count; an empty table gives no rows.
+    fails; a null host is a host of its own; repeated rows each count; an empty table gives no rows. A
+    text is taken whole, however long: its words are held once and 8 bytes for each window. Other columns
+    are ignored.
     """
     counted = document_counts(docs, id_col, text_col, host_col)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
@@ -97,13 +114,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     hosts = host_verdicts(judged, max_host_rate).select(F.col("host").alias("of_host"), "host_rate", "host_rejected")
     return judged.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).select(
         F.col("id").alias(id_col), F.col("host").alias(host_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "host_rate", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"))
+        "base_failed", "host_rate", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), "row", "mark")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
-    """``docs`` without the rows whose verdict is not ``kept`` (by id; rows that share an id go together)."""
-    rejected = judge(docs, id_col, text_col, host_col, **options).where("NOT kept").select(F.col(id_col).alias("rejected_id")).distinct()
-    return docs.join(rejected, F.col(id_col).eqNullSafe(F.col("rejected_id")), "left_anti")
+    """``docs`` without the rows whose verdict is not ``kept``.
+
+    Each row by its own verdict: a good row stays where a bad one shares its id, or both ids are null.
+    """
+    rejected = judge(docs, id_col, text_col, host_col, **options).where("NOT kept").select(F.col("row").alias("__row"), F.col("mark").alias("__mark")).distinct()
+    row, mark = identity(F.col(id_col), F.col(text_col), F.col(host_col))
+    return docs.withColumns({"__row": row, "__mark": mark}).join(rejected, ["__row", "__mark"], "left_anti").select(*docs.columns)
 
 
 #: DuckDB; the thresholds are those of ``judge``.

@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from heapq import heappop, heappush
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _period(weights: list[int]) -> list[list[int]]:
-    """For each class the slots of one period, by earliest deadline first among the released.
+def _period(weights: list[int], most: int) -> list[list[int]]:
+    """For each class the slots of one period, or its first ``most``, by earliest deadline first among the released.
 
     Block i (from 0) of a class with weight w of W is released at floor(i W / w) and due by
     ceil((i + 1) W / w). One slot takes one block and the weights add up to W, so every block is
     in time: at no slot is a class a whole block off its share. Ties go to the earlier class.
     """
-    total, taken = sum(weights), [0] * len(weights)
-    slots: list[list[int]] = [[] for _ in weights]
-    for t in range(total):
-        due = [(-(-(n + 1) * total // w), c) for c, (n, w) in enumerate(zip(taken, weights, strict=True)) if n < w and n * total // w <= t]
-        c = min(due)[1]
+    total, slots = sum(weights), [[] for _ in weights]
+    waiting, ready = [(0, c) for c in range(len(weights))], []  # by release, by deadline
+    for t in range(min(total, most)):
+        while waiting and waiting[0][0] <= t:
+            _, c = heappop(waiting)
+            heappush(ready, (-(-(len(slots[c]) + 1) * total // weights[c]), c))
+        _, c = heappop(ready)
         slots[c].append(t)
-        taken[c] += 1
+        if len(slots[c]) < weights[c]:
+            heappush(waiting, (len(slots[c]) * total // weights[c], c))
     return slots
 
 
@@ -27,17 +34,21 @@ def schedule(blocks: list[int], weights: list[int]) -> list[tuple[int, int, int,
     """Phases of the mix of ``blocks[c]`` blocks of each class: (class, first block, end block, base slot, weight, period, slots).
 
     A phase ends where a class has no block left; the others go on with their weights in a new phase.
-    The work is one period for each phase and there are no more phases than classes.
+    The work is one period for each phase, and there are no more phases than classes. Weights count
+    without their common divisor, and a period ends with the blocks there are.
     """
     done, base, rows = [0] * len(blocks), 0, []
     while live := [c for c, n in enumerate(blocks) if done[c] < n]:
-        slots = dict(zip(live, _period([weights[c] for c in live]), strict=True))
-        period = sum(weights[c] for c in live)
-        last = {c: (blocks[c] - done[c] - 1) // weights[c] * period + slots[c][(blocks[c] - done[c] - 1) % weights[c]] for c in live}
-        end = min(last.values()) + 1
+        common = gcd(*(weights[c] for c in live))
+        weight, left = {c: weights[c] // common for c in live}, {c: blocks[c] - done[c] for c in live}
+        period = sum(weight.values())
+        slots = dict(zip(live, _period([weight[c] for c in live], sum(left.values())), strict=True))
+        # Where the blocks end before the period does, one class at least has slots for all its blocks.
+        last = [(n - 1) // weight[c] * period + slots[c][(n - 1) % weight[c]] for c, n in left.items() if (n - 1) % weight[c] < len(slots[c])]
+        end = min(last) + 1
         for c in live:
-            n = end // period * weights[c] + sum(s < end % period for s in slots[c])
-            rows.append((c, done[c], done[c] + n, base, weights[c], period, slots[c]))
+            n = end // period * weight[c] + bisect_left(slots[c], end % period)
+            rows.append((c, done[c], done[c] + n, base, weight[c], period, slots[c]))
             done[c] += n
         base += end
     return rows
@@ -46,7 +57,9 @@ def schedule(blocks: list[int], weights: list[int]) -> list[tuple[int, int, int,
 def _table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
     """A small table as a literal of the plan."""
     def literal(v: object) -> Column:
-        return F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+        if isinstance(v, list):  # one literal, however long
+            return F.split(F.lit(",".join(map(str, v))), ",").cast("array<bigint>") if v else F.array().cast("array<bigint>")
+        return F.lit(v)
 
     return spark.range(1).select(F.inline(F.array(*(F.struct(*(literal(v).alias(n) for v, n in zip(r, names, strict=True))) for r in rows))))
 
@@ -61,11 +74,14 @@ def mix(docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, block_do
     repeated. Sources that ``weights`` does not name, null too, are one class with ``rest_weight``.
 
     Weights are positive integers. Null ids count as empty; rows with one id stand next to each other
-    in any order. An empty table gives no rows. Columns of ``docs`` named like the three are replaced.
+    in any order. An empty table gives no rows. Columns of ``docs`` named like the three are replaced;
+    any others are kept as they are. Texts are not read.
 
     The numbering is in two steps, so that no task holds a source: rows are numbered within a source
     and a three-digit prefix of the MD5, and the counts of the 4,096 prefixes are added up per source.
-    The schedule is made on the driver from one count for each class and enters the plan as literals.
+    Only rows that share one id, null included, meet in one task. The schedule is made on the driver from
+    one count for each class, in a time that grows with the sum of the weights over their common divisor
+    (about a second for a million), and enters the plan as literals.
     """
     if not all(isinstance(w, int) and w > 0 for w in [*weights.values(), rest_weight]):
         raise ValueError("weights must be positive integers")
@@ -88,10 +104,10 @@ def mix(docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, block_do
     # 4,096 rows for each class at most, and one for each class and phase: both bounded by the weights.
     numbered = rows.withColumn("__inside", inside - 1).join(F.broadcast(before), ["__class", "__prefix"])
     numbered = numbered.withColumn("__at", F.col("__before") + F.col("__inside")).withColumn("__block", F.floor(F.col("__at") / block_docs))
-    plan = _table(spark, phases, ["of_class", "first_block", "end_block", "base", "weight", "period", "slots"])
-    i = F.col("__block") - F.col("first_block")
-    slot = F.col("base") + F.floor(i / F.col("weight")) * F.col("period") + F.get("slots", (i % F.col("weight")).cast("int"))
-    meets = (F.col("__class") == F.col("of_class")) & (F.col("__block") >= F.col("first_block")) & (F.col("__block") < F.col("end_block"))
+    plan = _table(spark, phases, ["__of_class", "__first", "__end", "__base", "__weight", "__period", "__slots"])
+    i = F.col("__block") - F.col("__first")
+    slot = F.col("__base") + F.floor(i / F.col("__weight")) * F.col("__period") + F.get("__slots", (i % F.col("__weight")).cast("int"))
+    meets = (F.col("__class") == F.col("__of_class")) & (F.col("__block") >= F.col("__first")) & (F.col("__block") < F.col("__end"))
     return numbered.join(F.broadcast(plan), meets).select(*kept, F.col("__block").cast("bigint").alias("block"), slot.cast("bigint").alias("slot"), (F.col("__at") % block_docs).cast("bigint").alias("place"))
 
 

@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, map_slices, materialise, release, shared_dir, utf8
+from .common import drop_path, identity, map_slices, materialise, release, shared_dir, utf8
 
 KEY_BYTES = 32
 _TABLE = np.random.default_rng(10).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,15 +73,10 @@ def _anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     return h[at[first]], at[first], starts[first], starts[last]
 
 
-def _identity(id_: Column, text: Column) -> tuple[Column, Column]:
-    """``row`` and ``mark``, 79 bits of hash: they tell rows apart where id or text differ."""
-    return F.xxhash64(id_, text), F.hash(text, id_).bitwiseAND(F.lit(0x7FFF)).cast("bigint")
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, text, row, mark)`` of every document; a null text is empty."""
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    row, mark = _identity(F.col("id"), F.col("text"))
+    row, mark = identity(F.col("id"), F.col("text"))
     return src.withColumns({"row": row, "mark": mark})
 
 
@@ -311,7 +306,7 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     starts = repeated_starts(docs, id_col, text_col, length, batches, crowd)
     listed = starts.groupBy("row", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("starts")).select(F.col("row").alias("__row"), F.col("mark").alias("__mark"), F.col("starts").alias("__starts"))
-    row, mark = _identity(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    row, mark = identity(F.col(id_col), F.col(text_col))
     marked = docs.withColumns({"__row": row, "__mark": mark}).join(listed, ["__row", "__mark"], "left").drop("__row", "__mark")
     place, starts_at, kinds = docs.columns.index(text_col), len(docs.columns), docs.schema
 
