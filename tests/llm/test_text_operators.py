@@ -133,14 +133,14 @@ def _removed(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize(("batches", "crowd"), [(2, 20_000), (3, 1)])
+@pytest.mark.parametrize(("batches", "crowd"), [(None, 2_000), (8, 2_000), (3, 1)])
 def test_suffix_family(docs, texts, none, batches, crowd):
     everything = [*texts, texts[5]]
     expected = {100 - i if i < len(texts) else 95: e for i, e in enumerate(_removed(everything))}
     found = suffix_family.digests(suffix_family.remove_repeats(docs, batches=batches, crowd=crowd))
     assert _by_id(found, "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
     assert expected[92][1] > 200 and expected[93][1] == 450  # a passage in three texts, one byte repeated
-    if batches == 2:
+    if batches is None:
         cut = suffix_family.cut_texts(docs)
         assert cut.columns == docs.columns and cut.count() == docs.count()
         assert all(r.text is None or r.n_chars == len(r.text) for r in cut.collect())
@@ -149,13 +149,58 @@ def test_suffix_family(docs, texts, none, batches, crowd):
 
 def test_suffix_family_merges_runs_of_one_rank(spark, docs):
     family = suffix_family.SuffixFamily(spark)
-    keyed = suffix_family._keyed(docs, "doc_id", "text")
-    ranks = []
+    every = suffix_family.materialise(suffix_family.suffixes(suffix_family._keyed(docs, "doc_id", "text"), 200))
+    ranks, found = [], []
     for i in range(4):
-        family.add(keyed.where(F.pmod("row", F.lit(4)) == i))
+        family.add(every.where(F.pmod("row", F.lit(4)) == i))
         ranks.append([r for r, _ in family.levels])
-    assert ranks == [[0], [1], [1, 0], [2]]
-    assert spark.read.parquet(family.levels[0][1]).agg(F.sum("n")).first()[0] == sum(b.count() for b in family.batches)
+        seen = every.where(F.pmod("row", F.lit(4)) <= i).groupBy("key").count().where("count > 1").count()
+        found.append(family.repeated().count() == seen)  # after every batch, what repeats so far is known
+    assert ranks == [[0], [1], [1, 0], [2]] and all(found)
+    level = spark.table(family.levels[0][1])
+    assert level.agg(F.sum("n")).first()[0] == every.count() and level.count() == every.select("key").distinct().count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plan = level.alias("a").join(level.alias("b"), "key")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan  # runs meet bucket by bucket
+    family.close()
+
+
+def test_suffix_family_on_a_text_of_several_pieces(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    edge = suffix_family._AT_A_TIME
+    long = " ".join(word() for _ in range(5 * edge // 14))  # five halves of a piece
+    passage = long[edge - 150 : edge + 250]  # across the border of two pieces
+    texts = [long, "x " + passage, long[100:500] + "y", word()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = _by_id(suffix_family.remove_repeats(docs), "n_bytes", "spans")
+    assert [tuple(s) for s in found[0][1]] == [(100, 500), (edge - 150, edge + 250)]
+    assert [tuple(s) for s in found[1][1]] == [(2, 402)] and [tuple(s) for s in found[2][1]] == [(0, 400)] and found[3][1] == []
+
+
+def test_anchors_of_a_long_text_take_bounded_memory(spark):
+    import tracemalloc
+
+    text = np.random.default_rng(1).integers(97, 123, 8 << 20, np.uint8).tobytes().decode()
+    run = {}
+
+    class Frame:
+        """Stands for a frame: ``suffixes`` hands its function to it."""
+
+        where = select = lambda self, *_: self
+
+    kept, suffix_family.map_slices = suffix_family.map_slices, lambda df, fn, schema: run.setdefault("fn", fn)
+    try:
+        suffix_family.suffixes(Frame(), 200)
+    finally:
+        suffix_family.map_slices = kept
+    batch = suffix_family.pa.RecordBatch.from_pydict({"text": [text], "row": [1], "mark": [1]})
+    tracemalloc.start()
+    got = run["fn"](batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got["key"]) > len(text) / 90 and peak < 12 * len(text)
 
 
 def test_bpe_automaton_equals_the_library(docs, texts, none):
@@ -203,17 +248,43 @@ def test_wavelet_files(spark, docs, texts, none, tmp_path):
     assert wavelet_store.read_documents(wavelet_store.write_shards(none, path, str(tmp_path / "none"))).count() == 0
 
 
-def test_wavelet_matrix_queries():
-    ids = np.random.default_rng(0).integers(0, 300, 1000).astype(np.uint16)
-    data = wavelet_store.dump(ids, wavelet_store.pa.array([1]), [1000], 16)
-    matrix, table = wavelet_store.load(data)
-    assert (matrix.ids(np.uint16) == ids).all() and table.num_rows == 1
-    assert all(matrix.access(i) == ids[i] for i in range(0, 1000, 13))
+@pytest.mark.parametrize("n", [0, 1, 1000, 4096, 10_000])
+def test_wavelet_matrix_queries(monkeypatch, n):
+    monkeypatch.setattr(wavelet_store, "_CHUNK", 1024)  # several chunks of a plane
+    ids = np.random.default_rng(0).integers(0, 300, n).astype(np.uint16)
+    shard = wavelet_store.load(wavelet_store.dump(ids, wavelet_store.pa.array([1]), [n], 16))
+    matrix = shard.matrix
+    assert (matrix.ids(np.uint16) == ids).all() and shard.documents().num_rows == 1
+    assert all(matrix.access(i) == ids[i] for i in range(0, n, 13))
     for token in (0, 7, 299, 301, 70_000):
-        assert matrix.count(token) == (ids == token).sum() and matrix.rank(token, 500) == (ids[:500] == token).sum()
+        assert matrix.count(token) == (ids == token).sum() and all(matrix.rank(token, e) == (ids[:e] == token).sum() for e in (0, 500, 1024, 2000, n))
         assert (matrix.locate(token) == np.flatnonzero(ids == token)).all()
     with pytest.raises(IndexError):
-        matrix.access(1000)
+        matrix.access(n)
+
+
+def test_a_question_reads_a_part_of_the_shard(tmp_path):
+    ids = np.random.default_rng(0).integers(0, 40_000, 3_000_000).astype(np.uint16)
+    data, read = wavelet_store.dump(ids, wavelet_store.pa.array([1]), [len(ids)], 16), []
+    shard = wavelet_store.Shard(lambda at, size: read.append(size) or data[at : at + size])
+    assert shard.matrix.access(1_234_567) == ids[1_234_567] and sum(read) < len(data) / 4
+    (tmp_path / "x.wm").write_bytes(data)
+    assert wavelet_store.open_shard(str(tmp_path / "x.wm")).matrix.rank(77, 2_000_000) == (ids[:2_000_000] == 77).sum()
+
+
+def test_wavelet_files_with_null_ids_and_damage(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(None, f"text {i}") for i in range(40)] + [(3, "one"), (3, "two"), (1, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_tokens string")
+    manifest = wavelet_store.write_shards(docs, path, str(tmp_path / "s"), shard_tokens=20)
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in wavelet_store.read_documents(manifest).collect())
+    assert [i for _, i, _ in got] == [None] * 40 + [1, 3, 3] and got[40][2] == 1
+    assert all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:], strict=False))
+    ids = np.array([5, 6, 7], np.uint16)
+    (tmp_path / "bad.wm").write_bytes(wavelet_store.dump(ids, wavelet_store.pa.array([1, 2]), [1, 2], 16, end_id=1))
+    bad = spark.createDataFrame([(str(tmp_path / "bad.wm"), 0)], "path string, start long")
+    with pytest.raises(Exception, match="is damaged"):
+        wavelet_store.read_documents(bad).collect()
 
 
 def test_quality_rules(spark, docs, texts, none, data_dir):
@@ -418,6 +489,77 @@ def test_top_word_counts_all_words(n):
         assert found["distinct_words"] == len(set(words)) / n
 
 
+def _plain_statistics(text):
+    """FEATURES word by word and character by character."""
+    data = (text or "").encode()
+    words = re.findall(rb"[^ \t-\r]+", data)
+    if not words:
+        return [0.0] * 21
+    n, size = len(words), len(data)
+    inner = [b for w in words for b in w]
+    share = lambda test: sum(map(test, inner)) / len(inner)
+    symbols, mean = b"#*$%&|<>", len(inner) / n
+    lines = [x for x in data.split(b"\n") if re.search(rb"[^ \t-\r]", x)]
+    return [
+        np.log(1 + size), np.log(1 + n), mean, (sum((len(w) - mean) ** 2 for w in words) / n) ** 0.5, share(lambda b: 65 <= b < 91), share(lambda b: 97 <= b < 123), share(lambda b: 48 <= b < 58),
+        share(lambda b: b >= 128), share(lambda b: b in symbols), share(lambda b: b == 33), share(lambda b: b in b".,;:?"), (size - len(inner)) / size, len(set(words)) / n,
+        sum(words[i] == words[i - 1] for i in range(1, n)) / n, max(Counter(words).values()) / n, np.log(1 + len(lines)), n / len(lines), (len(lines) - len(set(lines))) / len(lines),
+        sum(65 <= w[0] < 91 for w in words) / n, sum(w[-1] in symbols for w in words) / n, sum(w[-1] in b".!?" for w in words) / n]
+
+
+def test_statistics_by_brute_force(texts):
+    rng = random.Random(11)
+    more = ["".join(rng.choices("Ab9é!#. \t\n\x0b-", k=n)) for n in (1, 5, 90, 2000)] + [" ".join(rng.choices(WORDS, k=n)) for n in (1, 4000, 20_000)]
+    for text in [*texts, *more]:
+        assert boosted_quality.statistics(None if text is None else text.encode()) == pytest.approx(_plain_statistics(text)), text
+
+
+def test_boosting_by_brute_force():
+    rng = np.random.default_rng(3)
+    x, ridge, least, rate = rng.integers(0, 6, (80, 3)).astype(float), 1.0, 5, 0.2
+    y = ((x[:, 0] > 2) & (x[:, 2] < 4)).astype(float)
+    model = boosted_quality.fit(x, y, trees=3, depth=2)
+    margin = np.full(len(y), model.base)
+    for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf, strict=True):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+        worth = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + ridge)
+        nodes = {0: np.arange(len(y))}
+        for node in range(3):  # every split is the best there is
+            rows = nodes[node]
+            gains = {0.0}
+            for j in range(3):
+                for t in np.unique(x[:, j]):
+                    left, right = rows[x[rows, j] <= t], rows[x[rows, j] > t]
+                    if min(len(left), len(right)) >= least:
+                        gains.add(worth(left) + worth(right) - worth(rows))
+            left, right = rows[x[rows, feature[node]] <= threshold[node]], rows[x[rows, feature[node]] > threshold[node]]
+            got = worth(left) + worth(right) - worth(rows) if len(left) and len(right) else 0.0
+            assert got == pytest.approx(max(gains))
+            nodes[2 * node + 1], nodes[2 * node + 2] = left, right
+        for k in range(4):
+            rows = nodes[3 + k]
+            assert leaf[k] == pytest.approx(-rate * g[rows].sum() / (h[rows].sum() + ridge))
+            margin[rows] += leaf[k]
+    assert model.score(x) == pytest.approx(1 / (1 + np.exp(-margin)))
+    for row, score in zip(x, model.score(x), strict=True):  # row by row, node by node
+        total = model.base
+        for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf, strict=True):
+            node = 0
+            while node < 3:
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - 3]
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_repeated_ids_do_not_multiply_the_sample(spark):
+    from tideflow.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"t{i:03d}", "x") for i in range(300)] + [(5, "other", "y"), (None, "z", "z")], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (5, 1), (None, 1), (7, None)], "doc_id long, quality int")
+    assert sorted(map(tuple, labelled_sample(docs, labels, "quality", "doc_id", "text", 4, 9, 100).collect())) == [(0, "t000"), (1, "other")]
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
@@ -437,11 +579,64 @@ def test_toxicity_classifier(spark, data_dir, none):
     read = lambda t: spark.read.parquet(f"{data_dir}/{t}.parquet")
     assert counterfactual_toxicity.score_toxicity(read("documents"), read("labels")).count() == read("documents").count()
     labels = spark.createDataFrame([(None, 1)], "doc_id long, toxic int")
-    odd = spark.createDataFrame([(1, None), (None, ""), (2, "word " * 9000)], "doc_id long, text string")
-    assert [r.score for r in counterfactual_toxicity.score_toxicity(odd, labels).collect()] == [0.5] * 3
+    odd = spark.createDataFrame([(1, None), (None, ""), (2, "word " * 200_000), (2, "word"), (2, "word")], "doc_id long, text string").withColumns({"score": F.lit("x"), "mark": F.lit(1), "label": F.lit(2)})
+    assert [r.score for r in counterfactual_toxicity.score_toxicity(odd, labels).collect()] == [0.5] * 5
     assert counterfactual_toxicity.score_toxicity(none, labels).count() == 0
 
 
+def _marks_of(text):
+    words = [w.strip("0123456789.,;:!?\"'()[]{}<>#*$%&|-_/\\+=~").lower() for w in text.split()]
+    return {m for w in words if w for m in (f"={w}", *(f"{k}{w[:k]}" for k in (4, 5, 6, 7) if len(w) >= k))}
+
+
+def test_counterfactuals_and_gradient_by_brute_force():
+    groups = (("women", "men"), ("muslim", "muslims", "jewish"))
+    texts = ["a woman met women there", "muslim and musli", "jewish muslim men", "none here", ""]
+    names = sorted({m for t in [*texts, *(t for g in groups for t in g)] for m in _marks_of(t)})
+    marks = {m: i for i, m in enumerate(names)}
+    rows = [np.array(sorted(marks[m] for m in _marks_of(t)), np.int64) for t in texts]
+    weights = np.random.default_rng(0).normal(size=len(marks))
+    swaps = counterfactual_toxicity._counterfactuals(rows, marks, groups)
+    got = Counter()
+    for moved, signs, n in zip(swaps.moved, swaps.signs, swaps.weights, strict=True):
+        got[round(abs(weights[moved] @ signs), 9)] += n
+    score = lambda held: sum(weights[marks[m]] for m in held)
+    expected = Counter()
+    for text in texts:
+        for group in groups:
+            present = [t for t in group if t in text.split()]
+            for a in present or group:
+                for b in group:
+                    if a != b and (present or a < b):
+                        rest = _marks_of(text) - _marks_of(a) if present else _marks_of(text)
+                        expected[round(abs(score(rest | _marks_of(b)) - score(rest | _marks_of(a))), 9)] += 1
+    assert got == expected
+    y = np.array([1.0, 0, 1, 0, 0])
+    goal = counterfactual_toxicity.Objective(rows, y, swaps, len(marks), 0.1, 5.0)
+    g, b = goal.gradient(weights, 0.3)
+    e = 1e-6
+    for i in range(len(marks)):
+        step = np.eye(len(marks))[i] * e
+        assert g[i] == pytest.approx((goal.value(weights + step, 0.3) - goal.value(weights - step, 0.3)) / (2 * e), abs=1e-6)
+    assert b == pytest.approx((goal.value(weights, 0.3 + e) - goal.value(weights, 0.3 - e)) / (2 * e), abs=1e-6)
+
+
+def test_the_penalty_acts_on_the_given_tables(spark, data_dir):
+    from tideflow.llm.common import labelled_sample
+
+    docs, labels = (spark.read.parquet(f"{data_dir.replace('sf0.001', 'sf0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    sample = labelled_sample(docs, labels, "toxic", "doc_id", "text", 3, 1, 20_000).cache()
+    clean = docs.join(labels.where("toxic = 0"), "doc_id").where("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 = 1").limit(200)
+    sentences = [r.text.split(".")[0] for r in clean.collect()]
+    spread, alarms = {}, {}
+    for fairness in (0.0, 5.0):
+        model = counterfactual_toxicity.learn(sample, fairness=fairness)
+        scores = np.array([[model.score(counterfactual_toxicity.pa.array([f"{s} {t}" for s in sentences])) for t in g[:2]] for g in counterfactual_toxicity.IDENTITY_TERMS])
+        margins = np.log(scores / (1 - scores))
+        spread[fairness], alarms[fairness] = np.abs(margins[:, 0] - margins[:, 1]).mean(), int((scores >= 0.7).sum())
+    assert 0 < spread[5.0] < spread[0.0] / 4 and alarms[5.0] <= alarms[0.0]
+
+
 def test_swapped_groups_score_alike(spark):
     rng = random.Random(0)
     rows = []

@@ -123,7 +123,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     CRC-32 of the id as text is not ``held_out_fold`` modulo ``folds``; labels and ids do not enter a
     score. Rows of ``labels`` with a null id or label are left out; without labels the score is 0.5.
     Null and empty texts, and texts without words, have all statistics 0 and a score like any other.
-    Repeated rows repeat; an empty table gives no rows; other columns are ignored.
+    Repeated rows repeat; an empty table gives no rows; other columns are ignored. All statistics are of
+    the whole text, however long; its words are held once.
     """
     train = labelled_sample(docs, labels, label_col, id_col, text_col, folds, held_out_fold, max_rows)
     rows = document_statistics(train.withColumnRenamed("text", text_col), "label", text_col).collect()

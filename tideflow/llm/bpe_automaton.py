@@ -70,6 +70,7 @@ class Automaton:
             self.shorter[i], self.longest[text] = best, i
             self.trie.add_word(text, i)
         self.widths = [len(x) for x in self.labels]
+        self.reach = max(self.widths)  # no label is longer
 
     def _add_gadget(self, a: int, b: int, ab: int, rank: int) -> None:
         made = self.labels[a] in self.start and self.labels[b] in self.start and self._open(a, b)
@@ -89,17 +90,18 @@ class Automaton:
         return True
 
     def encode_piece(self, word: bytes) -> list[int]:
-        """The tokens of one pre-split piece: its only accepted path, longest arcs first.
+        """The tokens of one pre-split piece: its only accepted path, sought by backtracking, longest arcs first.
 
-        A prefix has one accepted path too, so a position from which no arc leads on is no boundary.
+        A prefix has one accepted path too, so a position from which no arc leads on is no boundary, and
+        is not tried again.
         """
         text = word.decode("latin-1")
-        n, path, dead = len(text), [], None
+        n, path, dead, reach = len(text), [], None, self.reach
         matched, longest, arcs, shorter, widths = self.trie.longest_prefix, self.longest, self.arcs, self.shorter, self.widths
         at, state, arc = 0, -1, None
         while at < n:
             if arc is None:
-                rest = text[at : at + 256]  # longer than any label
+                rest = text[at : at + reach]
                 arc = longest.get(rest[: matched(rest)], -1)
             while arc >= 0:
                 if dead is None or at + widths[arc] not in dead:
@@ -180,8 +182,11 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     ``path``: a byte-level BPE file of the tokenizers library, readable on every executor. Null and
     empty texts have no ids and decode to the empty text. Rows are mapped one by one, without a
-    shuffle: repeated rows repeat, an empty table stays empty.
+    shuffle: repeated rows repeat, an empty table stays empty. A text is taken whole, however long. Other
+    columns are left out; ``keep`` must not name the id, ``ids`` or ``decoded``, which is an error.
     """
+    if clash := {id_col, "ids", "decoded"} & set(keep):
+        raise ValueError(f"keep names {', '.join(sorted(clash))}")
 
     def run(part: pa.RecordBatch) -> dict[str, object]:
         auto = automaton(path)

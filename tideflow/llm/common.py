@@ -122,19 +122,19 @@ def identity(id_: Column, text: Column, *more: Column) -> tuple[Column, Column]:
     return F.xxhash64(id_, whole, *more), F.hash(whole, id_, *more).bitwiseAND(F.lit(0x7FFF)).cast("bigint")
 
 
-def join_spread(many: DataFrame, one: DataFrame, key: str, sizes: DataFrame, nth: str) -> DataFrame:
-    """``many.join(one, key)``, where a key may hold any share of ``many`` and has one row in ``one``.
+def join_spread(many: DataFrame, one: DataFrame, keys: list[str], sizes: DataFrame, nth: str) -> DataFrame:
+    """``many.join(one, keys)``, where a key may hold any share of ``many`` and has one row in ``one``.
 
-    ``sizes(key, n)`` counts the rows of each key. Keys with over a thousandth of all rows, of which there
+    ``sizes(keys, n)`` counts the rows of each key. Keys with over a thousandth of all rows, of which there
     are less than a thousand, are dealt out by ``nth``, a number of the rows of ``many``.
     """
     total = sizes.agg(F.sum("n")).first()[0] or 0
     # Under 1,000 rows, whatever the size of the tables.
-    heavy = F.broadcast(sizes.where(F.col("n") * 1000 > total).select(key, F.ceil(F.col("n") * 1000 / max(total, 1)).cast("int").alias("__pieces")))
+    heavy = F.broadcast(sizes.where(F.col("n") * 1000 > total).select(*keys, F.ceil(F.col("n") * 1000 / max(total, 1)).cast("int").alias("__pieces")))
     pieces = F.coalesce("__pieces", F.lit(1))
-    left = many.join(heavy, key, "left").withColumn("__piece", F.pmod(F.col(nth), pieces).cast("int")).drop("__pieces")
-    right = one.join(heavy, key, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("__pieces")
-    return left.join(right, [key, "__piece"]).drop("__piece")
+    left = many.join(heavy, keys, "left").withColumn("__piece", F.pmod(F.col(nth), pieces).cast("int")).drop("__pieces")
+    right = one.join(heavy, keys, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("__pieces")
+    return left.join(right, [*keys, "__piece"]).drop("__piece")
 
 
 def fold_of(id_col: str, folds: int) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -73,27 +76,49 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, swaps: list[np.ndarray], signs: list[np.ndarray], k: int, ridge: float = 1e-5, fairness: float = 5.0, steps: int = 400, rate: float = 0.5) -> tuple[np.ndarray, float]:
-    """Weights and base of the logistic loss over texts' marks, with a penalty on counterfactual pairs.
+@dataclass
+class Swaps:
+    """Counterfactual pairs: the marks that each gains (+1) and loses (-1), and how many texts it comes from."""
 
-    ``swaps`` and ``signs`` have, for each text and swapped identity term, the marks gained (+1) and
-    lost (-1); ``fairness`` times the mean squared change of the margin is added to the mean loss.
-    """
-    def flat(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(np.arange(len(x)), [len(r) for r in x]), np.concatenate(x) if x else np.zeros(0, int)
+    moved: list[np.ndarray]
+    signs: list[np.ndarray]
+    weights: np.ndarray
+
+
+def _flat(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(x)), [len(r) for r in x]), np.concatenate([np.zeros(0, np.int64), *x])
+
+
+class Objective:
+    """Mean log-loss of texts' marks, a ridge, and ``fairness`` times the mean squared change of the margin over all swaps."""
 
-    (of, mark), (pair, moved) = flat(rows), flat(swaps)
-    mark, moved = mark.astype(int), moved.astype(int)
-    sign = np.concatenate(signs) if signs else np.zeros(0)
-    n, pairs = max(1, len(rows)), max(1, len(swaps))
+    def __init__(self, rows: list[np.ndarray], y: np.ndarray, swaps: Swaps, k: int, ridge: float, fairness: float):
+        (self.of, self.mark), (self.pair, self.moved) = _flat(rows), _flat(swaps.moved)
+        self.sign = np.concatenate([np.zeros(0), *swaps.signs])
+        self.share = swaps.weights / max(1.0, swaps.weights.sum())
+        self.y, self.k, self.ridge, self.fairness = y, k, ridge, fairness
+
+    def value(self, w: np.ndarray, base: float) -> float:
+        margin = base + np.bincount(self.of, w[self.mark], len(self.y))
+        change = np.bincount(self.pair, w[self.moved] * self.sign, len(self.share))
+        return float((np.logaddexp(0, margin) - self.y * margin).sum() / max(1, len(self.y)) + self.ridge / 2 * w @ w + self.fairness * self.share @ change**2)
+
+    def gradient(self, w: np.ndarray, base: float) -> tuple[np.ndarray, float]:
+        n = max(1, len(self.y))
+        off = 1 / (1 + np.exp(-np.clip(base + np.bincount(self.of, w[self.mark], len(self.y)), -40, 40))) - self.y
+        change = np.bincount(self.pair, w[self.moved] * self.sign, len(self.share))
+        fair = np.bincount(self.moved, (self.share * change)[self.pair] * self.sign, self.k)
+        return np.bincount(self.mark, off[self.of], self.k) / n + self.ridge * w + 2 * self.fairness * fair, off.sum() / n
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, swaps: Swaps, k: int, ridge: float = 1e-5, fairness: float = 5.0, steps: int = 400, rate: float = 0.5) -> tuple[np.ndarray, float]:
+    """Weights and base that bring ``Objective`` down, by gradient steps with a pace for each weight."""
+    goal = Objective(rows, y, swaps, k, ridge, fairness)
     w, speed, power = np.zeros(k), np.zeros(k), np.zeros(k)
     share = (y.sum() + 1) / (len(y) + 2)
     base, base_speed, base_power = float(np.log(share / (1 - share))), 0.0, 0.0
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(base + np.bincount(of, w[mark], len(rows)), -40, 40)))
-        change = np.bincount(pair, w[moved] * sign, len(swaps))
-        g = np.bincount(mark, (p - y)[of], k) / n + ridge * w + 2 * fairness * np.bincount(moved, change[pair] * sign, k) / pairs
-        b = (p - y).sum() / n
+        g, b = goal.gradient(w, base)
         speed, power = 0.9 * speed + 0.1 * g, 0.99 * power + 0.01 * g * g
         base_speed, base_power = 0.9 * base_speed + 0.1 * b, 0.99 * base_power + 0.01 * b * b
         pace = rate * (1 - step / (steps + 1)) * 0.2
@@ -102,28 +127,43 @@ def fit(rows: list[np.ndarray], y: np.ndarray, swaps: list[np.ndarray], signs: l
     return w, base
 
 
-def _counterfactuals(row: frozenset[int], marks: dict[str, int], groups: Sequence[Sequence[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Marks that change when an identity term of the text is swapped for another of its group."""
-    out = []
-    for group in groups:
-        for term in group:
-            if marks.get(f"={term}") not in row:
-                continue
-            lost = {marks[m] for m in _marks(term) if m in marks} & row
-            for other in group:
-                if other != term:
-                    gained = {marks[m] for m in _marks(other) if m in marks} - (row - lost)
-                    up, down = sorted(gained - lost), sorted(lost - gained)
-                    out.append((np.array(up + down, int), np.array([1.0] * len(up) + [-1.0] * len(down))))
-    return out
+def _counterfactuals(rows: list[np.ndarray], marks: dict[str, int], groups: Sequence[Sequence[str]]) -> Swaps:
+    """The swaps of identity terms in texts with the marks ``rows``.
+
+    A term of a group that a text holds is swapped for each other of the group. Of a group that it does not
+    mention, each term is placed in the text and swapped for each other, so that every text has swaps.
+    Texts with the same marks of identity terms have the same swaps, which are made once and counted.
+    """
+    terms = {t: frozenset(marks[m] for m in _marks(t) if m in marks) for g in groups for t in g}
+    whole = {t: marks.get(f"={t}") for t in terms}
+    touched = frozenset().union(*terms.values())
+    swaps: Counter = Counter()
+    for held, n in Counter(frozenset(touched.intersection(r.tolist())) for r in rows).items():
+        for group in groups:
+            present = [t for t in group if whole[t] in held]
+            for a, b in ((a, b) for a in present for b in group if b != a) if present else combinations(group, 2):
+                rest = held - terms[a] if present else held
+                gained, lost = terms[b] - terms[a] - rest, terms[a] - terms[b] - rest
+                if gained or lost:
+                    swaps[tuple(sorted(gained)), tuple(sorted(lost))] += n
+    pairs = sorted(swaps)
+    return Swaps([np.array(g + x, np.int64) for g, x in pairs], [np.repeat([1.0, -1.0], [len(g), len(x)]) for g, x in pairs], np.array([swaps[p] for p in pairs], float))
+
+
+def _with_a_mention(row: np.ndarray, marks: dict[str, int], terms: Sequence[str]) -> np.ndarray:
+    """The marks of a text with an identity term placed in it, chosen by a hash of its marks."""
+    term = terms[zlib.crc32(row.astype("<i8").tobytes()) % len(terms)]
+    return np.union1d(row, [marks[m] for m in _marks(term)])
 
 
 def learn(sample: DataFrame, groups: Sequence[Sequence[str]] = IDENTITY_TERMS, max_marks: int = 4096, least_docs: int = 4, least_z: float = 2.5, **options) -> Model:
     """A model of ``sample(label, text)``; the sample is bounded, and what reaches the driver is its chosen marks.
 
-    Marks are chosen by the z-value of their log odds between the labels, counted over the sample on
-    the executors; identity terms are always among them. Each text with an identity term gives a
-    counterfactual for each other term of the group.
+    Marks in at least ``least_docs`` texts, with a z-value of ``least_z`` or more of their log odds between
+    the labels, counted over the sample on the executors, are chosen, the ``max_marks`` clearest of them:
+    bounds of the model, as ``max_rows`` is one of its sample. The marks of identity terms are always among
+    them. Each text is learned from as it is and with a mention of a group placed in it, under its label,
+    so that the terms have weights of their own; swaps of terms in it enter the penalty.
     """
     def run(part: pa.RecordBatch) -> dict[str, object]:
         return {"label": part.column(0), "marks": pa.array(_marks_of(part.column(1)), pa.list_(pa.string()))}
@@ -137,16 +177,17 @@ def learn(sample: DataFrame, groups: Sequence[Sequence[str]] = IDENTITY_TERMS, m
     noise = F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("g") + 0.5))
     chosen = counted.withColumn("z", F.abs(odds / noise)).where(F.col("z") >= least_z).orderBy(F.desc("z"), "mark").limit(max_marks)
     marks = {r.mark: i for i, r in enumerate(chosen.collect())}
-    for term in (t for g in groups for t in g):
-        for m in _marks(term)[:1]:
-            marks.setdefault(m, len(marks))
+    terms = [t for g in groups for t in g]
+    for m in (m for t in terms for m in _marks(t)):
+        marks.setdefault(m, len(marks))
     # At most max_marks and the identity terms.
     wanted = sample.sparkSession.createDataFrame([(m, i) for m, i in marks.items()], "mark string, k int")
     kept = each.join(F.broadcast(wanted), "mark").groupBy("row").agg(F.collect_list("k").alias("ks"))
     texts = marked.select("row", "label").join(kept, "row", "left").select("label", "ks").collect()
     rows = [np.array(sorted(r.ks or ()), int) for r in texts]
-    swaps = [s for r in rows for s in _counterfactuals(frozenset(r.tolist()), marks, groups)]
-    weights, base = fit(rows, np.array([r.label for r in texts], float), [s[0] for s in swaps], [s[1] for s in swaps], len(marks), **options)
+    y, swaps = np.array([r.label for r in texts], float), _counterfactuals(rows, marks, groups)
+    placed = [_with_a_mention(r, marks, terms) for r in rows] if terms else []
+    weights, base = fit(rows + placed, np.tile(y, 2) if terms else y, swaps, len(marks), **options)
     return Model(marks, weights, base)
 
 
@@ -157,7 +198,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     Fitted to at most ``max_rows`` labelled documents, chosen by a hash of the id, whose CRC-32 of the
     id as text is not ``held_out_fold`` modulo ``folds``. Labels and ids do not enter a score. Rows of
     ``labels`` with a null id or label are left out; without labels the score is 0.5. Null and empty
-    texts have no marks and get the base score. Repeated rows repeat; an empty table gives no rows.
+    texts have no marks and get the base score. Repeated rows repeat; an empty table gives no rows. A text
+    is taken whole, however long: 512 rows and what is in them are held at a time. Other columns are
+    ignored. ``groups`` are the terms that may stand for each other; ``fairness`` is the weight of the
+    penalty on their swaps; ``learn`` and ``fit`` state the further ``options``.
     """
     model = learn(labelled_sample(docs, labels, label_col, id_col, text_col, folds, held_out_fold, max_rows), groups, **options)
 

@@ -105,7 +105,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     printed, rooted, sizes = _classed(docs, id_col, text_col, shingle, max_bits, posting_cap)
     roots = rooted.groupBy("label").agg(F.min("first").alias("component_id"))
     of_print = rooted.join(roots, "label").select("fp", "component_id")
-    return join_spread(printed, of_print, "fp", sizes, "nth").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_spread(printed, of_print, ["fp"], sizes, "nth").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, posting_cap: int = 64) -> DataFrame:
@@ -115,7 +115,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     both any one. All columns are kept; an empty table stays empty.
     """
     printed, rooted, sizes = _classed(docs, id_col, text_col, shingle, max_bits, posting_cap)
-    each = join_spread(printed, rooted.select("fp", "label"), "fp", sizes, "nth")
+    each = join_spread(printed, rooted.select("fp", "label"), ["fp"], sizes, "nth")
     first = each.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "mark")).alias("first"))
     winners = first.select(F.col("first.row").alias("__row"), F.col("first.mark").alias("__mark"))
     row, mark = identity(F.col(id_col), F.col(text_col))

@@ -6,10 +6,11 @@ that begin at anchors, one for about every 65 bytes. A run of the index is those
 of documents in the order of their anchors' keys, with counts; it is the sparse counterpart of a
 suffix array, ordered by hash instead of by bytes.
 
-- New batches get a run of their own. Runs of equal rank are merged into one of the next rank, so
-  n batches leave at most log2(n) + 1 runs, and each suffix is rewritten that often at most.
-- The merge-scan joins the suffixes of the batches with the runs by key. Only keys that occur twice
-  can begin a long match.
+- A new batch gets a run of its own and is merge-scanned against the runs that are there: both sides
+  are bucketed by key and sorted, so that equal keys meet bucket by bucket, without a shuffle. Only keys
+  that occur twice, in two runs or in the batch itself, can begin a long match.
+- Then runs of equal rank are merged into one of the next rank, again bucket by bucket, so n batches
+  leave at most log2(n) + 1 runs, and each key is rewritten that often at most.
 - The starts of all strings with one anchor are consecutive, and so are the bytes they cover: the
   anchor's context. Where a whole context occurs twice, all its starts repeat. The other contexts
   under a repeated key are compared byte by byte, for each start apart.
@@ -17,22 +18,25 @@ suffix array, ordered by hash instead of by bytes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, identity, map_slices, materialise, release, shared_dir, utf8
+from .common import drop_path, identity, join_spread, map_slices, materialise, release, shared_dir, utf8
 
 KEY_BYTES = 32
 _TABLE = np.random.default_rng(10).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
-#: Bytes of text that are hashed together; a longer text is taken alone.
+#: Bytes of text that are hashed together; a longer text is hashed by pieces of this size.
 _AT_A_TIME = 1 << 19
 
 
@@ -81,77 +85,99 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def suffixes(keyed: DataFrame, length: int) -> DataFrame:
-    """``(row, place, key, context)`` of each anchor; ``place`` packs mark, first start, number of starts less 1, and bytes before the anchor."""
+    """``(row, place, key, context)`` of each anchor; ``place`` packs mark, first start, number of starts less 1, and bytes before the anchor.
 
-    def some(texts: list[bytes], rows: np.ndarray, marks: np.ndarray) -> list[np.ndarray]:
-        ends = np.cumsum([len(t) for t in texts])
-        raw = b"".join(texts)
+    A long text is taken by pieces that overlap by ``length`` - 1 bytes, so that each string lies in one. An
+    anchor whose starts lie in two pieces has two entries then, with other starts, which are compared alike.
+    """
+
+    def some(pieces: list[bytes], owner: np.ndarray, base: np.ndarray, rows: np.ndarray, marks: np.ndarray) -> list[np.ndarray]:
+        ends = np.cumsum([len(t) for t in pieces])
+        raw = b"".join(pieces)
         key, at, first, last = _anchors(np.frombuffer(raw, np.uint8), ends, length)
-        doc = np.searchsorted(ends, first, "right")
-        begin = np.concatenate([[0], ends])[doc]
+        piece = np.searchsorted(ends, first, "right")
+        doc, begin = owner[piece], np.concatenate([[0], ends])[piece] - base[piece]
         context = np.fromiter(map(xxhash.xxh3_64_intdigest, (raw[i:j] for i, j in zip(first.tolist(), (last + length).tolist(), strict=True))), np.uint64, len(first))
         place = marks[doc] << 48 | (first - begin) << 16 | (last - first) << 8 | (at - first)
         return [rows[doc], place, key.view(np.int64), context.view(np.int64)]
 
     def run(part: pa.RecordBatch) -> dict[str, object]:
         texts, rows, marks = utf8(part.column(0)), part.column(1).to_numpy(), part.column(2).to_numpy()
-        out, lo = [[np.zeros(0, np.int64)] * 4], 0
-        while lo < len(texts):  # the arrays take some hundred bytes for each byte of text
-            hi, held = lo + 1, len(texts[lo])
-            while hi < len(texts) and held + len(texts[hi]) <= _AT_A_TIME:
-                held += len(texts[hi])
-                hi += 1
-            out.append(some(texts[lo:hi], rows[lo:hi], marks[lo:hi]))
-            lo = hi
+        out, held, size = [[np.zeros(0, np.int64)] * 4], [], 0
+
+        def flush() -> None:  # the arrays take some hundred bytes for each byte of text
+            if held:
+                out.append(some([h[2] for h in held], np.array([h[0] for h in held]), np.array([h[1] for h in held]), rows, marks))
+                held.clear()
+
+        for i, text in enumerate(texts):
+            for k in range(0, len(text) - length + 1, _AT_A_TIME):
+                piece = text[k : k + _AT_A_TIME + length - 1]
+                if size + len(piece) > _AT_A_TIME:
+                    flush()
+                    size = 0
+                held.append((i, k, piece))
+                size += len(piece)
+        flush()
         return dict(zip(("row", "place", "key", "context"), map(np.concatenate, zip(*out, strict=True)), strict=True))
 
     return map_slices(keyed.where(F.octet_length("text") >= length).select("text", "row", "mark"), run, "row bigint, place bigint, key bigint, context bigint")
 
 
 class SuffixFamily:
-    """Runs of anchored suffixes in the shared folder; ``add`` takes a batch, ``repeated`` merge-scans all."""
+    """Runs of anchored suffixes, as bucketed tables in the shared folder.
+
+    ``add`` takes a batch of ``suffixes``; ``repeated`` gives the keys found at least twice in all batches.
+    """
 
     def __init__(self, spark: SparkSession, length: int = 200, folder: str | None = None):
         if not KEY_BYTES <= length <= 287:
             raise ValueError(f"length must be between {KEY_BYTES} and 287")
         self.spark, self.length, self.folder = spark, length, folder or shared_dir(spark)
-        self.levels: list[tuple[int, str]] = []  # rank and path, ranks falling
-        self.batches: list[DataFrame] = []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"tideflow_{uuid.uuid4().hex}"
+        self.levels: list[tuple[int, str]] = []  # rank and table, ranks falling
+        self.found: list[DataFrame] = []
         self.written = 0
 
     def _write_run(self, counted: DataFrame) -> str:
-        path = f"{self.folder}/run-{self.written}"
+        """``counted(key, n)`` as a table of one sorted file for each bucket of keys."""
+        table = f"{self.name}_{self.written}"
+        counted.write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.folder}/run-{self.written}").saveAsTable(table)
         self.written += 1
-        counted.sortWithinPartitions("key").write.parquet(path)
-        return path
-
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("key bigint, n bigint").parquet(path)
-
-    def add(self, keyed: DataFrame) -> None:
-        """Index a batch ``(text, row, mark)`` and merge runs while the last two have one rank."""
-        batch = materialise(suffixes(keyed, self.length), f"{self.folder}/suffixes-{len(self.batches)}")
-        self.batches.append(batch)
-        self.levels.append((0, self._write_run(batch.groupBy("key").agg(F.count(F.lit(1)).alias("n")))))
+        return table
+
+    def _drop_run(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE {table}")
+        drop_path(self.spark, f"{self.folder}/run-{table.rsplit('_', 1)[1]}")
+
+    def add(self, batch: DataFrame) -> None:
+        """Index a batch of ``suffixes``: scan it against all runs for equal keys, then merge runs while the last two have one rank."""
+        run = self._write_run(batch.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+        new = self.spark.table(run)
+        shared = new.where("n > 1").select("key")
+        for _, level in self.levels:
+            shared = shared.unionByName(new.join(self.spark.table(level).select("key"), "key").select("key"))
+        self.found.append(materialise(shared, f"{self.folder}/found-{len(self.found)}"))
+        self.levels.append((0, run))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (rank, a), (_, b) = self.levels[-2:]
-            merged = self._write_run(self._read(a).unionByName(self._read(b)).groupBy("key").agg(F.sum("n").alias("n")))
-            self.levels[-2:] = [(rank + 1, merged)]
-            drop_path(self.spark, a)
-            drop_path(self.spark, b)
+            x, y = self.spark.table(a), self.spark.table(b)
+            both = x.join(y, x.key == y.key, "full_outer").select(F.coalesce(x.key, y.key).alias("key"), (F.coalesce(x.n, F.lit(0)) + F.coalesce(y.n, F.lit(0))).alias("n"))
+            self.levels[-2:] = [(rank + 1, self._write_run(both))]
+            self._drop_run(a)
+            self._drop_run(b)
 
     def repeated(self) -> DataFrame:
-        """The suffixes of all batches whose key occurs at least twice over all runs."""
-        runs = [self._read(path) for _, path in self.levels]
-        counts = runs[0]
-        for r in runs[1:]:
-            counts = counts.unionByName(r)
-        if len(runs) > 1:
-            counts = counts.groupBy("key").agg(F.sum("n").alias("n"))
-        every = self.batches[0]
-        for b in self.batches[1:]:
-            every = every.unionByName(b)
-        return every.join(counts.where("n > 1").select("key"), "key")
+        """The keys that occur at least twice over all batches, each once."""
+        return reduce(DataFrame.unionByName, self.found).distinct()
+
+    def close(self) -> None:
+        """Delete the runs and what was found."""
+        for _, table in self.levels:
+            self.spark.sql(f"DROP TABLE {table}")
+        self.levels, self.found = [], []
+        drop_path(self.spark, self.folder)
 
 
 _STARTS = "row bigint, mark bigint, lo bigint, hi bigint"
@@ -220,22 +246,32 @@ def _same_digests(contexts: DataFrame, length: int) -> DataFrame:
     return each.join(twice, ["at", "digest"]).select("row", "mark", F.col("start").alias("lo"), F.col("start").alias("hi"))
 
 
-def repeated_starts(docs: DataFrame, id_col: str, text_col: str, length: int = 200, batches: int = 2, crowd: int = 20_000) -> DataFrame:
+def repeated_starts(docs: DataFrame, id_col: str, text_col: str, length: int = 200, batches: int | None = None, crowd: int = 2_000) -> DataFrame:
     """``(row, mark, lo, hi)``: in the rows of ``_keyed``, the starts lo..hi of strings that start anywhere else too."""
-    spark = docs.sparkSession
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
-    family = SuffixFamily(spark, length)
+    every = materialise(suffixes(keyed, length), f"{folder}/suffixes")
+    if batches is None:  # each batch is scanned against all before it, so their number grows with the logarithm of the input
+        batches = 2 + (every.count() >> 22).bit_length()
+    family = SuffixFamily(spark, length, f"{folder}/family")
     for i in range(batches):
-        family.add(keyed.where(F.pmod("row", F.lit(batches)) == i))
-    hits = materialise(family.repeated())
+        family.add(every.where(F.pmod("row", F.lit(batches)) == i))
+    keys = materialise(family.repeated())
+    family.close()
+    # A key that many suffixes have has one row on the right, and Spark splits its rows on the left.
+    hits = materialise(every.join(keys, "key"), f"{folder}/hits")
+    drop_path(spark, f"{folder}/suffixes")
     release(spark)
     groups = materialise(hits.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("one")))
-    whole = hits.join(groups.where("n > 1").select("key", "context"), ["key", "context"]).select("row", "place").distinct()
+    twice = groups.where("n > 1").select("key", "context", "n")
+    whole = join_spread(hits.withColumn("nth", F.xxhash64("row", "place")), twice.drop("n"), ["key", "context"], twice, "nth").select("row", "place").distinct()
     mark, first = F.shiftright("place", 48), F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFFFFFF))
     whole = materialise(whole.select("row", mark.alias("mark"), first.alias("lo"), (first + F.shiftright("place", 8).bitwiseAND(F.lit(0xFF))).alias("hi")))
     # One anchor for each different context, where a key has several.
-    sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n_contexts")).where("n_contexts > 1")
-    several = materialise(groups.join(sizes, "key").select("one.row", F.shiftright("one.place", 48).alias("mark"), "one.place", "key", "n_contexts"))
+    sizes = materialise(groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    several = join_spread(groups.select("key", "context", "one"), sizes.withColumnRenamed("n", "n_contexts"), ["key"], sizes, "context")
+    several = materialise(several.select("one.row", F.shiftright("one.place", 48).alias("mark"), "one.place", "key", "n_contexts"))
+    drop_path(spark, f"{folder}/hits")
     release(spark)
     wanted = several.groupBy("row", "mark").agg(F.collect_list(F.struct("place", "key", "n_contexts")).alias("anchors"))
 
@@ -256,33 +292,38 @@ def repeated_starts(docs: DataFrame, id_col: str, text_col: str, length: int = 2
     return whole.unionByName(parts)
 
 
-def _runs(starts: list[dict[str, int]] | None, length: int) -> list[list[int]]:
-    """The maximal runs of bytes in strings that begin at ``starts``."""
-    runs: list[list[int]] = []
-    for lo, hi in sorted((s["lo"], s["hi"] + length) for s in starts or ()):
-        if runs and lo <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], hi)
-        else:
-            runs.append([lo, hi])
-    return runs
+def _runs(starts: pa.ListArray, length: int) -> list[list[tuple[int, int]]]:
+    """For each text the maximal runs of bytes in strings that begin at its ``starts``."""
+    flat, at, out = starts.flatten(), 0, []
+    first, end = flat.field("lo").to_numpy(), flat.field("hi").to_numpy() + length
+    for n in pc.fill_null(starts.value_lengths(), 0).to_pylist():
+        lo, hi = first[at : at + n], end[at : at + n]
+        at += n
+        order = np.argsort(lo, kind="stable")
+        lo, hi = lo[order], np.maximum.accumulate(hi[order])
+        cuts = np.flatnonzero(lo[1:] > hi[:-1])
+        out.append(list(zip(lo[[0, *(cuts + 1)]].tolist(), hi[[*cuts, n - 1]].tolist(), strict=True)) if n else [])
+    return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batches: int = 2, crowd: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batches: int | None = None, crowd: int = 2_000) -> DataFrame:
     """One row for each document: id, ``n_bytes``, ``spans ARRAY<STRUCT<lo, hi>>`` and ``kept BINARY``.
 
     ``spans`` are the maximal runs of bytes that lie in a string of ``length`` bytes which also starts
     anywhere else, in this document or another; ``kept`` is the other bytes. Null texts count as empty;
     texts under ``length`` bytes keep all; a repeated row is its own repetition; an empty table gives
-    no rows. ``batches`` is how many batches the family takes in; the result does not depend on it.
-    Keys with over ``crowd`` different contexts are compared by counted digests, dealt out by them.
+    no rows; other columns are ignored. A very long text is hashed by pieces and held whole only to be cut.
+    ``batches`` is how many batches the family takes in, by default two and one more each time the input
+    doubles from 4 million anchors on. The contexts of one key meet in one task, which compares their bytes;
+    a key with over ``crowd`` different ones is compared by counted 128-bit digests instead, dealt out by
+    them. The result depends on neither.
     """
     starts = repeated_starts(docs, id_col, text_col, length, batches, crowd)
     listed = starts.groupBy("row", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("starts"))
 
     def cut(part: pa.RecordBatch) -> dict[str, object]:
         spans, kept, sizes = [], [], []
-        for text, starts in zip(utf8(part.column(1)), part.column(2).to_pylist(), strict=True):
-            runs = _runs(starts, length)
+        for text, runs in zip(utf8(part.column(1)), _runs(part.column(2), length), strict=True):
             at, left = 0, []
             for lo, hi in runs:
                 left.append(text[at:lo])
@@ -298,11 +339,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return map_slices(texts, cut, f"id {kind}, n_bytes bigint, spans array<struct<lo: bigint, hi: bigint>>, kept binary").withColumnRenamed("id", id_col)
 
 
-def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", length: int = 200, batches: int = 2, crowd: int = 20_000) -> DataFrame:
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", length: int = 200, batches: int | None = None, crowd: int = 2_000) -> DataFrame:
     """``docs`` with the repeated strings of ``remove_repeats`` cut out of the texts, and ``size_col`` counted anew where there is one.
 
     Characters that lose some of their bytes to a cut go wholly. No document goes; a text that lost
-    everything is empty, a null text stays null.
+    everything is empty, a null text stays null. Ids may be null or repeat; all columns are kept.
     """
     starts = repeated_starts(docs, id_col, text_col, length, batches, crowd)
     listed = starts.groupBy("row", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("starts")).select(F.col("row").alias("__row"), F.col("mark").alias("__mark"), F.col("starts").alias("__starts"))
@@ -312,10 +353,10 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def run(part: pa.RecordBatch) -> dict[str, object]:
         texts = part.column(place).to_pylist()
-        for i, starts in enumerate(part.column(starts_at).to_pylist()):
-            if starts:
+        for i, runs in enumerate(_runs(part.column(starts_at), length)):
+            if runs:
                 data, at, left = texts[i].encode(), 0, []
-                for lo, hi in _runs(starts, length):
+                for lo, hi in runs:
                     left.append(data[at:lo].decode("utf-8", "ignore"))
                     at = hi
                 texts[i] = "".join([*left, data[at:].decode("utf-8", "ignore")])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +51,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     with both verdicts, block. ``rule`` is its host and path, null where none fits; the verdict is
     ``default`` then. Urls that are null or have no ``://`` have an empty host and path. Rules with a
     null in a column are no rules; a rule with an empty host fits every url by its path. Ids may be
-    null or repeat: every row gets its verdict. Empty tables of pages or rules are no special case.
+    null or repeat: every row gets its verdict. Empty tables of pages or rules are no special case, other
+    columns are ignored, and a url may be of any length.
 
     Urls and rules are sorted by reversed host, in ranges cut by a bounded sample of the urls. A rule's
     host is an interval of the order, and goes to each range that it meets. The sweep over a range
@@ -64,11 +67,12 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     bounds = _bounds(urls.select("sort_key"), ranges, per_range)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spin = count(TaskContext.get().partitionId())  # a running number, so that repeated rows are dealt out too
         for batch in batches:
             dealt = []
-            for key, spin in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            for key in batch.column(4).to_pylist():
                 lo, hi = bisect_left(bounds, key), bisect_right(bounds, key)
-                dealt.append(lo + spin % (hi - lo + 1))
+                dealt.append(lo + next(spin) % (hi - lo + 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(dealt, pa.int32())], ["id", "host", "path", "key", "part"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +80,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
             met = [list(range(bisect_left(bounds, k), bisect_right(bounds, k + _LAST) + 1)) for k in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(met, pa.list_(pa.int32()))], ["host", "path", "verdict", "key", "parts"])
 
-    spun = urls.withColumn("spin", F.pmod(F.xxhash64("id", "sort_key"), F.lit(1 << 30)))
-    dealt = spun.mapInArrow(deal, f"id {kind}, host string, path string, key string, part int").withColumns({"kind": F.lit(1), "verdict": F.lit(None).cast("string")})
+    dealt = urls.mapInArrow(deal, f"id {kind}, host string, path string, key string, part int").withColumns({"kind": F.lit(1), "verdict": F.lit(None).cast("string")})
     ruled = rules.select("host", "path", "verdict").dropna().withColumn("host", F.translate("host", _UPPER, _LOWER)).withColumn("key", reversed_host(F.col("host")))
     sown = ruled.mapInArrow(spread, "host string, path string, verdict string, key string, parts array<int>").withColumn("part", F.explode("parts"))
     sown = sown.select(F.lit(None).cast(kind).alias("id"), "host", "path", "key", "part", F.lit(0).alias("kind"), "verdict")

@@ -7,7 +7,7 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,74 +21,92 @@ from pyspark.sql import functions as F
 
 from .common import materialise, shared_dir
 
-_MAGIC = b"TFWM0001"
+_MAGIC = b"TFWM0002"
+#: Bits of a plane that are compressed together: 64 KB.
+_CHUNK = 1 << 19
 _SLICE_ROWS = 4096
 #: Tails: any ASCII punctuation but the apostrophe, which may begin a contraction.
 _WORD_AND_TAIL = r"""(?s)^(?P<word>.*?)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"""
 
 
+class Plane:
+    """A bit sequence in chunks of ``_CHUNK`` bits, with the ones before each chunk: rank and select look at one chunk."""
+
+    def __init__(self, n: int, before: np.ndarray, fetch: Callable[[int], np.ndarray]):
+        self.n, self.before, self.fetch = n, before, fetch  # fetch: the 64-bit words of a chunk
+        self.ones = int(before[-1])
+
+    @classmethod
+    def of(cls, bits: np.ndarray) -> Plane:
+        packed = np.packbits(bits, bitorder="little")
+        words = np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]).view(np.uint64)
+        counts = np.add.reduceat(np.bitwise_count(words), np.arange(0, len(words), _CHUNK // 64), dtype=np.int64) if len(words) else np.zeros(0, np.int64)
+        return cls(len(bits), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), lambda c: words[c * (_CHUNK // 64) : (c + 1) * (_CHUNK // 64)])
+
+    def bits(self) -> np.ndarray:
+        words = [self.fetch(c) for c in range(len(self.before) - 1)]
+        return np.unpackbits(np.concatenate([np.zeros(0, np.uint64), *words]).view(np.uint8), count=self.n, bitorder="little").view(bool)
+
+    def rank1(self, i: int) -> int:
+        """Ones before position ``i``."""
+        if i >= self.n:
+            return self.ones
+        chunk, at = divmod(i, _CHUNK)
+        words, (word, bit) = self.fetch(chunk), divmod(at, 64)
+        return int(self.before[chunk]) + int(np.bitwise_count(words[:word]).sum()) + (int(words[word]) & ((1 << bit) - 1)).bit_count()
+
+    def bit(self, i: int) -> int:
+        chunk, at = divmod(i, _CHUNK)
+        return int(self.fetch(chunk)[at // 64]) >> (at % 64) & 1
+
+    def select(self, bit: int, places: np.ndarray) -> np.ndarray:
+        """Positions of the ``places``-th (from 0, ascending) ones or zeros."""
+        before = self.before if bit else np.minimum(np.arange(len(self.before)) * _CHUNK, self.n) - self.before
+        chunk, out = np.searchsorted(before, places, "right") - 1, np.empty(len(places), np.int64)
+        for c in np.unique(chunk).tolist():
+            mine = chunk == c
+            found = np.flatnonzero(np.unpackbits(self.fetch(c).view(np.uint8), count=min(_CHUNK, self.n - c * _CHUNK), bitorder="little") == bit)
+            out[mine] = c * _CHUNK + found[places[mine] - before[c]]
+        return out
+
+
 class WaveletMatrix:
     """Bit planes of a sequence, highest bit first; each plane's zeros go before its ones for the next.
 
-    ``access``, ``rank`` and ``select`` cost one step for each plane, over counts of ones by 64-bit word.
+    ``access``, ``rank`` and ``locate`` take one or two chunks of each plane, wherever the planes are.
     """
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
+    def __init__(self, n: int, planes: list[Plane]):
         self.n, self.planes, self.bits = n, planes, len(planes)
-        self._before: list[np.ndarray] | None = None
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, x = [], np.ascontiguousarray(ids)
         for level in range(bits - 1, -1, -1):
             ones = (x & x.dtype.type(1 << level)) != 0
-            packed = np.packbits(ones, bitorder="little")
-            planes.append(np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]).view(np.uint64))
+            planes.append(Plane.of(ones))
             x = np.concatenate([x[~ones], x[ones]])
         return cls(len(ids), planes)
 
-    def _ones(self, k: int) -> np.ndarray:
-        return np.unpackbits(self.planes[k].view(np.uint8), count=self.n, bitorder="little").view(bool)
-
     def ids(self, dtype: type = np.uint32) -> np.ndarray:
         """The whole sequence: the stable partitions undone from the lowest plane up."""
         x = np.zeros(self.n, dtype)
         for k in range(self.bits - 1, -1, -1):
-            ones, back = self._ones(k), np.empty(self.n, dtype)
-            zeros = self.n - int(np.count_nonzero(ones))
+            ones, back = self.planes[k].bits(), np.empty(self.n, dtype)
+            zeros = self.n - self.planes[k].ones
             back[~ones] = x[:zeros]
             back[ones] = x[zeros:] | dtype(1 << (self.bits - 1 - k))
             x = back
         return x
 
-    @property
-    def before(self) -> list[np.ndarray]:
-        """For each plane, ones before each word, and all ones at the end."""
-        if self._before is None:
-            self._before = [np.concatenate([[0], np.cumsum(np.bitwise_count(p), dtype=np.int64)]) for p in self.planes]
-        return self._before
-
-    def _rank1(self, k: int, i: int) -> int:
-        word, bit = divmod(i, 64)
-        got = int(self.before[k][word])
-        return got + (int(self.planes[k][word]) & ((1 << bit) - 1)).bit_count() if bit else got
-
-    def _select(self, k: int, bit: int, places: np.ndarray) -> np.ndarray:
-        """Positions of the ``places``-th (from 0) ones or zeros of plane ``k``."""
-        before = self.before[k] if bit else np.arange(len(self.before[k])) * 64 - self.before[k]
-        word = np.searchsorted(before, places, "right") - 1
-        inside = np.unpackbits(self.planes[k][word].reshape(-1, 1).view(np.uint8), axis=1, bitorder="little") == bit
-        return word * 64 + np.argmax(np.cumsum(inside, axis=1) > (places - before[word])[:, None], axis=1)
-
     def access(self, i: int) -> int:
         """The id at position ``i``."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for k in range(self.bits):
-            bit = int(self.planes[k][i // 64]) >> (i % 64) & 1
-            ones = self._rank1(k, i)
-            i = self.n - int(self.before[k][-1]) + ones if bit else i - ones
+        for plane in self.planes:
+            bit, ones = plane.bit(i), plane.rank1(i)
+            i = self.n - plane.ones + ones if bit else i - ones
             value = value << 1 | bit
         return value
 
@@ -96,9 +114,9 @@ class WaveletMatrix:
         lo, hi = 0, end
         if token >> self.bits:
             return 0, 0
-        for k in range(self.bits):
-            a, b = self._rank1(k, lo), self._rank1(k, hi)
-            zeros = self.n - int(self.before[k][-1])
+        for k, plane in enumerate(self.planes):
+            a, b = plane.rank1(lo), plane.rank1(hi)
+            zeros = self.n - plane.ones
             lo, hi = (zeros + a, zeros + b) if token >> (self.bits - 1 - k) & 1 else (lo - a, hi - b)
         return lo, hi
 
@@ -118,33 +136,70 @@ class WaveletMatrix:
             if not len(at):
                 break
             bit = token >> (self.bits - 1 - k) & 1
-            at = self._select(k, bit, at - (self.n - int(self.before[k][-1])) if bit else at)
+            at = self.planes[k].select(bit, at - (self.n - self.planes[k].ones) if bit else at)
         return at
 
 
-def dump(ids: np.ndarray, doc_ids: pa.Array, lengths: list[int], bits: int) -> bytes:
-    """A shard's file: magic, length of the header, header (JSON), table of documents (Arrow), planes (zstd)."""
+def dump(ids: np.ndarray, doc_ids: pa.Array, lengths: list[int], bits: int, end_id: int | None = None) -> bytes:
+    """A shard's file: magic, length of the header, header (JSON), rank directory, table of documents (Arrow, zstd), chunks of planes (zstd).
+
+    The rank directory has for each plane the ones before each chunk, and for each chunk its bytes in the file.
+    """
     matrix, pack = WaveletMatrix.build(ids, bits), zstandard.ZstdCompressor(level=1)
     sink = pa.BufferOutputStream()
     table = pa.record_batch({"id": doc_ids, "n_tokens": pa.array(lengths, pa.int64())})
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_batch(table)
-    parts = [pack.compress(sink.getvalue().to_pybytes()), *(pack.compress(p.tobytes()) for p in matrix.planes)]
-    head = json.dumps({"n": len(ids), "bits": bits, "sizes": [len(p) for p in parts]}).encode()
-    return b"".join([_MAGIC, struct.pack("<I", len(head)), head, *parts])
+    documents = pack.compress(sink.getvalue().to_pybytes())
+    chunks = [[pack.compress(p.fetch(c).tobytes()) for c in range(len(p.before) - 1)] for p in matrix.planes]
+    directory = np.concatenate([np.zeros(0, "<i8"), *(np.array([*p.before, *map(len, own)], "<i8") for p, own in zip(matrix.planes, chunks, strict=True))]).tobytes()
+    head = json.dumps({"n": len(ids), "bits": bits, "chunk": _CHUNK, "end_id": end_id, "directory": len(directory), "documents": len(documents)}).encode()
+    return b"".join([_MAGIC, struct.pack("<I", len(head)), head, directory, documents, *(c for own in chunks for c in own)])
+
 
+class Shard:
+    """A shard's file by ``read(offset, size)``: ``matrix`` reads the chunks that a question needs, ``documents()`` the table."""
 
-def load(data: bytes) -> tuple[WaveletMatrix, pa.RecordBatch]:
-    """The wavelet matrix of a shard's file, and its table of documents ``(id, n_tokens)``."""
-    if data[:8] != _MAGIC:
-        raise ValueError("not a shard file")
-    (size,) = struct.unpack_from("<I", data, 8)
-    head, at, parts, unpack = json.loads(data[12 : 12 + size]), 12 + size, [], zstandard.ZstdDecompressor()
-    for k in head["sizes"]:
-        parts.append(unpack.decompress(data[at : at + k]))
-        at += k
-    table = pa.ipc.open_stream(parts[0]).read_all().combine_chunks().to_batches()
-    return WaveletMatrix(head["n"], [np.frombuffer(p, np.uint64) for p in parts[1:]]), table[0]
+    def __init__(self, read: Callable[[int, int], bytes]):
+        start = read(0, 12)
+        if start[:8] != _MAGIC:
+            raise ValueError("not a shard file")
+        (size,) = struct.unpack_from("<I", start, 8)
+        head = json.loads(read(12, size))
+        if head["chunk"] != _CHUNK:
+            raise ValueError(f"chunks of {head['chunk']} bits")
+        self.read, self.n, self.end_id, self.table = read, head["n"], head["end_id"], (12 + size + head["directory"], head["documents"])
+        n_chunks = -(-self.n // _CHUNK)
+        directory = np.frombuffer(read(12 + size, head["directory"]), "<i8").reshape(head["bits"], 2 * n_chunks + 1)
+        ends = sum(self.table) + np.cumsum(directory[:, n_chunks + 1 :]).reshape(head["bits"], n_chunks)
+
+        def plane(k: int) -> Plane:
+            sizes = directory[k, n_chunks + 1 :]
+
+            @lru_cache(maxsize=2)
+            def fetch(c: int) -> np.ndarray:
+                return np.frombuffer(zstandard.ZstdDecompressor().decompress(read(int(ends[k, c] - sizes[c]), int(sizes[c]))), np.uint64)
+
+            return Plane(self.n, directory[k, : n_chunks + 1], fetch)
+
+        self.matrix = WaveletMatrix(self.n, [plane(k) for k in range(head["bits"])])
+
+    def documents(self) -> pa.RecordBatch:
+        """``(id, n_tokens)`` of the documents, in their order."""
+        table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(self.read(*self.table))).read_all().combine_chunks()
+        return table.to_batches()[0]
+
+
+def load(data: bytes) -> Shard:
+    """A shard from the bytes of its file."""
+    return Shard(lambda at, size: data[at : at + size])
+
+
+def open_shard(path: str) -> Shard:
+    """A shard whose file is read by ranges."""
+    fs, place = _filesystem(path)
+    file = fs.open_input_file(place)
+    return Shard(lambda at, size: file.read_at(size, at))
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -254,7 +309,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str | None = Non
     share, by default under ``spark.checkpoint.dir``), under its final name only once it is whole, so a
     task that runs again does no harm. Manifest: ``(part, seq, path, n_docs, n_tokens)``, and ``start``,
     the ids in all shards before. A document is never split. Null texts count as empty and get the end
-    id alone; rows with a null id come first; repeated ids are kept; an empty table writes no file.
+    id alone; rows with a null id come first; repeated ids are kept, in the order of a hash of their texts,
+    so that they can be dealt out; an empty table writes no file. A text is taken whole, however long, and
+    lies in one shard, which it may make larger. Other columns are ignored.
     """
     spark = docs.sparkSession
     out_dir = out_dir or shared_dir(spark)
@@ -267,7 +324,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str | None = Non
         def flush() -> pa.RecordBatch:
             path = f"{out_dir}/shard-{part:06d}-{seq:05d}.wm"
             lengths = [len(x) // np.dtype(coder.dtype).itemsize for x in held]
-            data = dump(np.frombuffer(b"".join(held), coder.dtype), pa.concat_arrays(ids), lengths, coder.bits)
+            data = dump(np.frombuffer(b"".join(held), coder.dtype), pa.concat_arrays(ids), lengths, coder.bits, end_id)
             fs, place = _filesystem(path)
             fs.create_dir(os.path.dirname(place), recursive=True)
             temporary = f"{place}.{uuid.uuid4().hex}"
@@ -295,7 +352,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str | None = Non
             yield flush()
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ordered = src.repartitionByRange("id").sortWithinPartitions("id")
+    ordered = src.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").drop("tie")
     manifest = materialise(ordered.mapInArrow(run, "part int, seq int, path string, n_docs bigint, n_tokens bigint"))
     # Running totals in two steps, so that one task sees one row for each partition and not for each shard.
     parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
@@ -305,14 +362,20 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str | None = Non
 
 
 def read_documents(manifest: DataFrame, id_type: str = "bigint", id_col: str = "doc_id") -> DataFrame:
-    """``(id, start, n_tokens, ids_crc32)`` of every document, from the shards' files alone."""
+    """``(id, start, n_tokens, ids_crc32)`` of every document, from the shards' files alone.
+
+    A file that holds fewer end ids than documents, which its planes tell by rank, is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, place = _filesystem(path)
                 with fs.open_input_stream(place) as f:
-                    matrix, table = load(f.read())
+                    shard = load(f.read())
+                matrix, table = shard.matrix, shard.documents()
+                if shard.end_id is not None and matrix.count(shard.end_id) < table.num_rows:
+                    raise ValueError(f"{path} is damaged")
                 narrow = np.uint16 if matrix.bits <= 16 else np.uint32
                 ids, lengths = matrix.ids(narrow), table.column(1).to_numpy()
                 ends = np.cumsum(lengths)
