@@ -7,16 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideflow.llm import bpe_automaton, quality_rules, simhash, source_mix, suffix_family
-from tideflow.llm.common import shared_dir
+from tideflow.llm.common import drop_path, scratch, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the quality rules, or whose host does, go."""
+    """Documents that fail the quality rules, or whose host does, go; each row by its own verdict."""
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates exactly one row stays, that with the smallest id (null after all others)."""
     return simhash.keep_one(docs)
 
 
@@ -57,9 +57,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; ``slot`` and ``place`` give the order of the rows."""
+    """All stages over ``documents``; ``slot`` and ``place`` give the order of the rows.
+
+    Ids and sources may be null or repeat, texts be null, empty or very long, the table empty or with
+    further columns, which the first four stages keep. What a stage made on its way is deleted once its
+    result is written, and so is each result but the last once the next is.
+    """
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark)
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/stage-{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/stage-{k}")
         docs = spark.read.parquet(f"{folder}/stage-{k}")
+        if k:
+            drop_path(spark, f"{folder}/stage-{k - 1}")
     return docs
