@@ -49,6 +49,40 @@ def test_order_of_the_mix_reaches_the_output(spark, tmp_path):
     assert len(files) > 1 and [r.doc_id for f in files for r in spark.read.parquet(str(f)).collect()] == expected
 
 
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    words = [f"word{i}" for i in range(3000)]
+    good = [" ".join(words[k : k + 60]) for k in range(0, 600, 60)]
+    rows = [(1, good[0], "src0"), (1, good[0], "src0"), (1, good[1], "src0"), (None, good[2], None), (None, good[2], "src1"), (None, good[3], "src1"), (None, "bad", "src1"), (2, None, "src2"), (3, "", "src2"), (4, " ".join(words) * 30, "src2"), (5, good[4], "other")]
+    rows += [(10 + i, " ".join(words[600 + 40 * i :][:40]), "src0") for i in range(30)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, slot string, place string, row string, mark string, weight string, block string, starts string, label string, fp string, n string, ids string, key string"
+    docs = [(i, t, None, s, len(t or ""), *["mine"] * 12) for i, t, s in rows]
+    spark.createDataFrame(docs, schema).repartition(4).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    at, held = spark.read.parquet(str(tmp_path / "in" / "documents.parquet")), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, at, "unused").write.parquet(str(tmp_path / str(k)))
+        at = spark.read.parquet(str(tmp_path / str(k)))
+        held.append(at)
+        if k < 4:
+            assert at.columns == [c.split()[0] for c in schema.split(", ")] and at.where("weight != 'mine' OR slot != 'mine' OR key != 'mine'").isEmpty()
+    expected = [(1, good[0]), (1, good[0]), (1, good[1]), (0, good[2]), (0, good[2]), (0, good[3]), (4, rows[9][1]), (5, good[4])]
+    assert sorted((r.doc_id or 0, r.text) for r in held[0].collect() if (r.doc_id or 0) < 10) == sorted(expected)
+    assert sorted((r.doc_id or 0, r.text) for r in held[1].collect() if (r.doc_id or 0) < 10) == sorted({*expected})
+    assert held[0].count() == 38 and [df.count() for df in held[1:]] == [36] * 4
+    again = corpus_pipeline.run(spark, str(tmp_path / "in"))
+    assert sorted((r.slot, r.place, r.decoded_sha256) for r in again.collect()) == sorted((r.slot, r.place, r.decoded_sha256) for r in at.collect())
+
+
+def test_an_empty_table_goes_through_all_stages_and_leaves_no_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    kept, shared = spark.conf.get("spark.checkpoint.dir"), tmp_path / "shared"
+    spark.conf.set("spark.checkpoint.dir", str(shared))
+    try:
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    finally:
+        spark.conf.set("spark.checkpoint.dir", kept)
+    assert [p.name for p in shared.glob("*/*")] == ["stage-4"] and not spark.catalog.listTables()
+
+
 def test_oracle_names_are_queries():
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert corpus_pipeline.ORACLE_SQL is None
