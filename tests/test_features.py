@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def test_recursion_with_a_stub_model(spark):
     values = [100 + (i % 7) for i in range(59)]  # up to 28 February
     history = days(spark, values)
     state = forecast.with_bounds(forecast.start_state(history), history).withColumn("strategy", F.explode(F.array(F.lit("base"), F.lit("boost")))).withColumn("boosted", F.col("strategy") == "boost").withColumn("last_date", F.lit("2001-02-24").cast("date"))
-    got = forecast.recursive_forecast(state, lambda df: df.withColumns({"purchase_raw": F.col("purchase_lag_1"), "redeem_raw": F.col("redeem_lag_1")}), 5, ["strategy"], boost_if="boosted")
+    got = forecast.recursive_forecast(state, lambda f: (f["purchase_lag_1"], f["redeem_lag_1"]), 5, ["strategy"], boost_if="boosted", batch_series=1)
     low, high = 100.0, 106.0
     for strategy in ("base", "boost"):
         h, expected = [float(v) for v in values], []
@@ -85,6 +86,75 @@ def test_recursion_with_a_stub_model(spark):
         assert [r.purchase_pred for r in got.where(F.col("strategy") == strategy).orderBy("date").collect()] == pytest.approx(expected)
 
 
+def test_batches_are_served_as_plans_are(spark):
+    """The features of the recursion equal the columns of ``serving_features`` and of the calendar, for histories of any length."""
+    rows = [(f"s{n}", dt.date(2001, 1, 1) + dt.timedelta(i), (i * 37) % 101 + n, (i * 53) % 89) for n in (1, 2, 6, 8, 29, 30, 31, 45) for i in range(n)]
+    rows += [(None, dt.date(2001, 2, 26) + dt.timedelta(i), 5 * i, -1) for i in range(3)]  # a null series; the ratio has 0 below
+    history = spark.createDataFrame(rows, "series string, date date, purchase long, redeem long")
+    state = forecast.with_bounds(forecast.start_state(history, ["series"]), history, ["series"]).withColumn("rate", F.lit(1.5))
+    seen = []
+    seen_by = lambda f: seen.append(f) or (f["purchase_lag_1"], f["redeem_lag_1"])
+    local = state.coalesce(1).sortWithinPartitions("series").toArrow().to_batches()
+    for ddof in (0, 1):
+        expected = state.withColumn("date", F.date_add("last_date", 1)).select("series", *(c.cast("double").alias(n) for n, c in (features.calendar_features() | forecast.serving_features(ddof)).items())).orderBy("series").collect()
+        h, sizes = forecast._padded(local[0].column("h_purchase"), 30)
+        other, _ = forecast._padded(local[0].column("h_redeem"), 30)
+        served = forecast._served({"purchase": h, "redeem": other}, sizes, ddof)
+        assert set(served) == set(forecast.serving_features())
+        for i, row in enumerate(expected):
+            for name, values in served.items():
+                got = None if math.isnan(values[i]) else values[i]
+                assert got == (None if row[name] is None else pytest.approx(row[name])), (row.series, name)
+    out = forecast.recursive_forecast(state, lambda f: (f["days_to_month_end"] + f["rate"], f["dayofweek_sin"] + f["purchase_lag_1"] * 0), 3, ["series"], smooth=1.0, boosts=(1.0, 1.0))
+    assert out.groupBy("series").count().where("count = 3").count() == 9 and out.columns == ["series", "date", "purchase_pred", "redeem_pred"]
+    assert not seen and seen_by  # features are handed over inside of tasks
+
+
+def test_series_with_null_keys_and_without_history(spark):
+    rows = spark.createDataFrame([(s, dt.date(2001, 1, d), 10 * d, d) for s in ("a", None) for d in (1, 2, 5)], "series string, date date, purchase long, redeem long")
+    filled = features.fill_calendar(rows, ["series"])
+    assert sorted((r.series or "", r.date.day, r.purchase) for r in filled.collect()) == [(s, d, 10 * d if d in (1, 2, 5) else 0) for s in ("", "a") for d in range(1, 6)]
+    state = forecast.start_state(rows, ["series"])
+    ready = forecast.with_exogenous(forecast.with_bounds(state, rows, ["series"]), rows.withColumn("rate", F.col("redeem") * 1.0), ["rate"], ["series"])
+    assert [(r.series, r.rate, round(r.purchase_hi)) for r in ready.orderBy("series").collect()] == [(None, 8 / 3, 49), ("a", 8 / 3, 49)]
+    with pytest.raises(Exception, match="there is no history: null"):
+        forecast.with_bounds(state, rows.where("series = 'a'"), ["series"]).collect()
+    with pytest.raises(Exception, match="the month before the forecast has no rows: a"):
+        forecast.with_exogenous(state, rows.where("series IS NULL"), ["redeem"], ["series"]).collect()
+
+
+def test_arrays_of_trees_predict_as_spark_does(spark):
+    rows = days(spark, [(i * 37) % 101 for i in range(90)]).withColumns({"x": F.dayofmonth("date") * 1.0, "y": F.when(F.weekday("date") > 1, F.weekday("date") * 1.0), "z": F.lit(float("nan"))}).cache()
+    x = np.array([[r.x, np.nan if r.y is None else r.y, r.z] for r in rows.orderBy("date").collect()])
+    valid = rows.where("date >= '2001-03-01'")
+    for ensemble in (models.fit_ensemble(rows, "purchase", ["x", "y", "z"], seeds=2, trees=6, depth=3, valid=valid), models.fit_ensemble(rows, "purchase", ["x", "y", "z"], seeds=1, trees=4, depth=3, forest_weight=0.3),
+                     models.fit_one(rows, "redeem", ["x", "y", "z"], kind="forest", trees=5, depth=4)):
+        assert ensemble.flat().predict(x) == pytest.approx([r.p for r in ensemble.predict(rows, "p").orderBy("date").collect()])
+
+
+def test_early_stopping_keeps_the_first_trees(spark):
+    rows = days(spark, [(i * 37) % 101 for i in range(90)]).withColumns({"x": F.dayofmonth("date") * 1.0, "y": F.weekday("date") * 1.0}).cache()
+    whole = models.fit_one(rows, "purchase", ["x", "y"], trees=8, depth=3).models[0]
+    tune = rows.where("date >= '2001-03-20'")
+    best = models.best_iteration(whole, tune, "purchase", ["x", "y"])
+    stopped = models.fit_ensemble(rows, "purchase", ["x", "y"], seeds=1, trees=8, depth=3, valid=tune)
+    assert stopped.iterations == [best] and stopped.models[0].getNumTrees == best
+    assert models.first_trees(whole, 2).toDebugString.count("Tree ") == 2
+
+    class Errors:
+        def __init__(self, errors):
+            self.evaluateEachIteration = lambda df, loss: errors
+
+    assert models.best_iteration(Errors([5.0, 3.0, 4.0, 4.0, 1.0]), tune, "purchase", ["x", "y"]) == 5
+    assert models.best_iteration(Errors([5.0, 3.0, 4.0, 4.0, 1.0]), tune, "purchase", ["x", "y"], patience=2) == 2
+
+
+def test_a_history_of_one_month_cannot_be_divided(spark):
+    rows = days(spark, list(range(1, 29))).withColumn("x", F.dayofmonth("date"))
+    with pytest.raises(ValueError, match="one month only"):
+        models.refit_ensemble(rows, "purchase", ["x"], trees=2, depth=2)
+
+
 def test_model_kinds_and_reload(spark, tmp_path):
     with pytest.raises(ValueError):
         models.make_regressor("linear")
@@ -93,13 +163,17 @@ def test_model_kinds_and_reload(spark, tmp_path):
     fitted = models.fit_ensemble(rows, "purchase", ["x", "y"], seeds=2, trees=3, depth=2)
     fitted.save(str(tmp_path / "m"))
     ask = lambda e: [r.p for r in e.predict(rows, "p").orderBy("date").collect()]
-    assert ask(fitted) == ask(models.Ensemble.load(str(tmp_path / "m"), 2)) == ask(models.fit_ensemble(rows, "purchase", ["x", "y"], seeds=2, trees=3, depth=2))
+    assert ask(fitted) == ask(models.Ensemble.load(str(tmp_path / "m"))) == ask(models.fit_ensemble(rows, "purchase", ["x", "y"], seeds=2, trees=3, depth=2))
+    both = models.fit_ensemble(rows, "purchase", ["x", "y"], seeds=2, trees=3, depth=2, forest_weight=0.4, valid=rows)
+    both.save(str(tmp_path / "both"))
+    back = models.Ensemble.load(str(tmp_path / "both"))
+    assert ask(both) == ask(back) != ask(fitted) and (back.columns, back.weights, back.iterations) == (both.columns, (1.0, 0.4), both.iterations)
     assert 1 <= models.refit_ensemble(rows, "purchase", ["x", "y"], trees=3, depth=2).iterations[0] <= 3
 
 
 def test_backtest_errors_and_stub_fold(spark, tmp_path):
     rows = days(spark, [100 + (i % 7) for i in range(100)])
-    stub = lambda df: df.withColumns({"purchase_raw": F.col("purchase_lag_1"), "redeem_raw": F.col("redeem_lag_1")})
+    stub = lambda f: (f["purchase_lag_1"], f["redeem_lag_1"])
     with pytest.raises(ValueError, match="no data"):
         backtest.evaluate_fold(rows, "2002-01", [], predictor=stub)
     with pytest.raises(ValueError, match="no history"):
@@ -108,6 +182,9 @@ def test_backtest_errors_and_stub_fold(spark, tmp_path):
     assert got.count() == 62 and got.select("date", "strategy").distinct().count() == 62
     sinks.write_folds(got, str(tmp_path / "folds"))
     assert spark.read.parquet(str(tmp_path / "folds")).count() == 62
+    sinks.write_csv(got, str(tmp_path / "validation"))
+    back = spark.read.csv(str(tmp_path / "validation"), header=True)
+    assert back.columns == got.columns and back.count() == 62
     with pytest.raises(ValueError):
         backtest.rolling_backtest(rows, ["2001-03"], seeds=0)
 

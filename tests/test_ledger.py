@@ -35,8 +35,10 @@ def test_daily_flow_combines_before_its_shuffle(spark):
 def test_duplicate_rate_is_reported(spark):
     d = dt.date(2001, 1, 1)
     daily = spark.createDataFrame([(d, 1)], "date date, purchase long")
-    with pytest.raises(ValueError, match="2001-01-01"):
-        ledger.join_rates(daily, spark.createDataFrame([(d, 1.0), (d, 2.0)], "date date, rate double"))
+    with pytest.raises(Exception, match="two rates on 2001-01-01"):
+        ledger.join_rates(daily, spark.createDataFrame([(d, 1.0), (d, 2.0)], "date date, rate double")).collect()
+    rates = spark.createDataFrame([(d, 1.0, None), (None, 2.0, 1), (None, 3.0, 1)], "date date, rate double, other int")
+    assert [tuple(r) for r in ledger.join_rates(daily, rates).collect()] == [(d, 1, 1.0, None)]
 
 
 def test_parse_report_date(spark):
@@ -89,9 +91,34 @@ def test_csv_sources(spark, tmp_path):
     with pytest.raises(ValueError, match="tBalance"):
         tables.require_columns(got, ["tBalance"])
     (tmp_path / "latin.csv").write_bytes("a\nä\n".encode("latin-1"))
-    with pytest.raises(tables.EncodingError):
-        tables.read_csv(spark, str(tmp_path / "latin.csv"))
+    with pytest.raises(Exception, match="latin.csv is not utf-8"):
+        tables.read_csv(spark, str(tmp_path / "latin.csv")).collect()
+    assert tables.read_csv(spark, str(tmp_path / "latin.csv"), check=False).count() == 1
     assert tables.read_csv(spark, str(tmp_path / "latin.csv"), encoding="iso-8859-1").first()[0] == "ä"
     assert tables.read_if_exists(spark, str(tmp_path / "none")) is None
     with pytest.raises(FileNotFoundError):
         tables.read_features(spark, str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize("encoding", ["gbk", "gb18030"])
+def test_chinese_encodings(spark, tmp_path, encoding):
+    (tmp_path / "c.csv").write_bytes("user_id,city\n1,杭州\n".encode(encoding))
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    try:
+        assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "c.csv"), "user_id BIGINT, city STRING", encoding).collect()] == [(1, "杭州")]
+    finally:
+        spark.conf.unset("spark.sql.legacy.javaCharsets")
+
+
+def test_the_four_tables_of_a_folder(spark, tmp_path):
+    (tmp_path / "user_balance_table.csv").write_text("report_date,user_id,tBalance,yBalance,total_purchase_amt,total_redeem_amt\n20130701,1,10,5,5,0\n")
+    (tmp_path / "user_profile_table.csv").write_text("user_id,sex,city,constellation\n1,1,6411949,x\n")
+    (tmp_path / "mfd_day_share_interest.csv").write_text("mfd_date,mfd_daily_yield,mfd_7daily_yield\n20130701,1.5,4.9\n")
+    (tmp_path / "mfd_bank_shibor.csv").write_text("mfd_date,Interest_O_N,Interest_1_W\n20130701,4.4,5.5\n")
+    found = tables.load_tables(spark, str(tmp_path))
+    assert set(found) == {"ledger", "profile", "daily_yield", "interbank"} and all(t.count() == 1 for t in found.values())
+    assert dict(found["ledger"].dtypes)["tBalance"] == "bigint" and dict(found["interbank"].dtypes)["Interest_1_W"] == "double" and found["daily_yield"].first().mfd_7daily_yield == 4.9
+    report = ledger.balance_quality(found["ledger"])
+    sinks.write_csv(report, str(tmp_path / "report"))
+    back = spark.read.csv(str(tmp_path / "report"), header=True).first()
+    assert list(back.asDict()) == [r.split()[0] for r in ledger.REPORT] and back.status == "passed" and back.valid_records == "1"

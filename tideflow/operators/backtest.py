@@ -33,7 +33,8 @@ def evaluate_fold(features: DataFrame, month: str, columns: Sequence[str] | None
     columns = list(columns) if columns is not None else model_columns(features, series_cols)
     iterations = ["", ""]
     if predictor is None:
-        ensembles = [refit_ensemble(history, t, columns, seeds, **options) for t in ("purchase", "redeem")]
+        with ThreadPoolExecutor(2) as pool:
+            ensembles = list(pool.map(lambda t: refit_ensemble(history, t, columns, seeds, **options), ("purchase", "redeem")))
         predictor, iterations = ensemble_predictor(*ensembles), ["/".join(map(str, e.iterations)) for e in ensembles]
     state = with_bounds(start_state(history, series_cols), history, series_cols)
     state = with_exogenous(state, history, exogenous_columns(columns), series_cols)

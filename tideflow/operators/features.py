@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions import calendar as cal
+from ..functions.joins import join_null_safe
 
 TARGETS = ("purchase", "redeem")
 LAGS = (1, 2, 3, 7, 14, 30)
@@ -111,7 +112,7 @@ def fill_calendar(daily: DataFrame, series_cols: Sequence[str] = ()) -> DataFram
     """``daily`` with a row for every day between a series' first and last; the added ones have totals and counts of 0."""
     spans = daily.groupBy(*series_cols).agg(F.min("date").alias("a"), F.max("date").alias("b"))
     days = spans.where("a IS NOT NULL").select(*series_cols, F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("date"))
-    return days.join(daily, [*series_cols, "date"], "left").fillna(0, numeric_columns(daily, series_cols))
+    return join_null_safe(days, daily, [*series_cols, "date"]).fillna(0, numeric_columns(daily, series_cols))
 
 
 def add_features(daily: DataFrame, series_cols: Sequence[str] = (), holiday_dates: Sequence[str] = cal.HOLIDAYS_2014, calendar_gaps: str = "rows") -> DataFrame:

@@ -74,9 +74,12 @@ def unpivot(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str
 def join_rates(daily: DataFrame, rates: DataFrame, on: str = "date", check: bool = True) -> DataFrame:
     """``daily`` with the columns of ``rates`` on their date, null on days without.
 
-    Rates are one row a day. With ``check``, a date that comes twice is an error, as it would double
-    the day. Spark broadcasts the rates where their size allows it.
+    Rates are one row a day. With ``check``, a date that comes twice is an error when the rates are used,
+    as it would double the day. Spark broadcasts the rates where their size allows it.
     """
-    if check and (twice := rates.groupBy(on).count().where("count > 1").orderBy(on).first()):
-        raise ValueError(f"two rates on {twice[0]}")
+    if check:
+        names = [c for c in rates.columns if c != on]
+        twice = F.raise_error(F.concat(F.lit("two rates on "), F.col(on).cast("string")))
+        once = rates.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("__n"), *(F.first(c).alias(c) for c in names))
+        rates = once.select(on, *(F.when(F.col("__n") > 1, twice.cast(rates.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in names))
     return daily.join(rates, on, "left")

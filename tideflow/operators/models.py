@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark import SparkContext
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import absolute_percentage_error, log_target, unlog_target, weighted
@@ -31,72 +34,181 @@ def make_regressor(kind: str = BOOSTED, trees: int = 30, depth: int = 0, step: f
     return GBTRegressor(labelCol="label", maxIter=trees, stepSize=step, maxDepth=depth or 5, minInstancesPerNode=5, subsamplingRate=0.85, featureSubsetStrategy="0.85", seed=seed)
 
 
-def fit_one(train: DataFrame, target: str, columns: Sequence[str], **options) -> PipelineModel:
-    """An assembler and a regressor of the target's logarithm."""
-    rows = train.withColumn("label", log_target(F.col(target)))
-    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep"), make_regressor(**options)]).fit(rows)
+def with_vector(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
+    """``df`` with the columns as one vector; nulls and NaN count as 0."""
+    values = F.transform(F.array(*(F.col(c).cast("double") for c in columns)), lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)))
+    return df.withColumn(out, array_to_vector(values))
 
 
-def best_iteration(model: PipelineModel, tune: DataFrame, target: str) -> int:
-    """How many of a boosted model's trees do best on ``tune`` by squared error of the logarithm."""
-    assembler, trees = model.stages[0], model.stages[1]
-    errors = trees.evaluateEachIteration(assembler.transform(tune.withColumn("label", log_target(F.col(target)))), "squared")
-    return errors.index(min(errors)) + 1
+@dataclass
+class FlatTrees:
+    """The trees of an ensemble as arrays, a row of nodes for each: a leaf is its own child."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+    weight: np.ndarray  # of each tree in the mean of logarithms
+    depth: int
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """Predictions of the rows of ``x``, all trees a level at a time."""
+        x = np.nan_to_num(x, nan=0.0, posinf=np.inf, neginf=-np.inf)
+        trees, rows = np.arange(len(self.weight)), np.arange(len(x))[:, None]
+        node = np.zeros((len(x), len(trees)), np.int64)
+        for _ in range(self.depth):
+            low = x[rows, self.feature[trees, node]] <= self.threshold[trees, node]
+            node = np.where(low, self.left[trees, node], self.right[trees, node])
+        return np.expm1(self.value[trees, node] @ self.weight)
+
+
+_LINE = re.compile(r"\s*(?:Tree \d+ \(weight (?P<weight>\S+)\):|If \(feature (?P<feature>\d+) <= (?P<threshold>\S+)\)|Predict: (?P<value>\S+)|Else .*)")
+
+
+def _trees_of(model) -> tuple[list[tuple[float, list[list[float]]]], int]:
+    """Weight and nodes [feature, threshold, left, right, value] of each tree of a Spark ML ensemble, as it describes them, and their depth."""
+    lines = [_LINE.fullmatch(x) for x in model.toDebugString.splitlines()[1:] if x.strip()]
+    if not all(lines):
+        raise ValueError("a description of trees that cannot be read")
+    at, found, depth = iter(lines), [], 0
+
+    def read(nodes: list[list[float]], level: int) -> int:
+        nonlocal depth
+        line, place, depth = next(at), len(nodes), max(depth, level)
+        if line["value"] is not None:
+            nodes.append([0, np.inf, place, place, float(line["value"])])
+            return place
+        nodes.append([int(line["feature"]), float(line["threshold"]), 0, 0, 0.0])
+        nodes[place][2] = read(nodes, level + 1)
+        next(at)  # Else
+        nodes[place][3] = read(nodes, level + 1)
+        return place
+
+    for line in at:
+        found.append((float(line["weight"]), []))
+        read(found[-1][1], 0)
+    return found, depth
+
+
+def best_iteration(model, tune: DataFrame, target: str, columns: Sequence[str], patience: int = 100) -> int:
+    """How many of a boosted model's trees do best on ``tune`` by squared error of the logarithm, before ``patience`` trees bring nothing."""
+    errors = model.evaluateEachIteration(with_vector(tune.withColumn("label", log_target(F.col(target))), columns), "squared")
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The boosted model of the first ``n`` trees."""
+    context, java = SparkContext._active_spark_context, model._java_obj
+    trees, all_trees, all_weights = context._gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n), java.trees(), java.treeWeights()
+    weights = context._gateway.new_array(context._jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = all_trees[i], float(all_weights[i])
+    return GBTRegressionModel(context._jvm.org.apache.spark.ml.regression.GBTRegressionModel(model.uid, trees, weights))
 
 
 @dataclass
 class Ensemble:
     """Models of one target with different seeds; the prediction is the mean, plus a weighted second model where there is one."""
 
-    models: list[PipelineModel]
-    second: PipelineModel | None = None
+    columns: list[str]
+    models: list
+    second: RandomForestRegressionModel | None = None
     weights: tuple[float, float] = (1.0, 0.0)
     iterations: list[int] = field(default_factory=list)
 
     def predict(self, df: DataFrame, out: str) -> DataFrame:
         """``df`` with the column ``out``: the mean of the logarithms, raised back."""
         parts = [*self.models, *([self.second] if self.second else [])]
-        scored = parts[0].stages[0].transform(df)
-        names = [f"__p{i}" for i in range(len(parts))]
+        scored, names = with_vector(df, self.columns, "__features"), [f"__p{i}" for i in range(len(parts))]
         for name, part in zip(names, parts, strict=True):
-            scored = part.stages[1].copy().setPredictionCol(name).transform(scored)
+            scored = part.copy().setFeaturesCol("__features").setPredictionCol(name).transform(scored)
         mean = sum((F.col(n) for n in names[: len(self.models)]), F.lit(0.0)) / len(self.models)
         if self.second:
             mean = mean * self.weights[0] + F.col(names[-1]) * self.weights[1]
-        return scored.withColumn(out, unlog_target(mean)).drop("features", *names)
+        return scored.withColumn(out, unlog_target(mean)).drop("__features", *names)
+
+    def flat(self) -> FlatTrees:
+        """All trees as arrays, for batches of rows outside of a plan."""
+        share = self.weights[0] / len(self.models) if self.second else 1 / len(self.models)
+        trees, deepest = [], 0
+        for model, part in [*((m, share) for m in self.models), *([(self.second, self.weights[1])] if self.second else [])]:
+            found, depth = _trees_of(model)
+            mean = len(found) if isinstance(model, RandomForestRegressionModel) else 1
+            trees += [(part * w / mean, nodes) for w, nodes in found]
+            deepest = max(deepest, depth)
+        width = max(len(nodes) for _, nodes in trees)
+        table = np.array([nodes + [[0, np.inf, 0, 0, 0.0]] * (width - len(nodes)) for _, nodes in trees])
+        feature, left, right = (table[:, :, i].astype(int) for i in (0, 2, 3))
+        return FlatTrees(feature, table[:, :, 1], left, right, table[:, :, 4], np.array([w for w, _ in trees]), deepest)
 
     def save(self, path: str) -> None:
-        """Each model as a Spark ML pipeline; the assembler keeps the order of the features."""
+        """Each model in the format of Spark ML, and beside them the columns in their order, weights and iterations."""
         for i, m in enumerate(self.models):
             m.write().overwrite().save(f"{path}/seed-{i}")
+        if self.second:
+            self.second.write().overwrite().save(f"{path}/second")
+        about = {"columns": self.columns, "kinds": [type(m).__name__ for m in self.models], "second": self.second is not None, "weights": self.weights, "iterations": self.iterations}
+        SparkSession.active().createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @staticmethod
-    def load(path: str, n: int) -> Ensemble:
-        return Ensemble([PipelineModel.load(f"{path}/seed-{i}") for i in range(n)])
+    def load(path: str) -> Ensemble:
+        about = json.loads(SparkSession.active().read.text(f"{path}/about").first()[0])
+        kinds = {c.__name__: c for c in (GBTRegressionModel, RandomForestRegressionModel)}
+        models = [kinds[k].load(f"{path}/seed-{i}") for i, k in enumerate(about["kinds"])]
+        second = RandomForestRegressionModel.load(f"{path}/second") if about["second"] else None
+        return Ensemble(about["columns"], models, second, tuple(about["weights"]), about["iterations"])
+
+
+def fit_one(train: DataFrame, target: str, columns: Sequence[str], **options) -> Ensemble:
+    """One regressor of the target's logarithm."""
+    rows = with_vector(train.withColumn("label", log_target(F.col(target))), columns).select("label", "features")
+    return Ensemble(list(columns), [make_regressor(**options).fit(rows)])
 
 
-def fit_ensemble(train: DataFrame, target: str, columns: Sequence[str], seeds: int = 3, first_seed: int = 42, forest_weight: float = 0.0, threads: int = 4, **options) -> Ensemble:
-    """``seeds`` models fitted side by side. On a panel this is one pooled model of all series."""
+def fit_ensemble(train: DataFrame, target: str, columns: Sequence[str], seeds: int = 3, first_seed: int = 42, forest_weight: float = 0.0, threads: int = 4,
+                 valid: DataFrame | None = None, patience: int = 100, **options) -> Ensemble:
+    """``seeds`` models fitted side by side. On a panel this is one pooled model of all series.
+
+    With ``valid``, boosted models stop early: each keeps the first trees that do best there.
+    """
+    def fit(seed: int) -> tuple[object, int | None]:
+        model = fit_one(train, target, columns, seed=seed, **options).models[0]
+        if valid is None or not isinstance(model, GBTRegressionModel):
+            return model, None
+        best = best_iteration(model, valid, target, columns, patience)
+        return first_trees(model, best), best
+
     with ThreadPoolExecutor(threads) as pool:
-        models = list(pool.map(lambda s: fit_one(train, target, columns, seed=s, **options), range(first_seed, first_seed + seeds)))
-    second = fit_one(train, target, columns, kind=FOREST, trees=options.get("trees", 30), seed=first_seed) if forest_weight else None
-    return Ensemble(models, second, (1.0, forest_weight))
+        fitted = list(pool.map(fit, range(first_seed, first_seed + seeds)))
+    second = fit_one(train, target, columns, kind=FOREST, trees=options.get("trees", 30), seed=first_seed).models[0] if forest_weight else None
+    return Ensemble(list(columns), [m for m, _ in fitted], second, (1.0, forest_weight), [n for _, n in fitted if n])
+
 
+def refit_ensemble(history: DataFrame, target: str, columns: Sequence[str], seeds: int = 1, first_seed: int = 42, trees: int = 30, threads: int = 4, patience: int = 100, **options) -> Ensemble:
+    """Finds each seed's number of trees on the last month of ``history``, then fits all of it with that number.
 
-def refit_ensemble(history: DataFrame, target: str, columns: Sequence[str], seeds: int = 1, first_seed: int = 42, trees: int = 30, threads: int = 4, **options) -> Ensemble:
-    """Finds each seed's number of trees on the last month of ``history``, then fits all of it with that number."""
+    A history of one month cannot be divided and is an error.
+    """
     last = F.trunc(F.lit(history.agg(F.max("date")).first()[0]), "MM")
     before, month = history.where(F.col("date") < last), history.where(F.col("date") >= last)
+    if before.isEmpty():
+        raise ValueError("the history has one month only: it cannot be divided into training and tuning")
 
-    def fit(seed: int) -> tuple[PipelineModel, int]:
-        if before.isEmpty():
-            return fit_one(history, target, columns, trees=trees, seed=seed, **options), trees
-        best = best_iteration(fit_one(before, target, columns, trees=trees, seed=seed, **options), month, target)
-        return fit_one(history, target, columns, trees=best, seed=seed, **options), best
+    def fit(seed: int) -> tuple[object, int]:
+        tried = fit_one(before, target, columns, trees=trees, seed=seed, **options).models[0]
+        best = best_iteration(tried, month, target, columns, patience) if isinstance(tried, GBTRegressionModel) else trees
+        return fit_one(history, target, columns, trees=best, seed=seed, **options).models[0], best
 
     with ThreadPoolExecutor(threads) as pool:
         fitted = list(pool.map(fit, range(first_seed, first_seed + seeds)))
-    return Ensemble([m for m, _ in fitted], iterations=[n for _, n in fitted])
+    return Ensemble(list(columns), [m for m, _ in fitted], iterations=[n for _, n in fitted])
 
 
 def cv_folds(days: DataFrame, splits: int = 3, date: str = "date") -> DataFrame:
@@ -121,14 +233,22 @@ def _mape(scored: DataFrame, target: str, predicted: str) -> Column:
     return F.avg(absolute_percentage_error(F.col(target), F.col(predicted)))
 
 
-def cross_validate(train: DataFrame, columns: Sequence[str], splits: int = 3, seed: int = 42, **options) -> DataFrame:
-    """``(fold, purchase_mape, redeem_mape, weighted_mape)``, one step ahead."""
+def cross_validate(train: DataFrame, columns: Sequence[str], splits: int = 3, seed: int = 42, threads: int = 8, **options) -> DataFrame:
+    """``(fold, purchase_mape, redeem_mape, weighted_mape)``, one step ahead; the models of all folds are fitted side by side."""
+    folds = cv_folds(train, splits).orderBy("fold").collect()
+
+    def fit(job: tuple[int, str]) -> Ensemble:
+        f, shift = folds[job[0]], 0 if job[1] == "purchase" else 100
+        return fit_one(train.where(F.col("date") <= f.train_to), job[1], columns, seed=seed + shift + f.fold, **options)
+
+    with ThreadPoolExecutor(threads) as pool:
+        jobs = [(i, t) for i in range(len(folds)) for t in ("purchase", "redeem")]
+        fitted = dict(zip(jobs, pool.map(fit, jobs), strict=True))
     rows = []
-    for f in cv_folds(train, splits).orderBy("fold").collect():
-        part, valid = train.where(F.col("date") <= f.train_to), train.where(F.col("date").between(f.valid_from, f.valid_to))
-        scored = valid
-        for t, shift in (("purchase", 0), ("redeem", 100)):
-            scored = Ensemble([fit_one(part, t, columns, seed=seed + shift + f.fold, **options)]).predict(scored, f"{t}_pred")
+    for i, f in enumerate(folds):
+        scored = train.where(F.col("date").between(f.valid_from, f.valid_to))
+        for t in ("purchase", "redeem"):
+            scored = fitted[i, t].predict(scored, f"{t}_pred")
         got = scored.agg(*(_mape(scored, t, f"{t}_pred").alias(t) for t in ("purchase", "redeem"))).first()
         rows.append((f.fold, float(got.purchase), float(got.redeem)))
     out = train.sparkSession.createDataFrame(rows, "fold int, purchase_mape double, redeem_mape double")
@@ -144,16 +264,15 @@ def loss_curve(train: DataFrame, valid: DataFrame, target: str, columns: Sequenc
     sets = {"train": train, "valid": valid}
     found: dict[str, list[float]] = {}
     if _KINDS[kind.lower()] == BOOSTED:
-        model = fit_one(train, target, columns, kind=kind, trees=max(points), seed=seed, **options)
-        boosted = model.stages[1]
+        boosted = fit_one(train, target, columns, kind=kind, trees=max(points), seed=seed, **options).models[0]
         for name, df in sets.items():
-            scored = model.stages[0].transform(df)
+            scored = with_vector(df, columns)
             for i, tree in enumerate(boosted.trees):
                 scored = tree.copy().setPredictionCol(f"__t{i}").transform(scored)
             sums = [unlog_target(sum((F.col(f"__t{i}") * F.lit(boosted.treeWeights[i]) for i in range(min(k, len(boosted.trees)))), F.lit(0.0))) for k in points]
             found[name] = list(scored.agg(*(F.avg(absolute_percentage_error(F.col(target), s)) for s in sums)).first())
     else:
-        models = [Ensemble([fit_one(train, target, columns, kind=kind, trees=k, seed=seed, **options)]) for k in points]
+        models = [fit_one(train, target, columns, kind=kind, trees=k, seed=seed, **options) for k in points]
         for name, df in sets.items():
             found[name] = [m.predict(df, "p").agg(_mape(df, target, "p")).first()[0] for m in models]
     rows = [(target, k, float(a), float(b)) for k, a, b in zip(points, found["train"], found["valid"], strict=True)]
@@ -162,8 +281,10 @@ def loss_curve(train: DataFrame, valid: DataFrame, target: str, columns: Sequenc
 
 def one_step_validation(train: DataFrame, valid: DataFrame, columns: Sequence[str], seed: int = 42, **options) -> DataFrame:
     """Predictions of ``valid`` from its true past, floored at 0, with errors and scores: better than a recursive forecast can be."""
-    scored = valid
-    for t, shift in (("purchase", 0), ("redeem", 100)):
-        scored = Ensemble([fit_one(train, t, columns, seed=seed + shift, **options)]).predict(scored, f"{t}_pred")
+    scored, targets = valid, (("purchase", 0), ("redeem", 100))
+    with ThreadPoolExecutor(2) as pool:
+        fitted = list(pool.map(lambda j: fit_one(train, j[0], columns, seed=seed + j[1], **options), targets))
+    for (t, _), ensemble in zip(targets, fitted, strict=True):
+        scored = ensemble.predict(scored, f"{t}_pred")
     floor = {f"{t}_pred": F.greatest(F.lit(0.0), F.col(f"{t}_pred")) for t in ("purchase", "redeem")}
     return enrich(scored.withColumns(floor).select("date", F.col("purchase").alias("purchase_true"), "purchase_pred", F.col("redeem").alias("redeem_true"), "redeem_pred"))

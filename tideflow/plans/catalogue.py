@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -223,14 +224,59 @@ def clip_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.clip_bounds(views.daily(spark, sf_dir)).select(*(F.round(f"{t}_{n}", 4).alias(f"{t}_{n}") for t in T for n in ("lo", "hi")))
 
 
-@_register()
+def _digits(name: str) -> int:
+    return 9 if any(n in name for n in ("ratio", "_sin", "_cos", "weight", "yield")) else 6 if "Interest" in name else 2
+
+
+def _features_sql(source: str, columns: tuple[str, ...], key: str = "") -> str:
+    """The whole feature table of ``source``: each feature stated once, then filled within the series."""
+    part = f"PARTITION BY {key} " if key else ""
+    lag = lambda t, k: f"lag({t}, {k}) OVER ({part}ORDER BY date)"
+    out = {"dayofweek": "CAST(isodow(date) - 1 AS INT)", "dayofmonth": "CAST(day(date) AS INT)", "month": "CAST(month(date) AS INT)", "is_weekend": "CAST(isodow(date) >= 6 AS INT)",
+           "is_month_start": "CAST(day(date) = 1 AS INT)", "is_month_end": "CAST(date = last_day(date) AS INT)"}
+    for n, v, p in (("dayofweek", "(isodow(date) - 1)", 7), ("dayofmonth", "day(date)", 31), ("month", "month(date)", 12)):
+        out |= {f"{n}_{f}": f"{f}(2 * pi() * {v} / {p})" for f in ("sin", "cos")}
+    start, end = "CAST(day(date) - 1 AS INT)", "CAST(day(last_day(date)) - day(date) AS INT)"
+    out |= {"days_to_month_start": start, "days_to_month_end": end}
+    out |= {f"is_{side}_{n}_days": f"CAST({v} < {n} AS INT)" for n in (3, 7) for side, v in (("first", start), ("last", end))}
+    out |= {"month_start_weight": f"exp(-{start} / 3.0)", "month_end_weight": f"exp(-{end} / 3.0)"}
+    ahead, behind = "CAST(coalesce(next_h - date, 30) AS INT)", "CAST(coalesce(date - last_h, 30) AS INT)"
+    out |= {"is_holiday": "CAST(coalesce(next_h = date, FALSE) AS INT)", "days_to_next_holiday": ahead, "days_from_last_holiday": behind,
+            "is_day_before_holiday": f"CAST({ahead} = 1 AS INT)", "is_day_after_holiday": f"CAST({behind} = 1 AS INT)"}
+    for t in T:
+        out |= {f"{t}_lag_{k}": lag(t, k) for k in features.LAGS}
+        for n in features.WINDOWS:
+            w = f"({part}ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+            out |= {f"{t}_roll_{a}_{n}": f"CASE WHEN count({t}) OVER {w} = {n} THEN CAST({f}({t}) OVER {w} AS {kind}) END"
+                    for a, f, kind in (("mean", "avg", "DOUBLE"), ("std", "stddev_samp", "DOUBLE"), ("min", "min", "BIGINT"), ("max", "max", "BIGINT"), ("median", "median", "DOUBLE"))}
+        out[f"{t}_month_start_mean"] = out[f"{t}_roll_mean_30"]
+        weeks = [lag(t, 7 * k) for k in (1, 2, 3, 4)]
+        out |= {f"{t}_same_day_last_month": lag(t, 30)} | {f"{t}_same_weekday_w{k}": w for k, w in enumerate(weeks, 1)} | {f"{t}_mean_same_weekday_4w": f"list_avg([{', '.join(weeks)}])"}
+    p, r = (lambda k, t=t: lag(t, k) for t in T)
+    out |= {"purchase_redeem_ratio_lag1": f"{p(1)} / ({r(1)} + 1)", "purchase_diff_lag1_hist": f"{p(1)} - {p(2)}", "redeem_diff_lag1_hist": f"{r(1)} - {r(2)}", "purchase_diff_lag7_hist": f"{p(1)} - {p(8)}",
+            "redeem_diff_lag7_hist": f"{r(1)} - {r(8)}", "net_inflow_lag1": f"{p(1)} - {r(1)}", "net_inflow_lag7": f"{p(7)} - {r(7)}"}
+    fill = f"coalesce(last_value({{0}} IGNORE NULLS) OVER ({part}ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value({{0}} IGNORE NULLS) OVER ({part}ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)"
+    whole = {*out, *columns} - {n for n in out if "_mean" in n or "_std" in n or "_median" in n or _digits(n) == 9} - set(_RATES)
+    filled = [f"{fill.format(c)} AS {c}" if c in whole else f"round({fill.format(c)}, {_digits(c)}) AS {c}" for c in (*columns, *out)]
+    return (f", hol(day) AS (VALUES {', '.join(f"(DATE '{d}')" for d in HOLIDAYS)}), x AS (SELECT *, (SELECT min(day) FROM hol WHERE day >= date) AS next_h, (SELECT max(day) FROM hol WHERE day <= date) AS last_h FROM {source}), "
+            f"f AS (SELECT *, {', '.join(f'{v} AS {n}' for n, v in out.items())} FROM x) SELECT {key + ', ' if key else ''}date, {', '.join(filled)} FROM f")
+
+
+_COUNTS = (*T, "user_count", "record_count")
+
+
+def _rounded_features(df: DataFrame) -> DataFrame:
+    return df.withColumns({n: F.round(n, _digits(n)) for n, kind in df.dtypes if kind == "double"})
+
+
+@_register(with_views("rated") + _features_sql("rated", (*_COUNTS, *_RATES)))
 def daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.add_features(views.rated(spark, sf_dir), holiday_dates=HOLIDAYS)
+    return _rounded_features(features.add_features(views.rated(spark, sf_dir), holiday_dates=HOLIDAYS))
 
 
-@_register()
+@_register(with_views("daily_panel") + _features_sql("daily_panel", _COUNTS, "segment"))
 def daily_features_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.add_features(views.daily_panel(spark, sf_dir), ["segment"], HOLIDAYS)
+    return _rounded_features(features.add_features(views.daily_panel(spark, sf_dir), ["segment"], HOLIDAYS))
 
 
 @_register(with_views("daily") + "SELECT date, " + ", ".join(f"round(ln(1 + {t}), 9) AS {t}_log, CAST(round(exp(ln(1 + {t})) - 1) AS BIGINT) AS {t}_back" for t in T) + " FROM daily")
@@ -269,10 +315,11 @@ def evaluate_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_doubles(evaluate.metrics(views.forecast(spark, sf_dir)), 6)
 
 
-@_register(with_views("forecast") + "SELECT " + ", ".join(f"round(avg(abs({t}_true - {t}_pred)), 4) AS {t}_mae, round(avg(abs({t}_pred - {t}_true) / greatest(abs(CAST({t}_true AS DOUBLE)), 2.220446049250313e-16)), 4) AS {t}_mape" for t in T)
-           + " FROM forecast WHERE purchase_true > 0 AND redeem_true > 0")
+# A day without a truth has the machine epsilon below its error: the mean then has 16 more digits, and its logarithm is compared.
+@_register(with_views("forecast") + "SELECT " + ", ".join(f"round(avg(abs({t}_true - {t}_pred)), 4) AS {t}_mae, round(log10(avg(abs({t}_pred - {t}_true) / greatest(abs(CAST({t}_true AS DOUBLE)), 2.220446049250313e-16))), 9) AS {t}_log10_mape" for t in T) + " FROM forecast")
 def forecast_mae_mape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round_doubles(evaluate.mae_mape(views.forecast(spark, sf_dir).where("purchase_true > 0 AND redeem_true > 0")), 4)
+    found = evaluate.mae_mape(views.forecast(spark, sf_dir))
+    return found.select(*(c for t in T for c in (F.round(f"{t}_mae", 4).alias(f"{t}_mae"), F.round(F.log10(f"{t}_mape"), 9).alias(f"{t}_log10_mape"))))
 
 
 _CLASS = """CASE WHEN day(date) = 1 THEN 'month_start' WHEN day(last_day(date)) - day(date) <= 2 THEN 'month_end' WHEN isodow(date) = 7 THEN 'sunday'
@@ -369,14 +416,14 @@ def seed_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, columns = _panel(spark, sf_dir)
     train, valid = rows.where("date < '2001-06-01'"), rows.where("date >= '2001-06-01'")
-    return models.Ensemble([models.fit_one(train, "purchase", columns, kind="boosted")]).predict(valid, "purchase_pred").select("segment", "date", "purchase", "purchase_pred")
+    return models.fit_one(train, "purchase", columns, kind="boosted").predict(valid, "purchase_pred").select("segment", "date", "purchase", "purchase_pred")
 
 
 @_register()
 def rf_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, columns = _panel(spark, sf_dir)
     train, valid = rows.where("date < '2001-06-01'"), rows.where("date >= '2001-06-01'")
-    return models.Ensemble([models.fit_one(train, "redeem", columns, kind="forest")]).predict(valid, "redeem_pred").select("segment", "date", "redeem", "redeem_pred")
+    return models.fit_one(train, "redeem", columns, kind="forest").predict(valid, "redeem_pred").select("segment", "date", "redeem", "redeem_pred")
 
 
 @_register(with_views("daily") + """, d AS (SELECT date, row_number() OVER (ORDER BY date) AS k, count(*) OVER () AS n FROM daily), f AS (SELECT *, n - (4 - fold) * (n // 4) AS cut, n // 4 AS size FROM d, range(1, 4) t(fold))
@@ -396,7 +443,8 @@ def time_series_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loss_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, columns = _panel(spark, sf_dir)
     train, valid = rows.where("date < '2001-06-01'"), rows.where("date >= '2001-06-01'")
-    purchase, redeem = (models.loss_curve(train, valid, t, columns, seed=s) for t, s in zip(T, (42, 142), strict=True))
+    with ThreadPoolExecutor(2) as pool:
+        purchase, redeem = pool.map(lambda j: models.loss_curve(train, valid, j[0], columns, seed=j[1]), zip(T, (42, 142), strict=True))
     return purchase.unionByName(redeem)
 
 
@@ -407,8 +455,11 @@ def one_step_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _forecast(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
+    """Three seeds for each target, fitted to the days before October 2001, stopped by that month, carried on from the last day."""
     rows, columns = _panel(spark, sf_dir)
-    fitted = [models.fit_ensemble(rows, t, columns) for t in T]
+    train, tune = rows.where("date < '2001-10-01'"), rows.where("date BETWEEN '2001-10-01' AND '2001-10-31'")
+    with ThreadPoolExecutor(2) as pool:
+        fitted = list(pool.map(lambda t: models.fit_ensemble(train, t, columns, valid=tune), T))
     state = forecast.with_bounds(forecast.start_state(rows, ["segment"]), rows, ["segment"])
     state = forecast.with_exogenous(state, rows, features.exogenous_columns(columns), ["segment"])
     return forecast.recursive_forecast(state, forecast.ensemble_predictor(*fitted), days, ["segment"], HOLIDAYS)
@@ -428,3 +479,64 @@ def forecast_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rolling_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = _panel(spark, sf_dir)
     return backtest.rolling_backtest(rows, ["2001-02", "2001-03", "2001-04", "2001-05", "2001-06"], ["segment"], holiday_dates=HOLIDAYS)[1]
+
+
+# Recursion with a stub in place of the models: the value of seven days before, which SQL can carry on too.
+
+def _lag7(found: dict) -> tuple:
+    return found["purchase_lag_7"], found["redeem_lag_7"]
+
+
+_STEP = {t: f"greatest(least((0.99 * coalesce(h_{t}[-7], h_{t}[-1]) + 0.01 * list_avg(h_{t}[-7:])) * CASE WHEN day(nxt) >= day(last_day(nxt)) - 2 AND boosted THEN {b} ELSE 1.0 END, {t}_hi), {t}_lo)" for t, b in (("purchase", 1.2), ("redeem", 1.3))}
+
+
+def _recursion_sql(state: str, keys: str, horizon: str, floor: bool) -> str:
+    """``r``: each day of ``state(keys, date, h_purchase, h_redeem, bounds, boosted)`` after its date, one by one."""
+    step = {t: f"greatest({v}, 0.0)" if floor else v for t, v in _STEP.items()}
+    carried = f"{keys}, boosted, horizon, purchase_lo, purchase_hi, redeem_lo, redeem_hi"
+    return f""", r AS (SELECT {carried}, date, h_purchase, h_redeem, CAST(NULL AS DOUBLE) AS purchase_pred, CAST(NULL AS DOUBLE) AS redeem_pred, 0 AS step FROM (SELECT *, {horizon} AS horizon FROM {state})
+UNION ALL SELECT {carried}, nxt, list_append(h_purchase, purchase_pred)[-30:], list_append(h_redeem, redeem_pred)[-30:], purchase_pred, redeem_pred, step + 1
+FROM (SELECT * EXCLUDE (purchase_pred, redeem_pred), {', '.join(f'{v} AS {t}_pred' for t, v in step.items())} FROM (SELECT *, CAST(date + 1 AS DATE) AS nxt FROM r WHERE step < horizon)))
+"""
+
+
+_PAST = ", ".join(f"CAST(list({t} ORDER BY date)[-30:] AS DOUBLE[]) AS h_{t}, CAST(quantile_cont({t}, 0.01) AS DOUBLE) AS {t}_lo, CAST(quantile_cont({t}, 0.99) AS DOUBLE) AS {t}_hi" for t in T)
+_LAG7 = with_views("daily_panel").replace("WITH", "WITH RECURSIVE", 1) + f", s AS (SELECT segment, max(date) AS date, TRUE AS boosted, {_PAST} FROM daily_panel GROUP BY segment)" + _recursion_sql("s", "segment", "30", True)
+
+
+def _forecast_lag7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut_lineage(views.daily_panel(spark, sf_dir))
+    state = forecast.with_bounds(forecast.start_state(rows, ["segment"]), rows, ["segment"])
+    return forecast.recursive_forecast(state, _lag7, 30, ["segment"], HOLIDAYS)
+
+
+@_register(_LAG7 + "SELECT segment, date, round(purchase_pred, 2) AS purchase_pred, round(redeem_pred, 2) AS redeem_pred FROM r WHERE step > 0")
+def recursive_forecast_lag7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_doubles(_forecast_lag7(spark, sf_dir), 2)
+
+
+@_register(_LAG7 + "SELECT segment, CAST(strftime(date, '%Y%m%d') AS INT) AS report_date, CAST(round_even(purchase_pred, 0) AS BIGINT) AS purchase, CAST(round_even(redeem_pred, 0) AS BIGINT) AS redeem FROM r WHERE step > 0")
+def forecast_submission_lag7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return submission(_forecast_lag7(spark, sf_dir), ["segment"])
+
+
+_MONTHS = [f"2001-0{m}" for m in range(2, 7)]
+_BACKTEST = (with_views("daily_panel").replace("WITH", "WITH RECURSIVE", 1) + f", m(fold, first) AS (VALUES {', '.join(f"('{m}', DATE '{m}-01')" for m in _MONTHS)}), st(strategy, boosted) AS (VALUES ('base', FALSE), ('month_end_boost', TRUE)), "
+             f"h AS (SELECT fold, segment, any_value(CAST(first - 1 AS DATE)) AS date, {_PAST} FROM daily_panel JOIN m ON date < first GROUP BY fold, segment), s AS (SELECT * FROM h, st)"
+             + _recursion_sql("s", "fold, segment, strategy", "day(last_day(date + 1))", False)
+             + ", forecast AS (SELECT r.fold, r.segment, r.strategy, r.date, d.purchase AS purchase_true, r.purchase_pred, d.redeem AS redeem_true, r.redeem_pred FROM r JOIN daily_panel d ON r.segment = d.segment AND r.date = d.date WHERE r.step > 0)")
+
+
+def _backtest_lag7(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return backtest.rolling_backtest(cut_lineage(views.daily_panel(spark, sf_dir)), _MONTHS, ["segment"], holiday_dates=HOLIDAYS, predictor=_lag7)
+
+
+@_register(_BACKTEST + " SELECT fold, segment, strategy, date, purchase_true, round(purchase_pred, 2) AS purchase_pred, redeem_true, round(redeem_pred, 2) AS redeem_pred FROM forecast")
+def backtest_predictions_lag7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_doubles(_backtest_lag7(spark, sf_dir)[0].drop("purchase_best_iterations", "redeem_best_iterations"), 2)
+
+
+@_register(_BACKTEST + f""", {_SCORED.replace(', s AS', ', s2 AS')} SELECT coalesce(fold, 'overall') AS fold, segment, strategy, {_METRICS}, count(*) FILTER (WHERE purchase_error > 0.3) AS purchase_zero_score_days, count(*) FILTER (WHERE redeem_error > 0.3) AS redeem_zero_score_days
+FROM s2 GROUP BY GROUPING SETS ((fold, segment, strategy), (segment, strategy))""")
+def rolling_backtest_lag7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_doubles(_backtest_lag7(spark, sf_dir)[1].drop("purchase_best_iterations", "redeem_best_iterations"), 6)

@@ -18,22 +18,17 @@ INTERBANK = "mfd_date STRING, Interest_O_N DOUBLE, Interest_1_W DOUBLE, Interest
 TABLES = {"ledger": ("user_balance", LEDGER), "profile": ("user_profile", PROFILE), "daily_yield": ("day_share_interest", YIELD), "interbank": ("shibor", INTERBANK)}
 
 
-class EncodingError(ValueError):
-    """A file is not in the encoding it was read with."""
-
-
 def read_csv(spark: SparkSession, path: str | list[str], schema: str | StructType | None = None, encoding: str = "utf-8", check: bool = True) -> DataFrame:
     """A CSV file with a header, in a stated encoding; a byte order mark is dropped and column names are trimmed.
 
     Fields are matched to ``schema`` by their names, and columns that the schema lacks are kept as
-    text. With ``check``, one pass makes sure that no text holds U+FFFD, the sign of a wrong encoding.
-    ``gbk`` and ``gb18030`` need a session with ``spark.sql.legacy.javaCharsets``.
+    text. With ``check``, a field that holds U+FFFD, the sign of a wrong encoding, is an error when it is
+    read; the file is read once. ``gbk`` and ``gb18030`` need a session with ``spark.sql.legacy.javaCharsets``.
     """
     raw = trim_names(spark.read.csv(path, header=True, encoding=encoding))
     if check:
-        texts = [F.coalesce(F.max(F.contains(F.col(f"`{c}`"), F.lit("�"))), F.lit(False)) for c in raw.columns]
-        if texts and any(raw.agg(*texts).first()):
-            raise EncodingError(f"{path} is not {encoding}")
+        wrong = F.raise_error(F.lit(f"{path} is not {encoding}")).cast("string")
+        raw = raw.select(*(F.when(F.contains(F.col(f"`{c}`"), F.lit("�")), wrong).otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns))
     if schema is None:
         return raw
     wanted = {f.name: f.dataType for f in (schema if isinstance(schema, StructType) else StructType.fromDDL(schema))}
