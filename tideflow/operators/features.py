@@ -89,6 +89,10 @@ def ratio_diff(series_cols: Sequence[str] = (), purchase: str = "purchase", rede
     }
 
 
+#: Features that are the same under two names.
+_SAME = {"month_start_mean": "roll_mean_30", "same_weekday_w1": "lag_7", "same_weekday_w2": "lag_14", "same_day_last_month": "lag_30"}
+
+
 def calendar_features(holiday_dates: Sequence[str] = cal.HOLIDAYS_2014, date: str = "date") -> dict[str, Column]:
     d = F.col(date)
     return cal.calendar(d) | cal.fourier(d) | cal.month_edges(d) | cal.holidays(d, holiday_dates)
@@ -124,7 +128,13 @@ def add_features(daily: DataFrame, series_cols: Sequence[str] = (), holiday_date
         raise ValueError("calendar_gaps is rows or fill")
     df = fill_calendar(daily, series_cols) if calendar_gaps == "fill" else daily
     windows = lags(series_cols) | rolling(series_cols) | rolling_median(series_cols) | month_start_mean(series_cols) | same_period(series_cols) | ratio_diff(series_cols)
-    return fill_missing(df.withColumns(calendar_features(holiday_dates) | windows), series_cols)
+    # What goes by two names is taken once, and only what can be null is filled: nothing of the calendar.
+    again = {f"{t}_{a}": f"{t}_{b}" for t in TARGETS for a, b in _SAME.items()}
+    own = {n: c for n, c in windows.items() if n not in again}
+    numbers = [c for c in numeric_columns(df) if c not in series_cols]
+    filled = fill_missing(df.withColumns(own), series_cols, [*numbers, *own])
+    calendar = calendar_features(holiday_dates)
+    return filled.select(*df.columns, *(c.alias(n) for n, c in calendar.items()), *(F.col(again.get(n, n)).alias(n) for n in windows))
 
 
 def model_columns(features: DataFrame, series_cols: Sequence[str] = (), same_day_counts: bool = False) -> list[str]:

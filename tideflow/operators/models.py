@@ -7,6 +7,7 @@ import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark import SparkContext
@@ -229,7 +230,7 @@ def cv_folds(days: DataFrame, splits: int = 3, date: str = "date") -> DataFrame:
         F.count_if(train).alias("n_train"), F.count_if(valid).alias("n_valid"))
 
 
-def _mape(scored: DataFrame, target: str, predicted: str) -> Column:
+def _mape(target: str, predicted: str) -> Column:
     return F.avg(absolute_percentage_error(F.col(target), F.col(predicted)))
 
 
@@ -244,14 +245,13 @@ def cross_validate(train: DataFrame, columns: Sequence[str], splits: int = 3, se
     with ThreadPoolExecutor(threads) as pool:
         jobs = [(i, t) for i in range(len(folds)) for t in ("purchase", "redeem")]
         fitted = dict(zip(jobs, pool.map(fit, jobs), strict=True))
-    rows = []
+    parts = []
     for i, f in enumerate(folds):
         scored = train.where(F.col("date").between(f.valid_from, f.valid_to))
         for t in ("purchase", "redeem"):
             scored = fitted[i, t].predict(scored, f"{t}_pred")
-        got = scored.agg(*(_mape(scored, t, f"{t}_pred").alias(t) for t in ("purchase", "redeem"))).first()
-        rows.append((f.fold, float(got.purchase), float(got.redeem)))
-    out = train.sparkSession.createDataFrame(rows, "fold int, purchase_mape double, redeem_mape double")
+        parts.append(scored.select(F.lit(f.fold).cast("int").alias("fold"), "purchase", "purchase_pred", "redeem", "redeem_pred"))
+    out = reduce(DataFrame.unionByName, parts).groupBy("fold").agg(*(_mape(t, f"{t}_pred").alias(f"{t}_mape") for t in ("purchase", "redeem")))
     return out.withColumn("weighted_mape", weighted(F.col("purchase_mape"), F.col("redeem_mape")))
 
 
@@ -274,7 +274,7 @@ def loss_curve(train: DataFrame, valid: DataFrame, target: str, columns: Sequenc
     else:
         models = [fit_one(train, target, columns, kind=kind, trees=k, seed=seed, **options) for k in points]
         for name, df in sets.items():
-            found[name] = [m.predict(df, "p").agg(_mape(df, target, "p")).first()[0] for m in models]
+            found[name] = [m.predict(df, "p").agg(_mape(target, "p")).first()[0] for m in models]
     rows = [(target, k, float(a), float(b)) for k, a, b in zip(points, found["train"], found["valid"], strict=True)]
     return train.sparkSession.createDataFrame(rows, "target string, trees int, train_mape double, valid_mape double")
 
