@@ -46,7 +46,7 @@ def evaluate_fold(features: DataFrame, month: str, columns: Sequence[str] | None
     return out.withColumns({"fold": F.lit(month), "purchase_best_iterations": F.lit(iterations[0]), "redeem_best_iterations": F.lit(iterations[1])})
 
 
-def rolling_backtest(features: DataFrame, months: Sequence[str], series_cols: Sequence[str] = (), seeds: int = 1, threads: int = 2, **options) -> tuple[DataFrame, DataFrame]:
+def rolling_backtest(features: DataFrame, months: Sequence[str], series_cols: Sequence[str] = (), seeds: int = 1, threads: int = 4, **options) -> tuple[DataFrame, DataFrame]:
     """Predictions of all months, and their metrics by fold and strategy and over all days."""
     if seeds < 1:
         raise ValueError("seeds must be 1 or more")

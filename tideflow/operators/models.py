@@ -31,7 +31,7 @@ def make_regressor(kind: str = BOOSTED, trees: int = 30, depth: int = 0, step: f
     if kind.lower() not in _KINDS:
         raise ValueError(f"unknown model: {kind}")
     if _KINDS[kind.lower()] == FOREST:
-        return RandomForestRegressor(labelCol="label", numTrees=trees, maxDepth=depth or 15, minInstancesPerNode=3, seed=seed)
+        return RandomForestRegressor(labelCol="label", numTrees=trees, maxDepth=depth or 15, minInstancesPerNode=3, maxMemoryInMB=512, seed=seed)
     return GBTRegressor(labelCol="label", maxIter=trees, stepSize=step, maxDepth=depth or 5, minInstancesPerNode=5, subsamplingRate=0.85, featureSubsetStrategy="0.85", seed=seed)
 
 
