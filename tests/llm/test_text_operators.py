@@ -133,7 +133,7 @@ def _removed(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize(("batches", "crowd"), [(None, 2_000), (8, 2_000), (3, 1)])
+@pytest.mark.parametrize(("batches", "crowd"), [(None, 500), (8, 500), (3, 1)])
 def test_suffix_family(docs, texts, none, batches, crowd):
     everything = [*texts, texts[5]]
     expected = {100 - i if i < len(texts) else 95: e for i, e in enumerate(_removed(everything))}
@@ -147,6 +147,10 @@ def test_suffix_family(docs, texts, none, batches, crowd):
         assert suffix_family.remove_repeats(none).count() == 0
 
 
+def test_suffix_family_equals_sql(spark, data_dir):
+    assert_same(spark, data_dir, queries.op10_suffix_family_dedup, suffix_family.ORACLE_SQL)
+
+
 def test_suffix_family_merges_runs_of_one_rank(spark, docs):
     family = suffix_family.SuffixFamily(spark)
     every = suffix_family.materialise(suffix_family.suffixes(suffix_family._keyed(docs, "doc_id", "text"), 200))
@@ -634,7 +638,7 @@ def test_the_penalty_acts_on_the_given_tables(spark, data_dir):
         scores = np.array([[model.score(counterfactual_toxicity.pa.array([f"{s} {t}" for s in sentences])) for t in g[:2]] for g in counterfactual_toxicity.IDENTITY_TERMS])
         margins = np.log(scores / (1 - scores))
         spread[fairness], alarms[fairness] = np.abs(margins[:, 0] - margins[:, 1]).mean(), int((scores >= 0.7).sum())
-    assert 0 < spread[5.0] < spread[0.0] / 4 and alarms[5.0] <= alarms[0.0]
+    assert 0 < spread[5.0] < spread[0.0] / 4 and max(alarms.values()) <= 0.01 * scores.size
 
 
 def test_swapped_groups_score_alike(spark):
@@ -646,11 +650,13 @@ def test_swapped_groups_score_alike(spark):
         rows.append((int(toxic), " ".join([*rng.choices("river stone cloud lantern harbour".split(), k=6), group, *(["rotten"] if toxic and i % 2 else [])])))
     sample = spark.createDataFrame(rows, "label int, text string")
     ask = counterfactual_toxicity.pa.array(["a muslim by the river", "a christian by the river"])
-    gaps = []
+    gaps, alarms = [], []
     for weight in (0.0, 5.0):
         a, b = counterfactual_toxicity.learn(sample, fairness=weight).score(ask)
         gaps.append(abs(a - b))
+        alarms.append(a > 0.4)
     assert gaps[0] > 0.2 and gaps[1] < 0.05
+    assert alarms == [True, False]  # a neutral mention of the group that toxic texts mention more
 
 
 def test_components_of_chains_and_stars(spark):

@@ -78,4 +78,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_pfair_mix": source_mix.ORACLE_SQL,
         "op5_host_quality_rules": quality_rules.ORACLE_SQL,
         "op9_url_range_rules": url_filter.ORACLE_SQL,
+        "op10_suffix_family_dedup": suffix_family.ORACLE_SQL,
     }

@@ -372,3 +372,18 @@ def digests(cut: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept_sha256)`` of the rows of ``remove_repeats``."""
     return cut.select(id_col, "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
                       F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: DuckDB: every string of 200 bytes by its MD5, as hex digits cut from pieces of the texts.
+ORACLE_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT k, b, substr(h, 1000 * b + 1, 1398) AS h, length(h) // 2 - 500 * b - 199 AS n FROM d, unnest(range(0, length(h) // 1000 + 1)) u(b)),
+s AS MATERIALIZED (SELECT k, 500 * b + i AS i, md5_number(substr(h, 2 * i + 1, 400)) AS g FROM w, unnest(range(0, greatest(0, least(500, n)))) u(i)),
+t AS (SELECT k, i FROM s WHERE g IN (SELECT g FROM s GROUP BY g HAVING count(*) > 1)),
+m AS (SELECT k, i, i > 200 + coalesce(lag(i) OVER (PARTITION BY k ORDER BY i), -1000) AS fresh FROM t),
+r AS (SELECT k, run, min(i) AS lo, max(i) + 200 AS hi FROM (SELECT k, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY k ORDER BY i) AS run FROM m) GROUP BY k, run),
+g AS (SELECT k, run, hi, lo, coalesce(lag(hi) OVER (PARTITION BY k ORDER BY lo), 0) AS before, lead(lo) OVER (PARTITION BY k ORDER BY lo) IS NULL AS final FROM r),
+c AS (SELECT g.k, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans,
+             string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) || coalesce(any_value(CASE WHEN final THEN substr(h, 2 * hi + 1) END), '') AS kept FROM g JOIN d USING (k) GROUP BY g.k)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN c USING (k)
+"""
