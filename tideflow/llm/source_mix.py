@@ -64,8 +64,9 @@ def _table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFram
     return spark.range(1).select(F.inline(F.array(*(F.struct(*(literal(v).alias(n) for v, n in zip(r, names, strict=True))) for r in rows))))
 
 
-def mix(docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, block_docs: int = 16, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with ``block``, ``slot`` and ``place``: all rows in a mix of sources to target weights.
+def mix(docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, block_docs: int = 16, id_col: str = "doc_id", source_col: str = "source",
+        into: tuple[str, str, str] = ("block", "slot", "place")) -> DataFrame:
+    """``docs`` with ``block``, ``slot`` and ``place``, or the names in ``into``: all rows in a mix of sources to target weights.
 
     The rows of a source, in the order of the MD5 of their ids, form blocks of ``block_docs``; the mix
     is the blocks in the order of ``slot``, with the rows of a block by ``place``. As long as no source
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, block_do
     spark, names = docs.sparkSession, list(weights)
     index = F.create_map(*(F.lit(x) for pair in ((s, i) for i, s in enumerate(names)) for x in pair)) if names else None
     of_class = F.coalesce(index[F.col(source_col)], F.lit(len(names))) if names else F.lit(0)
-    kept = [c for c in docs.columns if c not in ("block", "slot", "place")]
+    kept = [c for c in docs.columns if c not in into]
     rows = docs.select(*kept, of_class.alias("__class"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__order"))
     rows = rows.withColumn("__prefix", F.substring("__order", 1, 3))
     counts = rows.groupBy("__class", "__prefix").agg(F.count(F.lit(1)).alias("__n"))
@@ -97,7 +98,7 @@ def mix(docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, block_do
     phases = schedule(blocks, [*weights.values(), rest_weight])
     if not phases:
         none = F.lit(None).cast("bigint")
-        return docs.select(*kept, none.alias("block"), none.alias("slot"), none.alias("place")).limit(0)
+        return docs.select(*kept, *(none.alias(n) for n in into)).limit(0)
     by_prefix = Window.partitionBy("__class").orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("__class", "__prefix", F.coalesce(F.sum("__n").over(by_prefix), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__class", "__prefix").orderBy("__order", id_col))
@@ -108,13 +109,14 @@ def mix(docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, block_do
     i = F.col("__block") - F.col("__first")
     slot = F.col("__base") + F.floor(i / F.col("__weight")) * F.col("__period") + F.get("__slots", (i % F.col("__weight")).cast("int"))
     meets = (F.col("__class") == F.col("__of_class")) & (F.col("__block") >= F.col("__first")) & (F.col("__block") < F.col("__end"))
-    return numbered.join(F.broadcast(plan), meets).select(*kept, F.col("__block").cast("bigint").alias("block"), slot.cast("bigint").alias("slot"), (F.col("__at") % block_docs).cast("bigint").alias("place"))
+    made = (F.col("__block"), slot, F.col("__at") % block_docs)
+    return numbered.join(F.broadcast(plan), meets).select(*kept, *(c.cast("bigint").alias(n) for c, n in zip(made, into, strict=True)))
 
 
-def in_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
+def in_order(mixed: DataFrame, partitions: int | None = None, by: tuple[str, str] = ("slot", "place")) -> DataFrame:
     """The rows of ``mix`` in the order of the mix: over the partitions, which are written as files in this order, and within."""
     n = partitions or int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place")
+    return mixed.repartitionByRange(n, *by).sortWithinPartitions(*by)
 
 
 #: Of the registered query: 30 for src0, 2 to 6 for src1 to src19, 2 for the rest.
