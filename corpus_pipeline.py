@@ -25,13 +25,13 @@ def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return suffix_family.cut_texts(docs)
 
 
-def _mix(docs: DataFrame) -> DataFrame:
-    return source_mix.in_order(source_mix.mix(docs, source_mix.WEIGHTS, source_mix.REST_WEIGHT))
+def _mix(docs: DataFrame, block: str, slot: str, place: str) -> DataFrame:
+    return source_mix.in_order(source_mix.mix(docs, source_mix.WEIGHTS, source_mix.REST_WEIGHT, into=(block, slot, place)), by=(slot, place))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix of sources."""
-    return _mix(docs).select(*docs.columns)
+    return _mix(docs, "__block", "__slot", "__place").select(*docs.columns)
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``slot`` and ``place`` are those of the mix, which depend on ids and sources alone: reading does not
     keep the order of files, so they are found again here. Rows are written in their order.
     """
-    coded = bpe_automaton.encode_decode(_mix(docs), public_tokenizers.path("byte_bpe_50k.json"), keep=("source", "slot", "place"))
+    coded = bpe_automaton.encode_decode(_mix(docs, "block", "slot", "place"), public_tokenizers.path("byte_bpe_50k.json"), keep=("source", "slot", "place"))
     return coded.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "slot", "place")
 
 
