@@ -134,7 +134,7 @@ class SuffixFamily:
         if not KEY_BYTES <= length <= 287:
             raise ValueError(f"length must be between {KEY_BYTES} and 287")
         self.spark, self.length, self.folder = spark, length, folder or shared_dir(spark)
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))  # the most that Spark takes
         self.name = f"tideflow_{uuid.uuid4().hex}"
         self.levels: list[tuple[int, str]] = []  # rank and table, ranks falling
         self.found: list[DataFrame] = []
@@ -242,8 +242,9 @@ def _same_digests(contexts: DataFrame, length: int) -> DataFrame:
         return {n: pa.array([r[i] for r in out], pa.binary() if n == "digest" else pa.int64()) for i, n in enumerate(names)}
 
     each = materialise(map_slices(contexts.select("key", "row", "place", "bytes"), strings, "at bigint, digest binary, row bigint, mark bigint, start bigint"))
-    twice = each.groupBy("at", "digest").count().where("count > 1").select("at", "digest")
-    return each.join(twice, ["at", "digest"]).select("row", "mark", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    twice = materialise(each.groupBy("at", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    found = join_spread(each.withColumn("nth", F.xxhash64("row", "start")), twice.drop("n"), ["at", "digest"], twice, "nth")
+    return found.select("row", "mark", F.col("start").alias("lo"), F.col("start").alias("hi"))
 
 
 def repeated_starts(docs: DataFrame, id_col: str, text_col: str, length: int = 200, batches: int | None = None, crowd: int = 2_000) -> DataFrame:
@@ -287,9 +288,10 @@ def repeated_starts(docs: DataFrame, id_col: str, text_col: str, length: int = 2
     texts = keyed.select("text", "row", "mark").join(wanted, ["row", "mark"]).select("text", "row", "anchors")
     contexts = materialise(map_slices(texts, cut, "key bigint, n_contexts bigint, row bigint, place bigint, bytes binary"))
     release(spark)
-    parts = materialise(_same_bytes(contexts.where(F.col("n_contexts") <= crowd), length).unionByName(_same_digests(contexts.where(F.col("n_contexts") > crowd), length)))
+    few = materialise(_same_bytes(contexts.where(F.col("n_contexts") <= crowd), length))
+    many = materialise(_same_digests(contexts.where(F.col("n_contexts") > crowd), length))
     release(spark)
-    return whole.unionByName(parts)
+    return whole.unionByName(few).unionByName(many)
 
 
 def _runs(starts: pa.ListArray, length: int) -> list[list[tuple[int, int]]]:
