@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann_search, boosted_quality, bpe_automaton, counterfactual_toxicity, quality_rules, simhash, source_mix, suffix_family, url_filter, wavelet_store
+from . import ann_search, bit_sliced_search, boosted_quality, bpe_automaton, conversation_repair, counterfactual_toxicity, minhash, quality_rules, simhash, source_mix, suffix_family, url_filter, wavelet_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,21 @@ def op10_suffix_family_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_family.digests(suffix_family.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.with_digest(conversation_repair.repair(conversation_repair.damage(conversations), conversations))
+
+
+def op12_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bit_sliced_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op13_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.edit_likeness(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_boosted_quality": op1_boosted_quality,
@@ -70,6 +86,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_wavelet_token_files": op8_wavelet_token_files,
         "op9_url_range_rules": op9_url_range_rules,
         "op10_suffix_family_dedup": op10_suffix_family_dedup,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_bit_sliced_search": op12_bit_sliced_search,
+        "op13_minhash_fingerprints": op13_minhash_fingerprints,
     }
 
 
@@ -79,4 +98,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_host_quality_rules": quality_rules.ORACLE_SQL,
         "op9_url_range_rules": url_filter.ORACLE_SQL,
         "op10_suffix_family_dedup": suffix_family.ORACLE_SQL,
+        "op12_bit_sliced_search": bit_sliced_search.ORACLE_SQL,
     }
