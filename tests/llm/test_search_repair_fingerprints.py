@@ -281,3 +281,39 @@ def test_fingerprints_of_little(spark):
         maker = minhash.Fingerprinter(bins=64, bits=bits)
         values = maker.values(b"some words that are of no import")
         assert (maker.unpack(maker.pack(values)) == values).all() and len(maker.pack(values)) == 8 * bits
+
+
+# Repeated rows and hosts at the end of Unicode
+
+def test_repeated_rows_do_not_multiply_contexts(spark, monkeypatch):
+    from tideflow.llm import suffix_family
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    passage = " ".join(word() for _ in range(60))
+    copy = f"{passage} {' '.join(word() for _ in range(40))}"
+    rows = [(None, copy)] * 2000 + [(1, f"{word()} {passage}"), (2, f"{passage} {word()}"), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    compare, crowds = suffix_family._same_bytes, []
+    monkeypatch.setattr(suffix_family, "_same_bytes", lambda contexts, length: crowds.append(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("n_contexts").alias("of")).collect()) or compare(contexts, length))
+    got = suffix_family.digests(suffix_family.remove_repeats(docs)).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert {tuple(r) for r in got} == {(None, len(copy), len(copy), 1, 2000), (1, len(passage) + 7, len(passage), 1, 1), (2, len(passage) + 7, len(passage) + 1, 1, 1), (3, 0, 0, 0, 2)}
+    assert crowds[0] and all(r.n <= r.of <= 3 for r in crowds[0])
+    cut = suffix_family.cut_texts(docs.withColumns({"row": F.lit(1), "n_chars": F.length("text")}))
+    assert cut.columns == ["doc_id", "text", "row", "n_chars"] and cut.where("text = ''").count() == 2001 and cut.where("text IS NULL").count() == 1
+
+
+def test_url_rules_at_the_last_character_and_on_odd_rows(spark):
+    from tideflow.llm import url_filter
+
+    last = "\U0010ffff"
+    urls = [f"http://{last}{last}.com/x"] * 60 + [f"http://{last}.com/x", "http://com/", "http://com/" + "y" * (1 << 20), f"http://comx/{last}", None, "no scheme", "://", "http:///only/path"] * 3
+    pages = spark.createDataFrame([(None if i % 3 else 7, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string").repartition(3)
+    rules = spark.createDataFrame([("com", "/", "block"), (f"{last}.com", "/x", "allow"), ("", "/only", "block"), (None, "/", "block")], "host string, path string, verdict string")
+    for ranges in (1, 4, 50):
+        got = url_filter.judge(pages, rules, ranges=ranges, per_range=3)
+        found = Counter((r.host[-6:], r.path[:9], r.rule, r.verdict) for r in got.collect())
+        assert found == {(f"{last}{last}.com", "/x", "com/", "block"): 60, (f"{last}.com", "/x", f"{last}.com/x", "allow"): 3, ("com", "/", "com/", "block"): 3, ("com", "/" + "y" * 8, "com/", "block"): 3,
+                         ("comx", f"/{last}", None, "allow"): 3, ("", "", None, "allow"): 9, ("", "/only/pat", "/only", "block"): 3}
+        assert got.groupBy("page_id").count().count() == 2
+    assert sorted(r[0] for r in spark.createDataFrame([(s,) for s in url_filter._seats(spark, 37)], "s int").select(F.pmod(F.hash("s"), F.lit(37))).collect()) == list(range(37))

@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -122,8 +122,13 @@ def identity(id_: Column, text: Column, *more: Column) -> tuple[Column, Column]:
     return F.xxhash64(id_, whole, *more), F.hash(whole, id_, *more).bitwiseAND(F.lit(0x7FFF)).cast("bigint")
 
 
-def join_spread(many: DataFrame, one: DataFrame, keys: list[str], sizes: DataFrame, nth: str) -> DataFrame:
-    """``many.join(one, keys)``, where a key may hold any share of ``many`` and has one row in ``one``.
+def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each value of ``keys``, for rows that are equal then; all others go before they are shuffled, but for one a task."""
+    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))).where("__k = 1").drop("__k")
+
+
+def join_spread(many: DataFrame, one: DataFrame, keys: list[str], sizes: DataFrame, nth: str, how: str = "inner") -> DataFrame:
+    """``many.join(one, keys, how)``, where a key may hold any share of ``many`` and has one row in ``one``.
 
     ``sizes(keys, n)`` counts the rows of each key. Keys with over a thousandth of all rows, of which there
     are less than a thousand, are dealt out by ``nth``, a number of the rows of ``many``.
@@ -134,7 +139,7 @@ def join_spread(many: DataFrame, one: DataFrame, keys: list[str], sizes: DataFra
     pieces = F.coalesce("__pieces", F.lit(1))
     left = many.join(heavy, keys, "left").withColumn("__piece", F.pmod(F.col(nth), pieces).cast("int")).drop("__pieces")
     right = one.join(heavy, keys, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("__pieces")
-    return left.join(right, [*keys, "__piece"]).drop("__piece")
+    return left.join(right, [*keys, "__piece"], how).drop("__piece")
 
 
 def fold_of(id_col: str, folds: int) -> Column:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, identity, join_spread, map_slices, materialise, release, shared_dir, utf8
+from .common import drop_path, identity, join_spread, map_slices, materialise, one_of_each, release, shared_dir, utf8
 
 KEY_BYTES = 32
 _TABLE = np.random.default_rng(10).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -155,9 +155,10 @@ class SuffixFamily:
         """Index a batch of ``suffixes``: scan it against all runs for equal keys, then merge runs while the last two have one rank."""
         run = self._write_run(batch.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
         new = self.spark.table(run)
-        shared = new.where("n > 1").select("key")
+        shared = new.where("n > 1")
         for _, level in self.levels:
-            shared = shared.unionByName(new.join(self.spark.table(level).select("key"), "key").select("key"))
+            old = self.spark.table(level).withColumnRenamed("n", "others")
+            shared = shared.unionByName(new.join(old, "key").select("key", (F.col("n") + F.col("others")).alias("n")))
         self.found.append(materialise(shared, f"{self.folder}/found-{len(self.found)}"))
         self.levels.append((0, run))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
@@ -169,8 +170,8 @@ class SuffixFamily:
             self._drop_run(b)
 
     def repeated(self) -> DataFrame:
-        """The keys that occur at least twice over all batches, each once."""
-        return reduce(DataFrame.unionByName, self.found).distinct()
+        """``(key, n)``: the keys that occur at least twice over all batches, each once, with a count of its suffixes in two of the runs at least."""
+        return reduce(DataFrame.unionByName, self.found).groupBy("key").agg(F.max("n").alias("n"))
 
     def close(self) -> None:
         """Delete the runs and what was found."""
@@ -255,12 +256,14 @@ def repeated_starts(docs: DataFrame, id_col: str, text_col: str, length: int = 2
     if batches is None:  # each batch is scanned against all before it, so their number grows with the logarithm of the input
         batches = 2 + (every.count() >> 22).bit_length()
     family = SuffixFamily(spark, length, f"{folder}/family")
-    for i in range(batches):
-        family.add(every.where(F.pmod("row", F.lit(batches)) == i))
-    keys = materialise(family.repeated())
-    family.close()
-    # A key that many suffixes have has one row on the right, and Spark splits its rows on the left.
-    hits = materialise(every.join(keys, "key"), f"{folder}/hits")
+    try:
+        for i in range(batches):
+            family.add(every.where(F.pmod("row", F.lit(batches)) == i))
+        keys = materialise(family.repeated())
+    finally:
+        family.close()
+    hits = join_spread(every.withColumn("nth", F.xxhash64("row", "place")), keys.drop("n"), ["key"], keys, "nth").drop("nth")
+    hits = materialise(hits, f"{folder}/hits")
     drop_path(spark, f"{folder}/suffixes")
     release(spark)
     groups = materialise(hits.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("one")))
@@ -285,7 +288,8 @@ def repeated_starts(docs: DataFrame, id_col: str, text_col: str, length: int = 2
         parts = [texts[o][i:j] for o, i, j in zip(owner.tolist(), first.tolist(), ends.tolist(), strict=True)]
         return {"key": key, "n_contexts": n, "row": part.column(1).to_numpy()[owner], "place": place, "bytes": pa.array(parts, pa.binary())}
 
-    texts = keyed.select("text", "row", "mark").join(wanted, ["row", "mark"]).select("text", "row", "anchors")
+    # Repeated rows are one text: an anchor's context is cut once.
+    texts = one_of_each(keyed.select("text", "row", "mark"), ["row", "mark"]).join(wanted, ["row", "mark"]).select("text", "row", "anchors")
     contexts = materialise(map_slices(texts, cut, "key bigint, n_contexts bigint, row bigint, place bigint, bytes binary"))
     release(spark)
     few = materialise(_same_bytes(contexts.where(F.col("n_contexts") <= crowd), length))
@@ -308,6 +312,14 @@ def _runs(starts: pa.ListArray, length: int) -> list[list[tuple[int, int]]]:
     return out
 
 
+def _with_starts(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """``rows`` with the list ``__starts`` of each by ``(__row, __mark)``, null for none; rows that repeat many times are dealt out."""
+    keys = ["__row", "__mark"]
+    listed = starts.groupBy(F.col("row").alias("__row"), F.col("mark").alias("__mark")).agg(F.collect_set(F.struct("lo", "hi")).alias("__starts"))
+    sizes = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return join_spread(rows.withColumn("__nth", F.monotonically_increasing_id()), listed, keys, sizes, "__nth", "left").drop("__nth", *keys)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batches: int | None = None, crowd: int = 2_000) -> DataFrame:
     """One row for each document: id, ``n_bytes``, ``spans ARRAY<STRUCT<lo, hi>>`` and ``kept BINARY``.
 
@@ -321,7 +333,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     them. The result depends on neither.
     """
     starts = repeated_starts(docs, id_col, text_col, length, batches, crowd)
-    listed = starts.groupBy("row", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("starts"))
 
     def cut(part: pa.RecordBatch) -> dict[str, object]:
         spans, kept, sizes = [], [], []
@@ -337,7 +348,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return {"id": part.column(0), "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = _keyed(docs, id_col, text_col).join(listed, ["row", "mark"], "left").select("id", "text", "starts")
+    keyed = _keyed(docs, id_col, text_col).withColumnsRenamed({"row": "__row", "mark": "__mark"})
+    texts = _with_starts(keyed, starts).select("id", "text", "__starts")
     return map_slices(texts, cut, f"id {kind}, n_bytes bigint, spans array<struct<lo: bigint, hi: bigint>>, kept binary").withColumnRenamed("id", id_col)
 
 
@@ -348,9 +360,8 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     everything is empty, a null text stays null. Ids may be null or repeat; all columns are kept.
     """
     starts = repeated_starts(docs, id_col, text_col, length, batches, crowd)
-    listed = starts.groupBy("row", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("starts")).select(F.col("row").alias("__row"), F.col("mark").alias("__mark"), F.col("starts").alias("__starts"))
     row, mark = identity(F.col(id_col), F.col(text_col))
-    marked = docs.withColumns({"__row": row, "__mark": mark}).join(listed, ["__row", "__mark"], "left").drop("__row", "__mark")
+    marked = _with_starts(docs.withColumns({"__row": row, "__mark": mark}), starts).select(*(F.col(f"`{c}`") for c in docs.columns), "__starts")
     place, starts_at, kinds = docs.columns.index(text_col), len(docs.columns), docs.schema
 
     def run(part: pa.RecordBatch) -> dict[str, object]:

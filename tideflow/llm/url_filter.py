@@ -9,12 +9,11 @@ from itertools import count
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"^(?s:.*?)://([^/?#]*)([^?#]*)"
-_LAST = "\U0010ffff"
 
 
 def url_host(url: Column) -> Column:
@@ -43,6 +42,15 @@ def _bounds(keys: DataFrame, n_ranges: int, per_range: int) -> list[str]:
     return [found[i * len(found) // n_ranges] for i in range(1, n_ranges)] if found else []
 
 
+def _seats(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of ``n`` ranges that Spark's hash sends to a partition of its own among ``n``."""
+    found: dict[int, int] = {}
+    while len(found) < n:
+        tried = spark.range(len(found) * 16, (len(found) + n) * 32).select(F.col("id").cast("int").alias("id"))
+        found |= {r.at: r.id for r in tried.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id")).collect()}
+    return [found[i] for i in range(n)]
+
+
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", ranges: int | None = None, per_range: int = 20) -> DataFrame:
     """``(id, host, path, rule, verdict)`` of every page; ``rules(host, path, verdict)``.
 
@@ -57,7 +65,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     Urls and rules are sorted by reversed host, in ranges cut by a bounded sample of the urls. A rule's
     host is an interval of the order, and goes to each range that it meets. The sweep over a range
     keeps a stack of the hosts that are open, from the outermost in, each with its rules by path.
-    Urls with one key, however many, are dealt out over the ranges that it spans.
+    Urls with one key, however many, are dealt out over the ranges that it spans, each range is a task of its own.
     """
     spark = pages.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -65,6 +73,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     urls = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     urls = urls.withColumn("key", reversed_host(F.col("host"))).withColumn("sort_key", F.concat("key", "path"))
     bounds = _bounds(urls.select("sort_key"), ranges, per_range)
+    seats = _seats(spark, len(bounds) + 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spin = count(TaskContext.get().partitionId())  # a running number, so that repeated rows are dealt out too
@@ -72,12 +81,13 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
             dealt = []
             for key in batch.column(4).to_pylist():
                 lo, hi = bisect_left(bounds, key), bisect_right(bounds, key)
-                dealt.append(lo + next(spin) % (hi - lo + 1))
+                dealt.append(seats[lo + next(spin) % (hi - lo + 1)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(dealt, pa.int32())], ["id", "host", "path", "key", "part"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            met = [list(range(bisect_left(bounds, k), bisect_right(bounds, k + _LAST) + 1)) for k in batch.column(3).to_pylist()]
+            # What begins with a key, which ends with a dot, is below the key with the next character in place of the dot.
+            met = [seats[bisect_left(bounds, k) : bisect_left(bounds, k[:-1] + "/") + 1] if k else seats for k in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(met, pa.list_(pa.int32()))], ["host", "path", "verdict", "key", "parts"])
 
     dealt = urls.mapInArrow(deal, f"id {kind}, host string, path string, key string, part int").withColumns({"kind": F.lit(1), "verdict": F.lit(None).cast("string")})
@@ -111,7 +121,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
             yield pa.RecordBatch.from_arrays([urls_only, *(pa.array([r[i] for r in out], pa.string()) for i in range(4))], ["id", "host", "path", "rule", "verdict"])
 
     order = ["id", "part", "host", "path", "key", "kind", "verdict"]
-    lines = dealt.select(*order).unionByName(sown.select(*order)).repartition("part").sortWithinPartitions("part", "key", "kind", "path")
+    lines = dealt.select(*order).unionByName(sown.select(*order)).repartition(len(seats), "part").sortWithinPartitions("part", "key", "kind", "path")
     return lines.mapInArrow(sweep, f"id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
 
 
