@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.calendar import anomaly_class
+from ..functions.joins import join_null_safe
 
 
 def align(predictions: DataFrame, actuals: DataFrame, series_cols: Sequence[str] = ()) -> DataFrame:
-    """Predictions with the truths of their day; days without one of both go."""
+    """Predictions with the truths of their day; days without one of both go. Null is a series like any other."""
     truths = actuals.select(*series_cols, "date", F.col("purchase").alias("purchase_true"), F.col("redeem").alias("redeem_true"))
-    return predictions.join(truths, [*series_cols, "date"])
+    return join_null_safe(predictions, truths, [*series_cols, "date"], "inner")
 
 
 def with_errors(forecast: DataFrame) -> DataFrame:

@@ -112,11 +112,16 @@ def fill_missing(df: DataFrame, series_cols: Sequence[str] = (), columns: Sequen
     return df.withColumns({c: F.coalesce(F.last(c, True).over(before), F.first(c, True).over(whole), F.lit(0).cast(df.schema[c].dataType)) for c in names})
 
 
-def fill_calendar(daily: DataFrame, series_cols: Sequence[str] = ()) -> DataFrame:
-    """``daily`` with a row for every day between a series' first and last; the added ones have totals and counts of 0."""
+#: What a day without records has none of; all else of it is unknown.
+COUNTED = (*TARGETS, "user_count", "record_count")
+
+
+def fill_calendar(daily: DataFrame, series_cols: Sequence[str] = (), counted: Sequence[str] = COUNTED) -> DataFrame:
+    """``daily`` with a row for every day between a series' first and last; the added ones have 0 in the ``counted`` columns and null in all others."""
     spans = daily.groupBy(*series_cols).agg(F.min("date").alias("a"), F.max("date").alias("b"))
     days = spans.where("a IS NOT NULL").select(*series_cols, F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("date"))
-    return join_null_safe(days, daily, [*series_cols, "date"]).fillna(0, numeric_columns(daily, series_cols))
+    joined = join_null_safe(days, daily.withColumn("__there", F.lit(True)), [*series_cols, "date"])
+    return joined.withColumns({c: F.when(F.col("__there").isNull(), F.lit(0).cast(daily.schema[c].dataType)).otherwise(F.col(c)) for c in counted if c in daily.columns}).drop("__there")
 
 
 def add_features(daily: DataFrame, series_cols: Sequence[str] = (), holiday_dates: Sequence[str] = cal.HOLIDAYS_2014, calendar_gaps: str = "rows") -> DataFrame:

@@ -25,6 +25,21 @@ KEEP = 30
 Predictor = Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]
 
 
+def by_key(predictors: dict[object, Predictor], key: str) -> Predictor:
+    """A predictor for batches whose rows have models of their own, by the value of the column ``key``."""
+
+    def predict(features: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys = features[key]
+        out = tuple(np.full(len(keys), np.nan) for _ in TARGETS)
+        for value in dict.fromkeys(keys):
+            at = np.array([k == value for k in keys])
+            for whole, part in zip(out, predictors[value]({n: v[at] for n, v in features.items() if n != key}), strict=True):
+                whole[at] = part
+        return out
+
+    return predict
+
+
 def start_state(history: DataFrame, series_cols: Sequence[str] = (), keep: int = KEEP) -> DataFrame:
     """``(series, last_date, h_purchase, h_redeem)``: the last ``keep`` values of each series, oldest first."""
     latest = F.row_number().over(Window.partitionBy(*series_cols).orderBy(F.desc("date")))
@@ -129,12 +144,14 @@ def _served(h: dict[str, np.ndarray], sizes: np.ndarray, ddof: int) -> dict[str,
 
 
 def recursive_forecast(state: DataFrame, predict: Predictor, horizon: int, series_cols: Sequence[str] = (), holiday_dates: Sequence[str] = cal.HOLIDAYS_2014,
-                       boosts: tuple[float, float] = (1.2, 1.3), boost_if: str | None = None, smooth: float = 0.99, floor: float | None = 0.0, ddof: int = 0, batch_series: int = 1024) -> DataFrame:
+                       boosts: tuple[float, float] = (1.2, 1.3), boost_if: str | None = None, smooth: float = 0.99, floor: float | None = 0.0, ddof: int = 0, batch_series: int = 1024,
+                       shown: Sequence[str] = ()) -> DataFrame:
     """``(series, date, purchase_pred, redeem_pred)`` for ``horizon`` days after each series' last.
 
     ``state``: the columns of ``start_state``, of ``clip_bounds``, and exogenous values by name. Month ends
     are boosted for all series, or for those where the boolean column ``boost_if`` holds. Predictions enter
-    the next features clipped and unrounded. Series do not depend on each other, so there is no step
+    the next features clipped and unrounded. The key columns ``shown`` are among what the predictor is given
+    (``by_key``). Series do not depend on each other, so there is no step
     between stages: each task takes its series ``batch_series`` at a time through all days.
     """
     day = lambda d: cal.calendar(d) | cal.fourier(d) | cal.month_edges(d) | cal.holidays(d, holiday_dates)
@@ -156,7 +173,7 @@ def recursive_forecast(state: DataFrame, predict: Predictor, horizon: int, serie
                 calendar = column["__days"].flatten()
                 by_day = {c: number(calendar.field(c)).reshape(n, horizon) for c in names}
                 factor = number(calendar.field("boosted")).reshape(n, horizon) * number(column["__boosted"])[:, None]
-                values = {c: number(column[c]) for c in given}
+                values = {c: number(column[c]) for c in given} | {c: np.array(column[c].to_pylist(), object) for c in shown}
                 (h, sizes), (other, _) = (_padded(column[f"h_{t}"], KEEP) for t in TARGETS)
                 past, made = dict(zip(TARGETS, (h, other), strict=True)), {t: np.empty((n, horizon)) for t in TARGETS}
                 for step in range(horizon):
@@ -175,8 +192,15 @@ def recursive_forecast(state: DataFrame, predict: Predictor, horizon: int, serie
     return ready.mapInArrow(run, schema)
 
 
+def with_levels(state: DataFrame, *ensembles) -> DataFrame:
+    """``state`` with the levels of its series that the ensembles know, for predictors made of them."""
+    for e in ensembles:
+        state = e.levels.apply(state) if e.levels else state
+    return state
+
+
 def ensemble_predictor(purchase, redeem) -> Predictor:
-    """A predictor of two ensembles, by their trees as arrays."""
+    """A predictor of two ensembles, by their trees as arrays. The levels of series that they use are in the state (``with_levels``)."""
     trees = [(e.columns, e.flat()) for e in (purchase, redeem)]
     return lambda features: tuple(flat.predict(np.stack([features[c] for c in columns], axis=1)) for columns, flat in trees)
 
@@ -198,11 +222,11 @@ def with_exogenous(state: DataFrame, features: DataFrame, columns: Sequence[str]
         return state
     last = state.select(*series_cols, F.trunc("last_date", "MM").alias("__month"))
     rows = features.select(*series_cols, *columns, F.trunc("date", "MM").alias("__month"))
-    means = join_null_safe(rows, last, [*series_cols, "__month"], "left_semi").groupBy(*series_cols).agg(*(F.avg(c).alias(c) for c in columns))
+    means = join_null_safe(rows, last, [*series_cols, "__month"], "left_semi").groupBy(*series_cols).agg(F.count(F.lit(1)).alias("__rows"), *(F.avg(c).alias(c) for c in columns))
     if series_cols:
-        return _joined(state, means, columns, series_cols, "the month before the forecast has no rows")
+        return _joined(state, means.drop("__rows"), columns, series_cols, "the month before the forecast has no rows")
     got = means.first()
-    if got is None or got[0] is None:
+    if not got["__rows"]:
         raise ValueError("the month before the forecast has no rows")
     return state.withColumns({c: F.lit(got[c]).cast("double") for c in columns})
 

@@ -5,19 +5,20 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-from pyspark import SparkContext
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.parallel import side_by_side
 from ..functions.scores import absolute_percentage_error, log_target, unlog_target, weighted
 from .evaluate import enrich
+from .series_key import SeriesLevels, fit_levels
 
 BOOSTED, FOREST = "boosted", "forest"
 _KINDS = {"boosted": BOOSTED, "gradientboosting": BOOSTED, "lightgbm": BOOSTED, "forest": FOREST, "randomforest": FOREST}
@@ -92,9 +93,9 @@ def _trees_of(model) -> tuple[list[tuple[float, list[list[float]]]], int]:
     return found, depth
 
 
-def best_iteration(model, tune: DataFrame, target: str, columns: Sequence[str], patience: int = 100) -> int:
-    """How many of a boosted model's trees do best on ``tune`` by squared error of the logarithm, before ``patience`` trees bring nothing."""
-    errors = model.evaluateEachIteration(with_vector(tune.withColumn("label", log_target(F.col(target))), columns), "squared")
+def best_of(model: GBTRegressionModel, tune: DataFrame, patience: int = 100) -> int:
+    """How many of a boosted model's trees do best on ``tune(label, features)`` by squared error, before ``patience`` trees bring nothing."""
+    errors = model.evaluateEachIteration(tune, "squared")
     best = 0
     for i, e in enumerate(errors):
         if e < errors[best]:
@@ -104,6 +105,11 @@ def best_iteration(model, tune: DataFrame, target: str, columns: Sequence[str],
     return best + 1
 
 
+def best_iteration(model, tune: DataFrame, target: str, columns: Sequence[str], patience: int = 100) -> int:
+    """``best_of`` on rows with the target and the columns of the model."""
+    return best_of(model, with_vector(tune.withColumn("label", log_target(F.col(target))), columns), patience)
+
+
 def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
     """The boosted model of the first ``n`` trees."""
     context, java = SparkContext._active_spark_context, model._java_obj
@@ -123,17 +129,18 @@ class Ensemble:
     second: RandomForestRegressionModel | None = None
     weights: tuple[float, float] = (1.0, 0.0)
     iterations: list[int] = field(default_factory=list)
+    levels: SeriesLevels | None = None
 
     def predict(self, df: DataFrame, out: str) -> DataFrame:
-        """``df`` with the column ``out``: the mean of the logarithms, raised back."""
+        """``df`` with the column ``out``: the mean of the logarithms, raised back. The levels of its series are added where the models use them."""
         parts = [*self.models, *([self.second] if self.second else [])]
-        scored, names = with_vector(df, self.columns, "__features"), [f"__p{i}" for i in range(len(parts))]
+        scored, names = with_vector(self.levels.apply(df) if self.levels else df, self.columns, "__features"), [f"__p{i}" for i in range(len(parts))]
         for name, part in zip(names, parts, strict=True):
             scored = part.copy().setFeaturesCol("__features").setPredictionCol(name).transform(scored)
         mean = sum((F.col(n) for n in names[: len(self.models)]), F.lit(0.0)) / len(self.models)
         if self.second:
             mean = mean * self.weights[0] + F.col(names[-1]) * self.weights[1]
-        return scored.withColumn(out, unlog_target(mean)).drop("__features", *names)
+        return scored.withColumn(out, unlog_target(mean)).drop("__features", *names, *(self.levels.columns if self.levels else ()))
 
     def flat(self) -> FlatTrees:
         """All trees as arrays, for batches of rows outside of a plan."""
@@ -150,12 +157,14 @@ class Ensemble:
         return FlatTrees(feature, table[:, :, 1], left, right, table[:, :, 4], np.array([w for w, _ in trees]), deepest)
 
     def save(self, path: str) -> None:
-        """Each model in the format of Spark ML, and beside them the columns in their order, weights and iterations."""
+        """Each model in the format of Spark ML, and beside them the columns in their order, weights, iterations and the levels of series."""
         for i, m in enumerate(self.models):
             m.write().overwrite().save(f"{path}/seed-{i}")
         if self.second:
             self.second.write().overwrite().save(f"{path}/second")
-        about = {"columns": self.columns, "kinds": [type(m).__name__ for m in self.models], "second": self.second is not None, "weights": self.weights, "iterations": self.iterations}
+        if self.levels:
+            self.levels.save(f"{path}/series")
+        about = {"columns": self.columns, "levels": self.levels is not None, "kinds": [type(m).__name__ for m in self.models], "second": self.second is not None, "weights": self.weights, "iterations": self.iterations}
         SparkSession.active().createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @staticmethod
@@ -164,35 +173,121 @@ class Ensemble:
         kinds = {c.__name__: c for c in (GBTRegressionModel, RandomForestRegressionModel)}
         models = [kinds[k].load(f"{path}/seed-{i}") for i, k in enumerate(about["kinds"])]
         second = RandomForestRegressionModel.load(f"{path}/second") if about["second"] else None
-        return Ensemble(about["columns"], models, second, tuple(about["weights"]), about["iterations"])
+        levels = SeriesLevels.load(f"{path}/series") if about.get("levels") else None
+        return Ensemble(about["columns"], models, second, tuple(about["weights"]), about["iterations"], levels)
+
+
+@dataclass
+class TrainingRows:
+    """One frame of vectors for all fits of a target: ``frame(label, features)``, kept in memory and on disk until ``release``."""
+
+    columns: list[str]
+    levels: SeriesLevels | None
+    frame: DataFrame
+
+    def release(self) -> None:
+        self.frame.unpersist()
 
 
-def fit_one(train: DataFrame, target: str, columns: Sequence[str], **options) -> Ensemble:
-    """One regressor of the target's logarithm."""
-    rows = with_vector(train.withColumn("label", log_target(F.col(target))), columns).select("label", "features")
-    return Ensemble(list(columns), [make_regressor(**options).fit(rows)])
+#: Bytes of vectors to a partition: each tree is some ten jobs over all partitions, and small ones cost their start.
+_PART_BYTES = 8 << 20
+
+
+def training_rows(train: DataFrame, target: str, columns: Sequence[str], series_cols: Sequence[str] = ()) -> TrainingRows:
+    """The vectors of ``train``; with ``series_cols``, the level of a row's series (``fit_levels``) is one of their columns."""
+    levels, rows = fit_levels(train, series_cols, [target]) if series_cols else (None, train)
+    names = [*columns, *(levels.columns if levels else ())]
+    frame = with_vector(rows.withColumn("label", log_target(F.col(target))), names).select("label", "features")
+    parts = 1 + train.count() * len(names) * 8 // _PART_BYTES
+    return TrainingRows(names, levels, frame.coalesce(int(parts)).persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def tuning_rows(tune: DataFrame, target: str, like: TrainingRows) -> DataFrame:
+    """``(label, features)`` of rows that ``like`` was not made of."""
+    rows = like.levels.apply(tune) if like.levels else tune
+    return with_vector(rows.withColumn("label", log_target(F.col(target))), like.columns).select("label", "features")
+
+
+def boost_in_rounds(frame: DataFrame, tune: DataFrame, patience: int, trees: int = 30, depth: int = 0, step: float = 0.1, seed: int = 42) -> tuple[GBTRegressionModel, int]:
+    """A boosted model of ``frame(label, features)`` that stops growing once ``patience`` trees in a row brought nothing on ``tune``; and how many were fitted.
+
+    Each round fits one of Spark's regression trees to the slope of the squared error, twice what the trees before left
+    over, and adds ``step`` of it (the first tree is taken whole), as ``GBTRegressor`` does. Both frames carry the prediction so
+    far as a column, kept from round to round. The model has the trees up to the best.
+    """
+    maker = RandomForestRegressor(labelCol="__rest", predictionCol="__new", numTrees=1, bootstrap=False, subsamplingRate=0.85, featureSubsetStrategy="0.85", maxDepth=depth or 5, minInstancesPerNode=5)
+    both = frame.withColumn("__tune", F.lit(False)).unionByName(tune.withColumn("__tune", F.lit(True))).withColumn("__sum", F.lit(0.0)).persist(StorageLevel.MEMORY_AND_DISK)
+    grown, errors, best = [], [], 0
+    off = F.when(F.col("__tune"), (F.col("label") - F.col("__sum")) ** 2)
+    while len(grown) < trees and len(grown) - best < patience:
+        rest = F.col("label") if not grown else 2 * (F.col("label") - F.col("__sum"))
+        tree = maker.setSeed(seed + len(grown)).fit(both.where("NOT __tune").withColumn("__rest", rest)).trees[0].copy().setPredictionCol("__new")
+        grown.append(tree)
+        share = 1.0 if len(grown) == 1 else step
+        following = tree.transform(both).withColumn("__sum", F.col("__sum") + F.lit(share) * F.col("__new")).drop("__new").persist(StorageLevel.MEMORY_AND_DISK)
+        errors.append(following.agg(F.avg(off)).first()[0])
+        both.unpersist()
+        both = following
+        if errors[-1] < min(errors[:-1], default=float("inf")):
+            best = len(grown)
+    both.unpersist()
+    return _boosted_of(grown[: max(best, 1)], step), len(grown)
+
+
+def _boosted_of(trees: list, step: float) -> GBTRegressionModel:
+    """A boosted model of the given regression trees, the first whole and the others by ``step``."""
+    context = SparkContext._active_spark_context
+    of, weights = (context._gateway.new_array(k, len(trees)) for k in (context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, context._jvm.double))
+    for i, tree in enumerate(trees):
+        of[i], weights[i] = tree._java_obj, 1.0 if i == 0 else step
+    return GBTRegressionModel(context._jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"gbtr_{trees[0].uid}", of, weights))
+
+
+def fit_one(train: DataFrame, target: str, columns: Sequence[str], series_cols: Sequence[str] = (), **options) -> Ensemble:
+    """One regressor of the target's logarithm; with ``series_cols`` it knows the level of each series."""
+    rows = training_rows(train, target, columns, series_cols)
+    try:
+        return Ensemble(rows.columns, [make_regressor(**options).fit(rows.frame)], levels=rows.levels)
+    finally:
+        rows.release()
+
+
+def _acts(kind: str, patience: int, trees: int) -> bool:
+    """Whether patience can end a fit: a model with no more trees than that is fitted at once and cut."""
+    return _KINDS[kind.lower()] == BOOSTED and patience < trees
 
 
 def fit_ensemble(train: DataFrame, target: str, columns: Sequence[str], seeds: int = 3, first_seed: int = 42, forest_weight: float = 0.0, threads: int = 4,
-                 valid: DataFrame | None = None, patience: int = 100, **options) -> Ensemble:
-    """``seeds`` models fitted side by side. On a panel this is one pooled model of all series.
+                 valid: DataFrame | None = None, patience: int = 100, series_cols: Sequence[str] = (), **options) -> Ensemble:
+    """``seeds`` models fitted side by side over one frame of vectors. On a panel this is one pooled model of all series, which
+    tells them apart by their levels where ``series_cols`` are given.
 
-    With ``valid``, boosted models stop early: each keeps the first trees that do best there.
+    With ``valid``, boosted models stop early: each keeps the first trees that do best there, and grows no further
+    once ``patience`` trees brought nothing.
     """
+    rows = training_rows(train, target, columns, series_cols)
+    tune = tuning_rows(valid, target, rows) if valid is not None else None
+    kind, trees = options.get("kind", BOOSTED), options.get("trees", 30)
+
     def fit(seed: int) -> tuple[object, int | None]:
-        model = fit_one(train, target, columns, seed=seed, **options).models[0]
-        if valid is None or not isinstance(model, GBTRegressionModel):
+        if tune is not None and _acts(kind, patience, trees):
+            model, _ = boost_in_rounds(rows.frame, tune, patience, seed=seed, **{k: v for k, v in options.items() if k != "kind"})
+            return model, model.getNumTrees
+        model = make_regressor(seed=seed, **options).fit(rows.frame)
+        if tune is None or not isinstance(model, GBTRegressionModel):
             return model, None
-        best = best_iteration(model, valid, target, columns, patience)
+        best = best_of(model, tune, patience)
         return first_trees(model, best), best
 
-    with ThreadPoolExecutor(threads) as pool:
-        fitted = list(pool.map(fit, range(first_seed, first_seed + seeds)))
-    second = fit_one(train, target, columns, kind=FOREST, trees=options.get("trees", 30), seed=first_seed).models[0] if forest_weight else None
-    return Ensemble(list(columns), [m for m, _ in fitted], second, (1.0, forest_weight), [n for _, n in fitted if n])
+    try:
+        fitted = side_by_side(fit, range(first_seed, first_seed + seeds), threads)
+        second = make_regressor(kind=FOREST, trees=trees, seed=first_seed).fit(rows.frame) if forest_weight else None
+    finally:
+        rows.release()
+    return Ensemble(rows.columns, [m for m, _ in fitted], second, (1.0, forest_weight), [n for _, n in fitted if n], rows.levels)
 
 
-def refit_ensemble(history: DataFrame, target: str, columns: Sequence[str], seeds: int = 1, first_seed: int = 42, trees: int = 30, threads: int = 4, patience: int = 100, **options) -> Ensemble:
+def refit_ensemble(history: DataFrame, target: str, columns: Sequence[str], seeds: int = 1, first_seed: int = 42, trees: int = 30, threads: int = 4, patience: int = 100, series_cols: Sequence[str] = (), **options) -> Ensemble:
     """Finds each seed's number of trees on the last month of ``history``, then fits all of it with that number.
 
     A history of one month cannot be divided and is an error.
@@ -201,15 +296,23 @@ def refit_ensemble(history: DataFrame, target: str, columns: Sequence[str], seed
     before, month = history.where(F.col("date") < last), history.where(F.col("date") >= last)
     if before.isEmpty():
         raise ValueError("the history has one month only: it cannot be divided into training and tuning")
+    early, whole = (training_rows(part, target, columns, series_cols) for part in (before, history))
+    tune = tuning_rows(month, target, early)
 
     def fit(seed: int) -> tuple[object, int]:
-        tried = fit_one(before, target, columns, trees=trees, seed=seed, **options).models[0]
-        best = best_iteration(tried, month, target, columns, patience) if isinstance(tried, GBTRegressionModel) else trees
-        return fit_one(history, target, columns, trees=best, seed=seed, **options).models[0], best
+        best = trees
+        if _acts(options.get("kind", BOOSTED), patience, trees):
+            best = boost_in_rounds(early.frame, tune, patience, trees, seed=seed, **{k: v for k, v in options.items() if k != "kind"})[0].getNumTrees
+        elif _KINDS[options.get("kind", BOOSTED).lower()] == BOOSTED:
+            best = best_of(make_regressor(trees=trees, seed=seed, **options).fit(early.frame), tune, patience)
+        return make_regressor(trees=best, seed=seed, **options).fit(whole.frame), best
 
-    with ThreadPoolExecutor(threads) as pool:
-        fitted = list(pool.map(fit, range(first_seed, first_seed + seeds)))
-    return Ensemble(list(columns), [m for m, _ in fitted], iterations=[n for _, n in fitted])
+    try:
+        fitted = side_by_side(fit, range(first_seed, first_seed + seeds), threads)
+    finally:
+        early.release()
+        whole.release()
+    return Ensemble(whole.columns, [m for m, _ in fitted], iterations=[n for _, n in fitted], levels=whole.levels)
 
 
 def cv_folds(days: DataFrame, splits: int = 3, date: str = "date") -> DataFrame:
@@ -234,17 +337,16 @@ def _mape(target: str, predicted: str) -> Column:
     return F.avg(absolute_percentage_error(F.col(target), F.col(predicted)))
 
 
-def cross_validate(train: DataFrame, columns: Sequence[str], splits: int = 3, seed: int = 42, threads: int = 8, **options) -> DataFrame:
+def cross_validate(train: DataFrame, columns: Sequence[str], splits: int = 3, seed: int = 42, threads: int = 8, series_cols: Sequence[str] = (), **options) -> DataFrame:
     """``(fold, purchase_mape, redeem_mape, weighted_mape)``, one step ahead; the models of all folds are fitted side by side."""
     folds = cv_folds(train, splits).orderBy("fold").collect()
 
     def fit(job: tuple[int, str]) -> Ensemble:
         f, shift = folds[job[0]], 0 if job[1] == "purchase" else 100
-        return fit_one(train.where(F.col("date") <= f.train_to), job[1], columns, seed=seed + shift + f.fold, **options)
+        return fit_one(train.where(F.col("date") <= f.train_to), job[1], columns, series_cols, seed=seed + shift + f.fold, **options)
 
-    with ThreadPoolExecutor(threads) as pool:
-        jobs = [(i, t) for i in range(len(folds)) for t in ("purchase", "redeem")]
-        fitted = dict(zip(jobs, pool.map(fit, jobs), strict=True))
+    jobs = [(i, t) for i in range(len(folds)) for t in ("purchase", "redeem")]
+    fitted = dict(zip(jobs, side_by_side(fit, jobs, threads), strict=True))
     parts = []
     for i, f in enumerate(folds):
         scored = train.where(F.col("date").between(f.valid_from, f.valid_to))
@@ -255,7 +357,7 @@ def cross_validate(train: DataFrame, columns: Sequence[str], splits: int = 3, se
     return out.withColumn("weighted_mape", weighted(F.col("purchase_mape"), F.col("redeem_mape")))
 
 
-def loss_curve(train: DataFrame, valid: DataFrame, target: str, columns: Sequence[str], kind: str = BOOSTED, trees: int = 30, seed: int = 42, **options) -> DataFrame:
+def loss_curve(train: DataFrame, valid: DataFrame, target: str, columns: Sequence[str], kind: str = BOOSTED, trees: int = 30, seed: int = 42, series_cols: Sequence[str] = (), **options) -> DataFrame:
     """``(target, trees, train_mape, valid_mape)`` at a fifth, two fifths … of the trees, five at least.
 
     A boosted model is fitted once: its prediction after k trees is the weighted sum of the first k.
@@ -264,27 +366,27 @@ def loss_curve(train: DataFrame, valid: DataFrame, target: str, columns: Sequenc
     sets = {"train": train, "valid": valid}
     found: dict[str, list[float]] = {}
     if _KINDS[kind.lower()] == BOOSTED:
-        boosted = fit_one(train, target, columns, kind=kind, trees=max(points), seed=seed, **options).models[0]
+        whole = fit_one(train, target, columns, series_cols, kind=kind, trees=max(points), seed=seed, **options)
+        boosted = whole.models[0]
         for name, df in sets.items():
-            scored = with_vector(df, columns)
+            scored = with_vector(whole.levels.apply(df) if whole.levels else df, whole.columns)
             for i, tree in enumerate(boosted.trees):
                 scored = tree.copy().setPredictionCol(f"__t{i}").transform(scored)
             sums = [unlog_target(sum((F.col(f"__t{i}") * F.lit(boosted.treeWeights[i]) for i in range(min(k, len(boosted.trees)))), F.lit(0.0))) for k in points]
             found[name] = list(scored.agg(*(F.avg(absolute_percentage_error(F.col(target), s)) for s in sums)).first())
     else:
-        models = [fit_one(train, target, columns, kind=kind, trees=k, seed=seed, **options) for k in points]
+        models = [fit_one(train, target, columns, series_cols, kind=kind, trees=k, seed=seed, **options) for k in points]
         for name, df in sets.items():
             found[name] = [m.predict(df, "p").agg(_mape(target, "p")).first()[0] for m in models]
     rows = [(target, k, float(a), float(b)) for k, a, b in zip(points, found["train"], found["valid"], strict=True)]
     return train.sparkSession.createDataFrame(rows, "target string, trees int, train_mape double, valid_mape double")
 
 
-def one_step_validation(train: DataFrame, valid: DataFrame, columns: Sequence[str], seed: int = 42, **options) -> DataFrame:
-    """Predictions of ``valid`` from its true past, floored at 0, with errors and scores: better than a recursive forecast can be."""
+def one_step_validation(train: DataFrame, valid: DataFrame, columns: Sequence[str], seed: int = 42, series_cols: Sequence[str] = (), **options) -> DataFrame:
+    """Predictions of ``valid`` from its true past, by series, floored at 0, with errors and scores: better than a recursive forecast can be."""
     scored, targets = valid, (("purchase", 0), ("redeem", 100))
-    with ThreadPoolExecutor(2) as pool:
-        fitted = list(pool.map(lambda j: fit_one(train, j[0], columns, seed=seed + j[1], **options), targets))
+    fitted = side_by_side(lambda j: fit_one(train, j[0], columns, series_cols, seed=seed + j[1], **options), targets, 2)
     for (t, _), ensemble in zip(targets, fitted, strict=True):
         scored = ensemble.predict(scored, f"{t}_pred")
     floor = {f"{t}_pred": F.greatest(F.lit(0.0), F.col(f"{t}_pred")) for t in ("purchase", "redeem")}
-    return enrich(scored.withColumns(floor).select("date", F.col("purchase").alias("purchase_true"), "purchase_pred", F.col("redeem").alias("redeem_true"), "redeem_pred"))
+    return enrich(scored.withColumns(floor).select(*series_cols, "date", F.col("purchase").alias("purchase_true"), "purchase_pred", F.col("redeem").alias("redeem_true"), "redeem_pred"))

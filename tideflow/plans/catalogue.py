@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import scores
-from ..functions.lineage import cut_lineage
+from ..functions.lineage import cut_lineage, scratch
+from ..functions.parallel import side_by_side
 from ..operators import backtest, evaluate, features, forecast, ledger, models
 from ..sources.sinks import submission
 from . import views
@@ -32,6 +33,17 @@ def _register(sql: str | None = None, name: str | None = None) -> Callable[[Quer
     return add
 
 
+def _settled(query: Query) -> Query:
+    """``query`` with its result written, and what it wrote on its way deleted."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scratch(spark):
+            return cut_lineage(query(spark, sf_dir), keep=True)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
@@ -406,24 +418,27 @@ def _panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
 
 
 @_register()
+@_settled
 def seed_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, columns = _panel(spark, sf_dir)
     train, valid = rows.where("date < '2001-06-01'"), rows.where("date >= '2001-06-01'")
-    return models.fit_ensemble(train, "purchase", columns).predict(valid, "purchase_pred").select("segment", "date", "purchase", "purchase_pred")
+    return models.fit_ensemble(train, "purchase", columns, series_cols=["segment"]).predict(valid, "purchase_pred").select("segment", "date", "purchase", "purchase_pred")
 
 
 @_register()
+@_settled
 def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, columns = _panel(spark, sf_dir)
     train, valid = rows.where("date < '2001-06-01'"), rows.where("date >= '2001-06-01'")
-    return models.fit_one(train, "purchase", columns, kind="boosted").predict(valid, "purchase_pred").select("segment", "date", "purchase", "purchase_pred")
+    return models.fit_one(train, "purchase", columns, ["segment"], kind="boosted").predict(valid, "purchase_pred").select("segment", "date", "purchase", "purchase_pred")
 
 
 @_register()
+@_settled
 def rf_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, columns = _panel(spark, sf_dir)
     train, valid = rows.where("date < '2001-06-01'"), rows.where("date >= '2001-06-01'")
-    return models.fit_one(train, "redeem", columns, kind="forest").predict(valid, "redeem_pred").select("segment", "date", "redeem", "redeem_pred")
+    return models.fit_one(train, "redeem", columns, ["segment"], kind="forest").predict(valid, "redeem_pred").select("segment", "date", "redeem", "redeem_pred")
 
 
 @_register(with_views("daily") + """, d AS (SELECT date, row_number() OVER (ORDER BY date) AS k, count(*) OVER () AS n FROM daily), f AS (SELECT *, n - (4 - fold) * (n // 4) AS cut, n // 4 AS size FROM d, range(1, 4) t(fold))
@@ -434,48 +449,53 @@ def time_series_cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register()
+@_settled
 def time_series_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, columns = _panel(spark, sf_dir)
-    return models.cross_validate(rows, columns)
+    return models.cross_validate(rows, columns, series_cols=["segment"])
 
 
 @_register()
 def loss_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, columns = _panel(spark, sf_dir)
-    train, valid = rows.where("date < '2001-06-01'"), rows.where("date >= '2001-06-01'")
-    with ThreadPoolExecutor(2) as pool:
-        purchase, redeem = pool.map(lambda j: models.loss_curve(train, valid, j[0], columns, seed=j[1]), zip(T, (42, 142), strict=True))
+    with scratch(spark):  # the curve is a few numbers by then
+        rows, columns = _panel(spark, sf_dir)
+        train, valid = rows.where("date < '2001-06-01'"), rows.where("date >= '2001-06-01'")
+        purchase, redeem = side_by_side(lambda j: models.loss_curve(train, valid, j[0], columns, seed=j[1], series_cols=["segment"]), zip(T, (42, 142), strict=True), 2)
     return purchase.unionByName(redeem)
 
 
 @_register()
+@_settled
 def one_step_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, columns = _panel(spark, sf_dir)
-    return models.one_step_validation(rows.where("date < '2001-06-01'"), rows.where("date >= '2001-06-01'"), columns)
+    return models.one_step_validation(rows.where("date < '2001-06-01'"), rows.where("date >= '2001-06-01'"), columns, series_cols=["segment"])
 
 
 def _forecast(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
     """Three seeds for each target, fitted to the days before October 2001, stopped by that month, carried on from the last day."""
     rows, columns = _panel(spark, sf_dir)
     train, tune = rows.where("date < '2001-10-01'"), rows.where("date BETWEEN '2001-10-01' AND '2001-10-31'")
-    with ThreadPoolExecutor(2) as pool:
-        fitted = list(pool.map(lambda t: models.fit_ensemble(train, t, columns, valid=tune), T))
+    fitted = side_by_side(lambda t: models.fit_ensemble(train, t, columns, valid=tune, series_cols=["segment"]), T, 2)
     state = forecast.with_bounds(forecast.start_state(rows, ["segment"]), rows, ["segment"])
     state = forecast.with_exogenous(state, rows, features.exogenous_columns(columns), ["segment"])
+    state = forecast.with_levels(state, *fitted)
     return forecast.recursive_forecast(state, forecast.ensemble_predictor(*fitted), days, ["segment"], HOLIDAYS)
 
 
 @_register()
+@_settled
 def recursive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forecast(spark, sf_dir, 30)
 
 
 @_register()
+@_settled
 def forecast_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return submission(_forecast(spark, sf_dir, 30), ["segment"])
 
 
 @_register()
+@_settled
 def rolling_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = _panel(spark, sf_dir)
     return backtest.rolling_backtest(rows, ["2001-02", "2001-03", "2001-04", "2001-05", "2001-06"], ["segment"], holiday_dates=HOLIDAYS)[1]
@@ -511,11 +531,13 @@ def _forecast_lag7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register(_LAG7 + "SELECT segment, date, round(purchase_pred, 2) AS purchase_pred, round(redeem_pred, 2) AS redeem_pred FROM r WHERE step > 0")
+@_settled
 def recursive_forecast_lag7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_doubles(_forecast_lag7(spark, sf_dir), 2)
 
 
 @_register(_LAG7 + "SELECT segment, CAST(strftime(date, '%Y%m%d') AS INT) AS report_date, CAST(round_even(purchase_pred, 0) AS BIGINT) AS purchase, CAST(round_even(redeem_pred, 0) AS BIGINT) AS redeem FROM r WHERE step > 0")
+@_settled
 def forecast_submission_lag7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return submission(_forecast_lag7(spark, sf_dir), ["segment"])
 
@@ -532,11 +554,13 @@ def _backtest_lag7(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 @_register(_BACKTEST + " SELECT fold, segment, strategy, date, purchase_true, round(purchase_pred, 2) AS purchase_pred, redeem_true, round(redeem_pred, 2) AS redeem_pred FROM forecast")
+@_settled
 def backtest_predictions_lag7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_doubles(_backtest_lag7(spark, sf_dir)[0].drop("purchase_best_iterations", "redeem_best_iterations"), 2)
 
 
 @_register(_BACKTEST + f""", {_SCORED.replace(', s AS', ', s2 AS')} SELECT coalesce(fold, 'overall') AS fold, segment, strategy, {_METRICS}, count(*) FILTER (WHERE purchase_error > 0.3) AS purchase_zero_score_days, count(*) FILTER (WHERE redeem_error > 0.3) AS redeem_zero_score_days
 FROM s2 GROUP BY GROUPING SETS ((fold, segment, strategy), (segment, strategy))""")
+@_settled
 def rolling_backtest_lag7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_doubles(_backtest_lag7(spark, sf_dir)[1].drop("purchase_best_iterations", "redeem_best_iterations"), 6)
