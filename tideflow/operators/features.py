@@ -124,9 +124,10 @@ def fill_calendar(daily: DataFrame, series_cols: Sequence[str] = (), counted: Se
     return joined.withColumns({c: F.when(F.col("__there").isNull(), F.lit(0).cast(daily.schema[c].dataType)).otherwise(F.col(c)) for c in counted if c in daily.columns}).drop("__there")
 
 
-def add_features(daily: DataFrame, series_cols: Sequence[str] = (), holiday_dates: Sequence[str] = cal.HOLIDAYS_2014, calendar_gaps: str = "rows") -> DataFrame:
+def add_features(daily: DataFrame, series_cols: Sequence[str] = (), holiday_dates: Sequence[str] = cal.HOLIDAYS_2014, calendar_gaps: str = "rows", carried: DataFrame | None = None) -> DataFrame:
     """The whole feature table of daily totals (and rates), gaps filled.
 
+    ``carried`` are filled rows of such a table, one a series, whose values stand for those of their days: filling goes on from them.
     ``calendar_gaps``: ``rows`` shifts over the rows that are there, ``fill`` adds the missing days first.
     """
     if calendar_gaps not in ("rows", "fill"):
@@ -137,7 +138,12 @@ def add_features(daily: DataFrame, series_cols: Sequence[str] = (), holiday_date
     again = {f"{t}_{a}": f"{t}_{b}" for t in TARGETS for a, b in _SAME.items()}
     own = {n: c for n, c in windows.items() if n not in again}
     numbers = [c for c in numeric_columns(df) if c not in series_cols]
-    filled = fill_missing(df.withColumns(own), series_cols, [*numbers, *own])
+    made = df.withColumns(own)
+    if carried is not None:
+        known = carried.select(*series_cols, "date", *(F.col(again.get(c, c)).cast(made.schema[c].dataType).alias(f"__known_{c}") for c in [*numbers, *own]))
+        made = join_null_safe(made, known, [*series_cols, "date"])
+        made = made.withColumns({c: F.coalesce(f"__known_{c}", c) for c in [*numbers, *own]}).drop(*(f"__known_{c}" for c in [*numbers, *own]))
+    filled = fill_missing(made, series_cols, [*numbers, *own])
     calendar = calendar_features(holiday_dates)
     return filled.select(*df.columns, *(c.alias(n) for n, c in calendar.items()), *(F.col(again.get(n, n)).alias(n) for n in windows))
 

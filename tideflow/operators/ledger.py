@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.observed import figures
+
 BALANCE_COLUMNS = ("tBalance", "yBalance", "total_purchase_amt", "total_redeem_amt")
 REPORT = ("check_item STRING", "status STRING", "message STRING", "total_records BIGINT", "valid_records BIGINT", "consistent_records BIGINT",
           "inconsistent_records BIGINT", "inconsistent_ratio DOUBLE", "max_abs_error DOUBLE", "mean_abs_error DOUBLE")
@@ -23,18 +25,47 @@ def balance_quality(ledger: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     if missing:
         given = {"check_item": F.lit("balance_consistency"), "status": F.lit("skipped"), "message": F.lit(f"missing columns: {', '.join(missing)}"), "total_records": F.count(F.lit(1))}
         return ledger.agg(*(given.get(n, F.lit(None)).cast(r.split()[1]).alias(n) for n, r in zip(names, REPORT, strict=True)))
-    amounts = [F.nullif(F.col(c).try_cast("double"), F.lit(float("nan"))) for c in BALANCE_COLUMNS]
-    today, yesterday, bought, redeemed = amounts
-    off = F.abs(today - (yesterday + bought - redeemed))  # null where one of them is
-    counted = ledger.select(off.alias("off")).agg(
-        F.count(F.lit(1)).alias("total_records"), F.count("off").alias("valid_records"), F.count_if(F.col("off") <= tolerance).alias("consistent_records"),
-        F.count_if(F.col("off") > tolerance).alias("inconsistent_records"), F.max("off").alias("max_abs_error"), F.avg("off").alias("mean_abs_error"))
+    return _quality_report(ledger.select(_imbalance().alias("off")).agg(*_quality_counts(F.col("off"), tolerance)))
+
+
+def _imbalance() -> Column:
+    """By how much a balance is off; null where an amount is none."""
+    today, yesterday, bought, redeemed = (F.nullif(F.col(c).try_cast("double"), F.lit(float("nan"))) for c in BALANCE_COLUMNS)
+    return F.abs(today - (yesterday + bought - redeemed))
+
+
+def _quality_counts(off: Column, tolerance: float) -> list[Column]:
+    return [F.count(F.lit(1)).alias("total_records"), F.count(off).alias("valid_records"), F.count_if(off <= tolerance).alias("consistent_records"),
+            F.count_if(off > tolerance).alias("inconsistent_records"), F.max(off).alias("max_abs_error"), F.avg(off).alias("mean_abs_error")]
+
+
+def _quality_report(counted: DataFrame) -> DataFrame:
     return counted.select(
         F.lit("balance_consistency").alias("check_item"), F.when(F.col("inconsistent_records") == 0, "passed").otherwise("warning").alias("status"),
         F.lit("tBalance = yBalance + total_purchase_amt - total_redeem_amt").alias("message"), "total_records", "valid_records", "consistent_records",
         "inconsistent_records", F.try_divide("inconsistent_records", "valid_records").alias("inconsistent_ratio"), "max_abs_error", "mean_abs_error")
 
 
+def write_daily_with_quality(ledger: DataFrame, path: str, series_cols: Sequence[str] = (), tolerance: float = 1e-6, **flow) -> tuple[DataFrame, DataFrame]:
+    """The daily totals, written to ``path``, and the report of ``balance_quality``, both from one pass over the ledger.
+
+    The figures of the report are gathered by the tasks that sum the totals. Options of ``daily_flow`` are taken on. Rows without a date count in
+    the report and in no total.
+    """
+    seen, spark, observed = Observation(), ledger.sparkSession, ledger
+    if all(c in ledger.columns for c in BALANCE_COLUMNS):
+        observed = ledger.withColumn("__off", _imbalance()).observe(seen, *_quality_counts(F.col("__off"), tolerance)).drop("__off")
+    daily = daily_flow(observed, series_cols, **flow)
+    daily.write.mode("overwrite").parquet(path)
+    got = figures(seen) if observed is not ledger else None
+    if got is None:  # columns are missing, or there are no rows: no more than a count
+        report = balance_quality(ledger, tolerance)
+    else:
+        kinds = ", ".join(f"{n} {'DOUBLE' if 'error' in n else 'BIGINT'}" for n in ("total_records", "valid_records", "consistent_records", "inconsistent_records", "max_abs_error", "mean_abs_error"))
+        report = _quality_report(spark.createDataFrame([tuple(got[k.split()[0]] for k in kinds.split(", "))], kinds))
+    return spark.read.schema(daily.schema).parquet(path), report
+
+
 def daily_flow(ledger: DataFrame, series_cols: Sequence[str] = (), date: str = "date", purchase: str = "purchase_amt", redeem: str = "redeem_amt", user: str | None = "user_id", approximate_users: bool = False) -> DataFrame:
     """Totals of each day and series, with the number of users and of records.
 

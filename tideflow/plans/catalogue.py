@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from ..functions import calendar as cal
 from ..functions import scores
 from ..functions.lineage import cut_lineage, scratch
 from ..functions.parallel import side_by_side
-from ..operators import backtest, evaluate, features, forecast, ledger, models
+from ..operators import backtest, evaluate, features, forecast, holidays, ledger, models
 from ..sources.sinks import submission
 from . import views
 from .views import HOLIDAYS, with_views
@@ -159,6 +159,26 @@ def holiday_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.daily(spark, sf_dir).select("date", *(c.alias(n) for n, c in cal.holidays(F.col("date"), HOLIDAYS).items()))
 
 
+#: The holidays that a segment keeps; the other segments have none.
+_KEPT = {"AUTOMOBILE": "TRUE", "BUILDING": "month(day) <> 10", "MACHINERY": "month(day) = 10"}
+
+
+def _regional_calendar(spark: SparkSession) -> DataFrame:
+    days = spark.createDataFrame([(d,) for d in HOLIDAYS], "day string").select(F.col("day").cast("date").alias("day"))
+    parts = [days.where(F.expr(keep)).select(F.lit(segment).alias("segment"), F.col("day").alias("date")) for segment, keep in _KEPT.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@_register(with_views("daily_panel") + f""", h(day) AS (VALUES {", ".join(f"(DATE '{d}')" for d in HOLIDAYS)}),
+c AS ({" UNION ALL ".join(f"SELECT '{segment}' AS segment, day FROM h WHERE {keep}" for segment, keep in _KEPT.items())}),
+x AS (SELECT p.segment, p.date, n.day AS n, l.day AS p FROM daily_panel p ASOF LEFT JOIN c n ON p.segment = n.segment AND p.date <= n.day ASOF LEFT JOIN c l ON p.segment = l.segment AND p.date >= l.day),
+y AS (SELECT segment, date, coalesce(n = date, FALSE) AS is_h, CAST(coalesce(n - date, 30) AS INT) AS n, CAST(coalesce(date - p, 30) AS INT) AS p FROM x)
+SELECT segment, date, CAST(is_h AS INT) AS is_holiday, n AS days_to_next_holiday, p AS days_from_last_holiday, CAST(n = 1 AS INT) AS is_day_before_holiday, CAST(p = 1 AS INT) AS is_day_after_holiday FROM y""")
+def regional_holiday_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = views.daily_panel(spark, sf_dir).select("segment", "date")
+    return holidays.regional_holidays(days, _regional_calendar(spark), ["segment"])
+
+
 def _lag_sql(key: str = "") -> str:
     w = f"({'PARTITION BY ' + key if key else ''} ORDER BY date)"
     return ", ".join(f"lag({t}, {k}) OVER {w} AS {t}_lag_{k}" for t in T for k in features.LAGS)
