@@ -74,7 +74,7 @@ def backtest_predictions(features: DataFrame, months: Sequence[str], columns: Se
     months = list(dict.fromkeys(months))
     check_months(features, months)
     columns = list(columns) if columns is not None else model_columns(features, series_cols)
-    state = fold_states(features, months, exogenous_columns(columns), series_cols)
+    state = fold_states(features, months, exogenous_columns(columns, of=features), series_cols)
     iterations = {m: ["", ""] for m in months}
     if predictor is None:
         jobs = [(m, t) for m in months for t in TARGETS]

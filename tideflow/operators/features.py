@@ -93,6 +93,17 @@ def ratio_diff(series_cols: Sequence[str] = (), purchase: str = "purchase", rede
 _SAME = {"month_start_mean": "roll_mean_30", "same_weekday_w1": "lag_7", "same_weekday_w2": "lag_14", "same_day_last_month": "lag_30"}
 
 
+def window_features(series_cols: Sequence[str] = ()) -> dict[str, Column]:
+    """All features that look back in a series, by name."""
+    return lags(series_cols) | rolling(series_cols) | rolling_median(series_cols) | month_start_mean(series_cols) | same_period(series_cols) | ratio_diff(series_cols)
+
+
+def own_and_named(windows: dict[str, Column]) -> tuple[dict[str, Column], dict[str, str]]:
+    """The window features that are to be computed, and the names by which some of them go, too."""
+    again = {f"{t}_{a}": f"{t}_{b}" for t in TARGETS for a, b in _SAME.items()}
+    return {n: c for n, c in windows.items() if n not in again}, again
+
+
 def calendar_features(holiday_dates: Sequence[str] = cal.HOLIDAYS_2014, date: str = "date") -> dict[str, Column]:
     d = F.col(date)
     return cal.calendar(d) | cal.fourier(d) | cal.month_edges(d) | cal.holidays(d, holiday_dates)
@@ -133,10 +144,9 @@ def add_features(daily: DataFrame, series_cols: Sequence[str] = (), holiday_date
     if calendar_gaps not in ("rows", "fill"):
         raise ValueError("calendar_gaps is rows or fill")
     df = fill_calendar(daily, series_cols) if calendar_gaps == "fill" else daily
-    windows = lags(series_cols) | rolling(series_cols) | rolling_median(series_cols) | month_start_mean(series_cols) | same_period(series_cols) | ratio_diff(series_cols)
+    windows = window_features(series_cols)
     # What goes by two names is taken once, and only what can be null is filled: nothing of the calendar.
-    again = {f"{t}_{a}": f"{t}_{b}" for t in TARGETS for a, b in _SAME.items()}
-    own = {n: c for n, c in windows.items() if n not in again}
+    own, again = own_and_named(windows)
     numbers = [c for c in numeric_columns(df) if c not in series_cols]
     made = df.withColumns(own)
     if carried is not None:
@@ -145,7 +155,21 @@ def add_features(daily: DataFrame, series_cols: Sequence[str] = (), holiday_date
         made = made.withColumns({c: F.coalesce(f"__known_{c}", c) for c in [*numbers, *own]}).drop(*(f"__known_{c}" for c in [*numbers, *own]))
     filled = fill_missing(made, series_cols, [*numbers, *own])
     calendar = calendar_features(holiday_dates)
-    return filled.select(*df.columns, *(c.alias(n) for n, c in calendar.items()), *(F.col(again.get(n, n)).alias(n) for n in windows))
+    return filled.select(*df.columns, *(of_kind(c, n, CALENDAR) for n, c in calendar.items()), *(of_kind(F.col(again.get(n, n)), n, kind_of(n)) for n in windows))
+
+
+#: Kinds of features, kept as metadata of their columns under the name ``kind``: Parquet and renaming keep it.
+CALENDAR, PAST, MONTH_MEAN = "calendar", "past", "month mean"
+
+
+def of_kind(column: Column, name: str, kind: str) -> Column:
+    """``column`` as ``name``, a feature that a forecast knows by the ``kind`` of its column."""
+    return column.alias(name, metadata={"kind": kind})
+
+
+def kind_of(name: str) -> str:
+    """The kind of a feature of ``window_features``."""
+    return MONTH_MEAN if name in {f"{t}_month_start_mean" for t in TARGETS} else PAST
 
 
 def model_columns(features: DataFrame, series_cols: Sequence[str] = (), same_day_counts: bool = False) -> list[str]:
@@ -154,15 +178,16 @@ def model_columns(features: DataFrame, series_cols: Sequence[str] = (), same_day
     return numeric_columns(features, {*TARGETS, "date", *series_cols, *counts})
 
 
-def exogenous_columns(columns: Sequence[str], freeze_month_mean: bool = False) -> list[str]:
+def exogenous_columns(columns: Sequence[str], freeze_month_mean: bool = False, of: DataFrame | None = None) -> list[str]:
     """Those that neither the calendar nor the targets' past gives, so that a forecast must carry them forward.
 
+    A column of the table ``of`` is classed by the kind that it carries (``of_kind``), whatever its name; one without a kind by its name.
     ``freeze_month_mean`` counts the 30-row means among them, which holds them at last month's mean.
     """
-    known = {*calendar_features(), *same_period(), *ratio_diff(), *lags(), *rolling(), *rolling_median()}
-    if not freeze_month_mean:
-        known |= {*month_start_mean()}
-    return [c for c in columns if c not in known and c not in ("date", *TARGETS)]
+    kinds = {f.name: f.metadata.get("kind") for f in of.schema} if of is not None else {}
+    by_name = dict.fromkeys(calendar_features(), CALENDAR) | {n: kind_of(n) for n in window_features()}
+    known = {CALENDAR, PAST} if freeze_month_mean else {CALENDAR, PAST, MONTH_MEAN}
+    return [c for c in columns if (kinds.get(c) or by_name.get(c)) not in known and c not in ("date", *TARGETS)]
 
 
 def previous_month_means(features: DataFrame, columns: Sequence[str], series_cols: Sequence[str] = ()) -> DataFrame:

@@ -497,7 +497,7 @@ def _forecast(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
     train, tune = rows.where("date < '2001-10-01'"), rows.where("date BETWEEN '2001-10-01' AND '2001-10-31'")
     fitted = side_by_side(lambda t: models.fit_ensemble(train, t, columns, valid=tune, series_cols=["segment"]), T, 2)
     state = forecast.with_bounds(forecast.start_state(rows, ["segment"]), rows, ["segment"])
-    state = forecast.with_exogenous(state, rows, features.exogenous_columns(columns), ["segment"])
+    state = forecast.with_exogenous(state, rows, features.exogenous_columns(columns, of=rows), ["segment"])
     state = forecast.with_levels(state, *fitted)
     return forecast.recursive_forecast(state, forecast.ensemble_predictor(*fitted), days, ["segment"], HOLIDAYS)
 
