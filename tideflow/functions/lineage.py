@@ -17,13 +17,19 @@ def _root(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_lineage").rstrip("/")
 
 
+def new_path(spark: SparkSession, keep: bool = False) -> str:
+    """A path in the shared folder that is not taken; as in ``cut_lineage``, within the scratch at hand unless it is to be kept."""
+    folder = _within.get()
+    return f"{(folder.rsplit('/', 1)[0] if keep and folder else folder) or _root(spark)}/cut-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
     """``df`` written to and read from ``spark.checkpoint.dir``, or a folder of the warehouse where that is unset.
 
     Inside ``scratch`` the table goes with the other tables of the work; one to be kept stays beyond it, in the scratch around it if there is one.
     """
-    spark, folder = df.sparkSession, _within.get()
-    path = f"{(folder.rsplit('/', 1)[0] if keep and folder else folder) or _root(spark)}/cut-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = new_path(spark, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -120,6 +120,12 @@ def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
     return GBTRegressionModel(context._jvm.org.apache.spark.ml.regression.GBTRegressionModel(model.uid, trees, weights))
 
 
+def mean_prediction(columns: Sequence[Column], second: Column | None = None, weights: tuple[float, float] = (1.0, 0.0)) -> Column:
+    """The mean of predictions, weighted with a second model's where there is one."""
+    mean = sum(columns, F.lit(0.0)) / len(columns)
+    return mean if second is None else mean * weights[0] + second * weights[1]
+
+
 @dataclass
 class Ensemble:
     """Models of one target with different seeds; the prediction is the mean, plus a weighted second model where there is one."""
@@ -137,9 +143,7 @@ class Ensemble:
         scored, names = with_vector(self.levels.apply(df) if self.levels else df, self.columns, "__features"), [f"__p{i}" for i in range(len(parts))]
         for name, part in zip(names, parts, strict=True):
             scored = part.copy().setFeaturesCol("__features").setPredictionCol(name).transform(scored)
-        mean = sum((F.col(n) for n in names[: len(self.models)]), F.lit(0.0)) / len(self.models)
-        if self.second:
-            mean = mean * self.weights[0] + F.col(names[-1]) * self.weights[1]
+        mean = mean_prediction([F.col(n) for n in names[: len(self.models)]], F.col(names[-1]) if self.second else None, self.weights)
         return scored.withColumn(out, unlog_target(mean)).drop("__features", *names, *(self.levels.columns if self.levels else ()))
 
     def flat(self) -> FlatTrees:
@@ -337,6 +341,12 @@ def _mape(target: str, predicted: str) -> Column:
     return F.avg(absolute_percentage_error(F.col(target), F.col(predicted)))
 
 
+def fold_errors(scored: DataFrame) -> DataFrame:
+    """``(fold, purchase_mape, redeem_mape, weighted_mape)`` of predictions ``{t}_pred`` of both targets: one pass gives each fold both."""
+    out = scored.groupBy("fold").agg(*(_mape(t, f"{t}_pred").alias(f"{t}_mape") for t in ("purchase", "redeem")))
+    return out.withColumn("weighted_mape", weighted(F.col("purchase_mape"), F.col("redeem_mape")))
+
+
 def cross_validate(train: DataFrame, columns: Sequence[str], splits: int = 3, seed: int = 42, threads: int = 8, series_cols: Sequence[str] = (), **options) -> DataFrame:
     """``(fold, purchase_mape, redeem_mape, weighted_mape)``, one step ahead; the models of all folds are fitted side by side."""
     folds = cv_folds(train, splits).orderBy("fold").collect()
@@ -353,8 +363,7 @@ def cross_validate(train: DataFrame, columns: Sequence[str], splits: int = 3, se
         for t in ("purchase", "redeem"):
             scored = fitted[i, t].predict(scored, f"{t}_pred")
         parts.append(scored.select(F.lit(f.fold).cast("int").alias("fold"), "purchase", "purchase_pred", "redeem", "redeem_pred"))
-    out = reduce(DataFrame.unionByName, parts).groupBy("fold").agg(*(_mape(t, f"{t}_pred").alias(f"{t}_mape") for t in ("purchase", "redeem")))
-    return out.withColumn("weighted_mape", weighted(F.col("purchase_mape"), F.col("redeem_mape")))
+    return fold_errors(reduce(DataFrame.unionByName, parts))
 
 
 def loss_curve(train: DataFrame, valid: DataFrame, target: str, columns: Sequence[str], kind: str = BOOSTED, trees: int = 30, seed: int = 42, series_cols: Sequence[str] = (), **options) -> DataFrame:

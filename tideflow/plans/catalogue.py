@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import scores
-from ..functions.lineage import cut_lineage, scratch
+from ..functions.lineage import cut_lineage, new_path, scratch
 from ..functions.parallel import side_by_side
-from ..operators import backtest, evaluate, features, forecast, holidays, ledger, models
-from ..sources.sinks import submission
+from ..operators import backtest, evaluate, features, forecast, holidays, ledger, long_series, models, selection
+from ..sources import checked
+from ..sources.sinks import submission, update_features, write_features
 from . import views
 from .views import HOLIDAYS, with_views
 
@@ -68,6 +69,38 @@ def balance_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 9) for c in ("inconsistent_ratio", "mean_abs_error")})
 
 
+@_register(with_views("balances") + """, v AS (SELECT abs(tBalance - (yBalance + total_purchase_amt - total_redeem_amt)) AS off FROM balances)
+SELECT 'balance_consistency' AS check_item, CASE WHEN count(*) FILTER (WHERE off > 0) = 0 THEN 'passed' ELSE 'warning' END AS status,
+       'tBalance = yBalance + total_purchase_amt - total_redeem_amt' AS message, count(*) AS total_records, count(off) AS valid_records,
+       count(*) FILTER (WHERE off = 0) AS consistent_records, count(*) FILTER (WHERE off > 0) AS inconsistent_records,
+       round(count(*) FILTER (WHERE off > 0) / count(off), 9) AS inconsistent_ratio, CAST(max(off) AS DOUBLE) AS max_abs_error, round(avg(off), 9) AS mean_abs_error FROM v""")
+def balance_quality_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of ``balance_quality_report``, gathered while the daily totals are written."""
+    with scratch(spark):  # the report is one row by then
+        _, found = ledger.write_daily_with_quality(views.balances(spark, sf_dir), new_path(spark), purchase="total_purchase_amt", redeem="total_redeem_amt")
+    return found.withColumns({c: F.round(c, 9) for c in ("inconsistent_ratio", "mean_abs_error")})
+
+
+#: Lines of events: every 50th without its last field, every 70th with one more, every 30th with a date that is none, every 90th with an amount that is none.
+_LINES = ("event_id % 50 = 0", "event_id % 70 = 0", "event_id % 30 = 0", "event_id % 90 = 0")
+
+
+@_register(f"""SELECT CASE WHEN {_LINES[0]} OR {_LINES[1]} THEN 'fields' WHEN {_LINES[2]} OR {_LINES[3]} THEN 'value' ELSE 'none' END AS reason,
+CASE WHEN {_LINES[0]} OR {_LINES[1]} THEN '' ELSE concat_ws(',', CASE WHEN {_LINES[2]} THEN 'report_date' END, CASE WHEN {_LINES[3]} THEN 'amount' END) END AS columns, count(*) AS n FROM events GROUP BY ALL""")
+@_settled
+def quarantined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a CSV file by why they are no rows, ``none`` for those that are."""
+    short, long, undated, unpriced = map(F.expr, _LINES)
+    line = F.concat_ws(",", F.when(undated, "20131301").otherwise(F.date_format("ts", "yyyyMMdd")), F.col("user_id").cast("string"), F.when(unpriced, "much").otherwise(F.col("value").cast("string")),
+                       F.when(long, F.concat("event_type", F.lit(",more"))).when(~short, F.col("event_type")))
+    lines = views.table(spark, sf_dir, "events").select(F.when(long & short, F.lit("one field")).otherwise(line).alias("value"))
+    source, into = new_path(spark), new_path(spark)
+    lines.write.text(source)
+    found = checked.read_checked(spark, source, "report_date DATE, user_id BIGINT, amount DOUBLE, event_type STRING", into, header=("report_date", "user_id", "amount", "event_type"))
+    rejected = found.rejected.select("reason", F.array_join("columns", ",").alias("columns"))
+    return rejected.unionByName(found.rows.select(F.lit("none").alias("reason"), F.lit("").alias("columns"))).groupBy("reason", "columns").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_register("""SELECT date, count(*) AS n_rows FROM (SELECT CAST(try_strptime(CASE WHEN event_id % 50 = 0 THEN '20131301' ELSE strftime(ts, '%Y%m%d') END, '%Y%m%d') AS DATE) AS date FROM events)
 WHERE date IS NOT NULL GROUP BY date""")
 def parse_report_date(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,6 +344,30 @@ def daily_features_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_features(features.add_features(views.daily_panel(spark, sf_dir), ["segment"], HOLIDAYS))
 
 
+@_register(with_views("rated") + _features_sql("rated", (*_COUNTS, *_RATES)))
+@_settled
+def daily_features_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of ``daily_features``, by chunks of 500 days."""
+    return _rounded_features(long_series.add_features_in_chunks(views.rated(spark, sf_dir), holiday_dates=HOLIDAYS, chunk_rows=500))
+
+
+@_register(with_views("daily_panel") + _features_sql("daily_panel", _COUNTS, "segment"))
+@_settled
+def daily_features_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of ``daily_features_panel``, written up to February 2000 and brought up to date after."""
+    daily, path = cut_lineage(views.daily_panel(spark, sf_dir)), new_path(spark)
+    write_features(features.add_features(daily.where("date < '2000-02-15'"), ["segment"], HOLIDAYS), path)
+    update_features(path, daily, "2000-02-15", ["segment"], holiday_dates=HOLIDAYS)
+    return _rounded_features(spark.read.parquet(path).drop("month_key"))
+
+
+@_register(with_views("daily_panel") + "SELECT segment, " + ", ".join(f"round(quantile_cont({t}, {q}), 4) AS {t}_{n}" for t in T for n, q in (("lo", 0.01), ("hi", 0.99))) + " FROM daily_panel GROUP BY segment")
+@_settled
+def clip_bounds_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = selection.exact_percentiles(views.daily_panel(spark, sf_dir), T, (0.01, 0.99), ["segment"])
+    return found.select("segment", *(F.round(F.col(t)[i], 4).alias(f"{t}_{n}") for t in T for i, n in enumerate(("lo", "hi"))))
+
+
 @_register(with_views("daily") + "SELECT date, " + ", ".join(f"round(ln(1 + {t}), 9) AS {t}_log, CAST(round(exp(ln(1 + {t})) - 1) AS BIGINT) AS {t}_back" for t in T) + " FROM daily")
 def log_target_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = {t: scores.log_target(F.col(t)) for t in T}
@@ -468,6 +525,31 @@ def time_series_cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.cv_folds(views.daily(spark, sf_dir))
 
 
+@_register(with_views("daily") + """, p AS (SELECT date, purchase, redeem, lag(purchase, 7) OVER (ORDER BY date) AS p7, lag(purchase, 14) OVER (ORDER BY date) AS p14, lag(purchase, 30) OVER (ORDER BY date) AS p30 FROM daily)
+SELECT date, round((p7 + p14) / 2, 6) AS mean, round((p7 + p14) / 2 * 0.75 + p30 * 0.25, 6) AS weighted_mean FROM p WHERE p30 IS NOT NULL""")
+def ensemble_mean_of_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean over an ensemble, with lags as the predictions of its models."""
+    rows = views.daily(spark, sf_dir).select("date", *(c.alias(n) for n, c in features.lags().items())).where("purchase_lag_30 IS NOT NULL")
+    models_, second = [F.col("purchase_lag_7").cast("double"), F.col("purchase_lag_14").cast("double")], F.col("purchase_lag_30")
+    return rows.select("date", F.round(models.mean_prediction(models_), 6).alias("mean"), F.round(models.mean_prediction(models_, second, (0.75, 0.25)), 6).alias("weighted_mean"))
+
+
+# A day without a truth has the machine epsilon below its error: logarithms are compared, as above.
+@_register(with_views("daily") + """, d AS (SELECT *, row_number() OVER (ORDER BY date) AS k, count(*) OVER () AS n, lag(purchase, 7) OVER (ORDER BY date) AS pp, lag(redeem, 7) OVER (ORDER BY date) AS rp FROM daily),
+f AS (SELECT *, n - (4 - fold) * (n // 4) AS cut, n // 4 AS size FROM d, range(1, 4) t(fold)),
+e AS (SELECT fold, avg(abs(pp - purchase) / greatest(abs(CAST(purchase AS DOUBLE)), 2.220446049250313e-16)) AS p, avg(abs(rp - redeem) / greatest(abs(CAST(redeem AS DOUBLE)), 2.220446049250313e-16)) AS r
+      FROM f WHERE k > cut AND k <= cut + size GROUP BY fold)
+SELECT CAST(fold AS INT) AS fold, round(log10(p), 9) AS purchase_log10_mape, round(log10(r), 9) AS redeem_log10_mape, round(log10(0.45 * p + 0.55 * r), 9) AS weighted_log10_mape FROM e""")
+def time_series_cv_lag7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of the folds of ``time_series_cv_folds``, with the value of seven days before as the prediction."""
+    rows = views.daily(spark, sf_dir)
+    folds = models.cv_folds(rows).select("fold", "valid_from", "valid_to")
+    guessed = rows.withColumns({f"{t}_pred": F.lag(t, 7).over(features.in_series()) for t in T})
+    scored = guessed.join(F.broadcast(folds), F.col("date").between(F.col("valid_from"), F.col("valid_to")))  # three folds
+    found = models.fold_errors(scored)
+    return found.select(F.col("fold").cast("int").alias("fold"), *(F.round(F.log10(f"{n}_mape"), 9).alias(f"{n}_log10_mape") for n in (*T, "weighted")))
+
+
 @_register()
 @_settled
 def time_series_cv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -30,8 +31,8 @@ def _typed(name: str, kind, date_format: str) -> Column:  # noqa: ANN001
     return F.try_to_date(given, date_format) if isinstance(kind, DateType) else given if isinstance(kind, StringType) else given.try_cast(kind)
 
 
-def read_checked(spark: SparkSession, path: str | list[str], schema: str | StructType, into: str, encoding: str = "utf-8", date_format: str = "yyyyMMdd", separator: str = ",") -> CheckedTable:
-    """A CSV file with a header as a table under the folder ``into``, and beside it the lines that are no rows of ``schema``.
+def read_checked(spark: SparkSession, path: str | list[str], schema: str | StructType, into: str, encoding: str = "utf-8", date_format: str = "yyyyMMdd", separator: str = ",", header: Sequence[str] | None = None) -> CheckedTable:
+    """A CSV file with a header (or without one, if ``header`` names its columns) as a table under the folder ``into``, and beside it the lines that are no rows of ``schema``.
 
     A line is rejected for the first of these reasons: it has more or fewer ``fields`` than the header; a field holds U+FFFD, the
     sign of another ``encoding``; a field that isn't empty is no ``value`` of its column's type (``columns`` names
@@ -41,9 +42,9 @@ def read_checked(spark: SparkSession, path: str | list[str], schema: str | Struc
     The files are read once: one job writes both parts, parted by reason, and counts them on its way.
     """
     wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    options = {"header": True, "encoding": encoding, "sep": separator}
-    header = spark.read.options(**options).csv(path).columns  # of the first file's first line alone
-    names = [c.strip().removeprefix("﻿") for c in header]
+    options = {"header": header is None, "encoding": encoding, "sep": separator}
+    given = header if header is not None else spark.read.options(**options).csv(path).columns  # the first line alone is read for them
+    names = [c.strip().removeprefix("﻿") for c in given]
     if missing := [f.name for f in wanted if f.name not in names]:
         raise ValueError(f"{path} lacks the columns: {', '.join(missing)}")
     text = StructType([StructField(n, StringType()) for n in [*names, _LINE]])
