@@ -22,11 +22,24 @@ _within: ContextVar[str | None] = ContextVar("_within", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or under the warehouse if that is unset."""
-    root = _within.get() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or under the warehouse if that is unset.
+
+    On a cluster the warehouse must not be on local disks then, which would be different folders on each machine.
+    """
+    root = _within.get() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = qualified(spark, spark.conf.get("spark.sql.warehouse.dir") + "/_shared")
+        if root.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/tideflow-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority that Spark takes it to have."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A folder for all tables made inside, deleted at the end: for work whose result is written elsewhere by then."""

@@ -156,13 +156,12 @@ def _with_a_mention(row: np.ndarray, marks: dict[str, int], terms: Sequence[str]
     return np.union1d(row, [marks[m] for m in _marks(term)])
 
 
-def learn(sample: DataFrame, groups: Sequence[Sequence[str]] = IDENTITY_TERMS, max_marks: int = 4096, least_docs: int = 4, least_z: float = 2.5, **options) -> Model:
+def learn(sample: DataFrame, groups: Sequence[Sequence[str]] = IDENTITY_TERMS, least_docs: int = 4, least_z: float = 2.5, **options) -> Model:
     """A model of ``sample(label, text)``; the sample is bounded, and what reaches the driver is its chosen marks.
 
     Marks in at least ``least_docs`` texts, with a z-value of ``least_z`` or more of their log odds between
-    the labels, counted over the sample on the executors, are chosen, the ``max_marks`` clearest of them:
-    bounds of the model, as ``max_rows`` is one of its sample. The marks of identity terms are always among
-    them. Each text is learned from as it is and with a mention of a group placed in it, under its label,
+    the labels, counted over the sample on the executors, are chosen, all of them: the model is bounded by
+    its sample alone. The marks of identity terms are always among them. Each text is learned from as it is and with a mention of a group placed in it, under its label,
     so that the terms have weights of their own; swaps of terms in it enter the penalty.
     """
     def run(part: pa.RecordBatch) -> dict[str, object]:
@@ -175,17 +174,19 @@ def learn(sample: DataFrame, groups: Sequence[Sequence[str]] = IDENTITY_TERMS, m
     counted = each.groupBy("mark").agg(F.count_if(F.col("label") == 1).alias("b"), F.count_if(F.col("label") == 0).alias("g")).where(F.col("b") + F.col("g") >= least_docs)
     odds = F.log((F.col("b") + 0.5) / (bad - F.col("b") + 0.5)) - F.log((F.col("g") + 0.5) / (good - F.col("g") + 0.5))
     noise = F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("g") + 0.5))
-    chosen = counted.withColumn("z", F.abs(odds / noise)).where(F.col("z") >= least_z).orderBy(F.desc("z"), "mark").limit(max_marks)
-    marks = {r.mark: i for i, r in enumerate(chosen.collect())}
+    chosen = counted.withColumn("z", F.abs(odds / noise)).where(F.col("z") >= least_z).orderBy(F.desc("z"), "mark").select("mark")
+    marks = {m: i for i, m in enumerate(chosen.toArrow().column(0).to_pylist())}
     terms = [t for g in groups for t in g]
     for m in (m for t in terms for m in _marks(t)):
         marks.setdefault(m, len(marks))
-    # At most max_marks and the identity terms.
+    # Marks of the bounded sample and the identity terms.
     wanted = sample.sparkSession.createDataFrame([(m, i) for m, i in marks.items()], "mark string, k int")
     kept = each.join(F.broadcast(wanted), "mark").groupBy("row").agg(F.collect_list("k").alias("ks"))
-    texts = marked.select("row", "label").join(kept, "row", "left").select("label", "ks").collect()
-    rows = [np.array(sorted(r.ks or ()), int) for r in texts]
-    y, swaps = np.array([r.label for r in texts], float), _counterfactuals(rows, marks, groups)
+    texts = marked.select("row", "label").join(kept, "row", "left").select("label", F.coalesce(F.array_sort("ks"), F.array().cast("array<int>")).alias("ks")).toArrow().combine_chunks()
+    listed = texts.column("ks").combine_chunks() if len(texts) else pa.array([], pa.list_(pa.int32()))
+    flat, ends = listed.flatten().to_numpy().astype(np.int64), np.cumsum(listed.value_lengths().to_numpy())
+    rows = np.split(flat, ends[:-1]) if len(ends) else []
+    y, swaps = texts.column("label").to_numpy().astype(float), _counterfactuals(rows, marks, groups)
     placed = [_with_a_mention(r, marks, terms) for r in rows] if terms else []
     weights, base = fit(rows + placed, np.tile(y, 2) if terms else y, swaps, len(marks), **options)
     return Model(marks, weights, base)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import identity, map_slices, materialise, utf8
+from .common import identity, join_spread, map_slices, materialise, utf8
 
 _SPACES = [32, *range(9, 14)]
 _SYMBOLS = list(b"#*$%&|<>")
@@ -111,8 +111,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     counted = document_counts(docs, id_col, text_col, host_col)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     judged = materialise(counted.withColumn("base_failed", failed))
-    hosts = host_verdicts(judged, max_host_rate).select(F.col("host").alias("of_host"), "host_rate", "host_rejected")
-    return judged.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).select(
+    # A key without nulls; rows of a large host are dealt out.
+    of_host = F.coalesce(F.concat(F.lit("="), F.col("host").cast("string")), F.lit("")).alias("of_host")
+    hosts = materialise(host_verdicts(judged, max_host_rate).select(of_host, "host_rate", "host_rejected", F.col("n_docs").alias("n")))
+    told = join_spread(judged.withColumns({"of_host": of_host, "nth": F.monotonically_increasing_id()}), hosts.drop("n"), ["of_host"], hosts.select("of_host", "n"), "nth")
+    return told.select(
         F.col("id").alias(id_col), F.col("host").alias(host_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "host_rate", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), "row", "mark")
 
@@ -122,9 +125,11 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
     Each row by its own verdict: a good row stays where a bad one shares its id, or both ids are null.
     """
-    rejected = judge(docs, id_col, text_col, host_col, **options).where("NOT kept").select(F.col("row").alias("__row"), F.col("mark").alias("__mark")).distinct()
+    bad = judge(docs, id_col, text_col, host_col, **options).where("NOT kept").select(F.col("row").alias("__row"), F.col("mark").alias("__mark"))
+    rejected, keys = materialise(bad.groupBy("__row", "__mark").agg(F.count(F.lit(1)).alias("n"))), ["__row", "__mark"]
     row, mark = identity(F.col(id_col), F.col(text_col), F.col(host_col))
-    return docs.withColumns({"__row": row, "__mark": mark}).join(rejected, ["__row", "__mark"], "left_anti").select(*docs.columns)
+    marked = docs.withColumns({"__row": row, "__mark": mark, "__nth": F.monotonically_increasing_id()})
+    return join_spread(marked, rejected.select(*keys), keys, rejected, "__nth", "left_anti").select(*docs.columns)
 
 
 #: DuckDB; the thresholds are those of ``judge``.

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import materialise, qualified, shared_dir
 
 _MAGIC = b"TFWM0002"
 #: Bits of a plane that are compressed together: 64 KB.
@@ -314,7 +314,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str | None = Non
     lies in one shard, which it may make larger. Other columns are ignored.
     """
     spark = docs.sparkSession
-    out_dir = out_dir or shared_dir(spark)
+    out_dir = qualified(spark, out_dir or shared_dir(spark))  # as Spark reads it, for those who don't ask Spark
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seq = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
