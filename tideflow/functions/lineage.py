@@ -14,7 +14,13 @@ _within: ContextVar[str | None] = ContextVar("_lineage_within", default=None)
 
 
 def _root(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_lineage").rstrip("/")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir") + "/_lineage")
+        root = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+        if root.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return root.rstrip("/")
 
 
 def new_path(spark: SparkSession, keep: bool = False) -> str:
