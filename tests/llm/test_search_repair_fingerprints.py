@@ -295,14 +295,43 @@ def test_repeated_rows_do_not_multiply_contexts(spark, monkeypatch):
     rows = [(None, copy)] * 2000 + [(1, f"{word()} {passage}"), (2, f"{passage} {word()}"), (3, None), (3, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     compare, crowds = suffix_family._same_bytes, []
-    monkeypatch.setattr(suffix_family, "_same_bytes", lambda contexts, length: crowds.append(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("n_contexts").alias("of")).collect()) or compare(contexts, length))
+    monkeypatch.setattr(suffix_family, "_same_bytes", lambda contexts, length: crowds.append(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("bytes").alias("of")).collect()) or compare(contexts, length))
     got = suffix_family.digests(suffix_family.remove_repeats(docs)).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
     assert {tuple(r) for r in got} == {(None, len(copy), len(copy), 1, 2000), (1, len(passage) + 7, len(passage), 1, 1), (2, len(passage) + 7, len(passage) + 1, 1, 1), (3, 0, 0, 0, 2)}
-    assert crowds[0] and all(r.n <= r.of <= 3 for r in crowds[0])
+    assert crowds[0] and all(r.n == r.of <= 3 for r in crowds[0])
     cut = suffix_family.cut_texts(docs.withColumns({"row": F.lit(1), "n_chars": F.length("text")}))
     assert cut.columns == ["doc_id", "text", "row", "n_chars"] and cut.where("text = ''").count() == 2001 and cut.where("text IS NULL").count() == 1
 
 
+def test_crowded_keys_are_narrowed(spark, monkeypatch):
+    """Hundreds of different contexts of one anchor: some share a string of 200 bytes with another, most only what is around the anchor."""
+    from tideflow.llm import suffix_family
+
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    middle, left, right = word(120), word(90), word(90)
+    texts = [word(150) + middle + word(150) for _ in range(300)] + [word(60) + left + middle + word(150) for _ in range(30)] + [word(150) + middle + right + word(60) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+
+    def removed(text, others):
+        gone = [False] * len(text)
+        for i in range(len(text) - 199):
+            if text[i : i + 200] in others:
+                gone[i : i + 200] = [True] * 200
+        return sum(gone)
+
+    seen = Counter(w for t in texts for w in {t[i : i + 200] for i in range(len(t) - 199)})
+    repeated = {w for w, n in seen.items() if n > 1}
+    expected = {i: removed(t, repeated) for i, t in enumerate(texts)}
+    assert sum(map(bool, expected.values())) == 60
+    digests, strings = suffix_family._same_digests, []
+    monkeypatch.setattr(suffix_family, "_same_digests", lambda contexts, length: strings.append(contexts.count()) or digests(contexts, length))
+    for crowd in (400, 40, 10):
+        got = suffix_family.digests(suffix_family.remove_repeats(docs, crowd=crowd)).collect()
+        assert {r.doc_id: r.n_removed for r in got} == expected
+    assert strings[0] == strings[1] == 0 and 0 < strings[2] <= 400  # narrower keys are enough, but where thirty share one
+
+
 def test_url_rules_at_the_last_character_and_on_odd_rows(spark):
     from tideflow.llm import url_filter
 

@@ -229,8 +229,23 @@ def _starts_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(("row", "mark", "lo", "hi"))})
 
 
+def _narrowed(contexts: DataFrame, length: int) -> DataFrame:
+    """``contexts(key, row, place, bytes)`` under narrower keys, with ``n``, the contexts under each; those that are alone there go.
+
+    A common string of ``length`` bytes holds the anchor and, before it or after it, at least half of the other bytes. So a context is
+    put under the hash of the half before its anchor and of that after it, where it has as many bytes, and two with a common string meet.
+    """
+    half = -(-(length - KEY_BYTES) // 2)
+    before, size = F.col("place").bitwiseAND(F.lit(0xFF)).cast("int"), F.octet_length("bytes")
+    sides = ((0, before - half, before >= half), (1, before + KEY_BYTES, size - before - KEY_BYTES >= half))
+    under = F.array_compact(F.array(*(F.when(there, F.xxhash64("key", F.lit(side), F.substring(F.col("bytes"), at + 1, F.lit(half)))) for side, at, there in sides)))
+    each = contexts.select(F.explode(under).alias("key"), "row", "place", "bytes")
+    sizes = materialise(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return join_spread(each.withColumn("nth", F.xxhash64("row", "place")), sizes, ["key"], sizes, "nth").drop("nth")
+
+
 def _same_digests(contexts: DataFrame, length: int) -> DataFrame:
-    """As ``_same_bytes``, for keys with so many contexts that they are dealt out: by counted digests of their strings."""
+    """As ``_same_bytes``, for keys with so many contexts that they are dealt out: by counted digests of their strings, some 65 a context."""
 
     def strings(part: pa.RecordBatch) -> dict[str, object]:
         out = []
@@ -248,7 +263,7 @@ def _same_digests(contexts: DataFrame, length: int) -> DataFrame:
     return found.select("row", "mark", F.col("start").alias("lo"), F.col("start").alias("hi"))
 
 
-def repeated_starts(docs: DataFrame, id_col: str, text_col: str, length: int = 200, batches: int | None = None, crowd: int = 2_000) -> DataFrame:
+def repeated_starts(docs: DataFrame, id_col: str, text_col: str, length: int = 200, batches: int | None = None, crowd: int = 256) -> DataFrame:
     """``(row, mark, lo, hi)``: in the rows of ``_keyed``, the starts lo..hi of strings that start anywhere else too."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
@@ -292,8 +307,11 @@ def repeated_starts(docs: DataFrame, id_col: str, text_col: str, length: int = 2
     texts = one_of_each(keyed.select("text", "row", "mark"), ["row", "mark"]).join(wanted, ["row", "mark"]).select("text", "row", "anchors")
     contexts = materialise(map_slices(texts, cut, "key bigint, n_contexts bigint, row bigint, place bigint, bytes binary"))
     release(spark)
-    few = materialise(_same_bytes(contexts.where(F.col("n_contexts") <= crowd), length))
-    many = materialise(_same_digests(contexts.where(F.col("n_contexts") > crowd), length))
+    narrowed = materialise(_narrowed(contexts.where(F.col("n_contexts") > crowd), length))
+    columns = ["key", "row", "place", "bytes"]
+    few = contexts.where(F.col("n_contexts") <= crowd).select(*columns).unionByName(narrowed.where(F.col("n") <= crowd).select(*columns))
+    few = materialise(_same_bytes(few, length))
+    many = materialise(_same_digests(narrowed.where(F.col("n") > crowd), length))
     release(spark)
     return whole.unionByName(few).unionByName(many)
 
@@ -320,7 +338,7 @@ def _with_starts(rows: DataFrame, starts: DataFrame) -> DataFrame:
     return join_spread(rows.withColumn("__nth", F.monotonically_increasing_id()), listed, keys, sizes, "__nth", "left").drop("__nth", *keys)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batches: int | None = None, crowd: int = 2_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batches: int | None = None, crowd: int = 256) -> DataFrame:
     """One row for each document: id, ``n_bytes``, ``spans ARRAY<STRUCT<lo, hi>>`` and ``kept BINARY``.
 
     ``spans`` are the maximal runs of bytes that lie in a string of ``length`` bytes which also starts
@@ -329,7 +347,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no rows; other columns are ignored. A very long text is hashed by pieces and held whole only to be cut.
     ``batches`` is how many batches the family takes in, by default two and one more each time the input
     doubles from 4 million anchors on. The contexts of one key meet in one task, which compares their bytes;
-    a key with over ``crowd`` different ones is compared by counted 128-bit digests instead, dealt out by
+    those of a key with over ``crowd`` different ones are put under narrower keys, two at most for each (``_narrowed``),
+    and of those that have over ``crowd``, too, the strings are compared by counted 128-bit digests, dealt out by
     them. The result depends on neither.
     """
     starts = repeated_starts(docs, id_col, text_col, length, batches, crowd)
@@ -353,7 +372,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return map_slices(texts, cut, f"id {kind}, n_bytes bigint, spans array<struct<lo: bigint, hi: bigint>>, kept binary").withColumnRenamed("id", id_col)
 
 
-def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", length: int = 200, batches: int | None = None, crowd: int = 2_000) -> DataFrame:
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", length: int = 200, batches: int | None = None, crowd: int = 256) -> DataFrame:
     """``docs`` with the repeated strings of ``remove_repeats`` cut out of the texts, and ``size_col`` counted anew where there is one.
 
     Characters that lose some of their bytes to a cut go wholly. No document goes; a text that lost
