@@ -133,7 +133,7 @@ def _removed(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize(("batches", "crowd"), [(None, 256), (8, 256), (3, 1), (2, 2)])
+@pytest.mark.parametrize(("batches", "crowd"), [(None, 2_000), (8, 2_000), (3, 1), (2, 2)])
 def test_suffix_family(docs, texts, none, batches, crowd):
     everything = [*texts, texts[5]]
     expected = {100 - i if i < len(texts) else 95: e for i, e in enumerate(_removed(everything))}
