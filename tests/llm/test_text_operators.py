@@ -443,6 +443,22 @@ def test_mix(spark, docs, none, data_dir):
     assert len({(s, p) for _, s, p, _ in places}) == 18 and max(p for *_, p, _ in places) == 3
 
 
+def test_mix_deals_out_the_rows_of_one_id(spark):
+    """A third of all rows has no id: they fall into many windows, and every row still has the place that the order of the ids gives it."""
+    rows = spark.range(6000).selectExpr("IF(id % 3 = 0, null, id % 4500) AS doc_id", "IF(id % 3 = 1, 's1', 's0') AS source").repartition(4)
+    ordered = rows.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    expected = sorted((r.source, r.order) for r in ordered.collect())
+    mixed = source_mix.mix(rows, {"s0": 3, "s1": 1}, block_docs=4)
+    found = sorted((r.source, r.block * 4 + r.place, r.order) for r in mixed.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).collect())
+    assert [(s, o) for s, _, o in found] == expected
+    assert [n for s, n, _ in found if s == "s0"] == list(range(4000)) and [n for s, n, _ in found if s == "s1"] == list(range(2000))
+    assert "Python" not in mixed._jdf.queryExecution().executedPlan().toString()
+    keyed = rows.select(F.when(F.col("source") == "s0", 0).otherwise(1).alias("__class"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("__order"))
+    keyed = keyed.withColumn("__prefix", F.substring("__order", 1, 3))
+    parted, parts = source_mix._dealt(keyed, keyed.groupBy("__class", "__prefix").agg(F.count(F.lit(1)).alias("__n")), 6000)
+    assert parted.groupBy("__class", *parts).count().agg(F.max("count")).first()[0] <= 20
+
+
 def test_schedule_with_large_weights():
     assert source_mix.schedule([6, 2], [3_000_000, 1_000_000]) == source_mix.schedule([6, 2], [3, 1])
     phases = source_mix.schedule([10, 1, 3], [10**9, 1, 10**9 - 7])  # far more slots in a period than blocks

@@ -24,7 +24,7 @@ def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix(table(spark, sf_dir, "documents"), source_mix.WEIGHTS, source_mix.REST_WEIGHT).select("doc_id", "source", "block", "slot")
+    return source_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), source_mix.WEIGHTS, source_mix.REST_WEIGHT).select("doc_id", "source", "block", "slot")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 
 def _period(weights: list[int], most: int) -> list[list[int]]:
     """For each class the slots of one period, or its first ``most``, by earliest deadline first among the released.
@@ -64,6 +66,34 @@ def _table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFram
     return spark.range(1).select(F.inline(F.array(*(F.struct(*(literal(v).alias(n) for v, n in zip(r, names, strict=True))) for r in rows))))
 
 
+def _dealt(rows: DataFrame, counts: DataFrame, total: int) -> tuple[DataFrame, list[str]]:
+    """``rows`` and the columns that part a class into ranges of ``__order``, none of which holds an id with a large share of all rows.
+
+    The parts are the prefixes. A prefix that holds ids with over a thousandth of the rows (there are less
+    than a thousand of them) is parted further: the ranges between such ids, and each such id, whose rows
+    are dealt over as many pieces as it has thousandths. Only then the rows are written first, so that
+    the number by which a row is dealt stays the same.
+    """
+    n = F.col("__n")
+    large = (n > 1) & (n * 1000 > total)
+    crowded = [tuple(r) for r in counts.where(large).select("__class", "__prefix").collect()]
+    if not crowded:
+        return rows, ["__prefix"]
+    spark, keys = rows.sparkSession, ["__class", "__prefix"]
+    within = rows.join(F.broadcast(_table(spark, crowded, keys)), keys)
+    ids = within.groupBy(*keys, "__order").agg(F.count(F.lit(1)).alias("__n")).where(large).select(*keys, "__order", F.ceil(n * 1000 / total).cast("int")).collect()
+    if not ids:
+        return rows, ["__prefix"]
+    # Less than a thousand ids in all.
+    hot = _table(spark, [tuple(r) for r in ids], [*keys, "__id", "__of"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__id", "__of"))).alias("__hot"))
+    rows = materialise(rows.withColumn("__nth", F.monotonically_increasing_id())).join(F.broadcast(hot), keys, "left")
+    of = F.get(F.filter("__hot", lambda x: x["__id"] == F.col("__order")), F.lit(0))["__of"]
+    smaller = F.size(F.filter(F.coalesce("__hot", F.array().cast(hot.schema["__hot"].dataType)), lambda x: x["__id"] < F.col("__order")))
+    segment = 2 * smaller + F.when(of.isNotNull(), 1).otherwise(0)
+    rows = rows.withColumns({"__segment": segment, "__piece": F.coalesce(F.pmod("__nth", of), F.lit(0))})
+    return rows.drop("__hot", "__nth"), ["__prefix", "__segment", "__piece"]
+
+
 def mix(docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, block_docs: int = 16, id_col: str = "doc_id", source_col: str = "source",
         into: tuple[str, str, str] = ("block", "slot", "place")) -> DataFrame:
     """``docs`` with ``block``, ``slot`` and ``place``, or the names in ``into``: all rows in a mix of sources to target weights.
@@ -80,9 +110,9 @@ def mix(docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, block_do
 
     The numbering is in two steps, so that no task holds a source: rows are numbered within a source
     and a three-digit prefix of the MD5, and the counts of the 4,096 prefixes are added up per source.
-    Only rows that share one id, null included, meet in one task. The schedule is made on the driver from
-    one count for each class, in a time that grows with the sum of the weights over their common divisor
-    (about a second for a million), and enters the plan as literals.
+    Rows of an id that over a thousandth of all rows share, null included, are dealt out (``_dealt``). The
+    schedule is made on the driver from one count for each class, in a time that grows with the sum of the
+    weights over their common divisor (about a second for a million), and enters the plan as literals.
     """
     if not all(isinstance(w, int) and w > 0 for w in [*weights.values(), rest_weight]):
         raise ValueError("weights must be positive integers")
@@ -99,11 +129,13 @@ def mix(docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, block_do
     if not phases:
         none = F.lit(None).cast("bigint")
         return docs.select(*kept, *(none.alias(n) for n in into)).limit(0)
-    by_prefix = Window.partitionBy("__class").orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("__class", "__prefix", F.coalesce(F.sum("__n").over(by_prefix), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__class", "__prefix").orderBy("__order", id_col))
-    # 4,096 rows for each class at most, and one for each class and phase: both bounded by the weights.
-    numbered = rows.withColumn("__inside", inside - 1).join(F.broadcast(before), ["__class", "__prefix"])
+    rows, parts = _dealt(rows, counts, sum(totals.values()))
+    counts = rows.groupBy("__class", *parts).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("__class").orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__class", *parts, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__class", *parts).orderBy("__order", id_col))
+    # 4,096 rows for each class at most with some 4,000 for the ids that are dealt out, and one for each class and phase: all bounded by the weights.
+    numbered = rows.withColumn("__inside", inside - 1).join(F.broadcast(before), ["__class", *parts])
     numbered = numbered.withColumn("__at", F.col("__before") + F.col("__inside")).withColumn("__block", F.floor(F.col("__at") / block_docs))
     plan = _table(spark, phases, ["__of_class", "__first", "__end", "__base", "__weight", "__period", "__slots"])
     i = F.col("__block") - F.col("__first")
