@@ -91,21 +91,25 @@ def _cosines(q: np.ndarray, x: np.ndarray, at: np.ndarray, of: np.ndarray) -> np
 
 def _nearest(entries: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     """``(query, uid, score)``: of a block's entries the k best in the buckets that each query asks for, ties to the smaller uid."""
-    uid, query, keys = entries["uid"].to_numpy(), asked["query"].to_numpy(), asked["keys"]
-    kinds, kind = np.unique(entries["key"].to_numpy(), return_inverse=True)
+    query, keys = asked["query"].to_numpy(), asked["keys"]
+    entries = entries.sort_by("key")  # a bucket is a range of rows
+    uid, kinds, begins = entries["uid"].to_numpy(), *np.unique(entries["key"].to_numpy(), return_index=True)
     of_size, out = dict((x.shape[1], (rows, _scaled(x))) for rows, x in _by_size(entries["v"])), []
     for asking, q in _by_size(asked["qv"]):
         if q.shape[1] not in of_size:
             continue
         rows, x = of_size[q.shape[1]]
         q, x_unit = _scaled(q), _unit(x)
+        ends = [*np.searchsorted(rows, begins), len(rows)]
         for lo in range(0, len(asking), 512):
             part, these = q[lo : lo + 512], asking[lo : lo + 512]
             open_ = np.zeros((len(part), len(kinds)), bool)
             for i, wanted in enumerate(keys.take(pa.array(these)).to_pylist()):
                 open_[i] = True if wanted is None else np.isin(kinds, wanted)
-            rough = _unit(part) @ x_unit.T
-            rough[~open_[:, kind[rows]]] = -np.inf
+            unit, rough = _unit(part), np.full((len(part), len(rows)), -np.inf)
+            for b in np.flatnonzero(open_.any(0)):
+                asks, inside = np.flatnonzero(open_[:, b]), slice(ends[b], ends[b + 1])
+                rough[asks, inside] = unit[asks] @ x_unit[inside].T
             m = min(k, len(rows))
             # The product rounds otherwise than the score: whatever may be among the m best by the score is kept, ties too.
             cut = np.partition(rough, len(rows) - m, axis=1)[:, len(rows) - m]
