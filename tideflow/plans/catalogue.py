@@ -488,9 +488,14 @@ def postprocess_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ready.select("date", *(F.round(forecast.post_process(F.col(f"{t}_pred"), F.col(f"{t}_mean"), F.col(f"{t}_lo"), F.col(f"{t}_hi"), F.when(last, F.lit(b)).otherwise(F.lit(1.0))), 2).alias(f"{t}_pred") for t, b in (("purchase", 1.2), ("redeem", 1.3))))
 
 
+def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily totals of the segments. Forecasts see no counts of a day, and to count its users all records would be shuffled once more."""
+    return views.daily_panel(spark, sf_dir).select("segment", "date", *T)
+
+
 def _panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     """Features of the segments, written once, and the columns that models see."""
-    rows = cut_lineage(features.add_features(views.daily_panel(spark, sf_dir), ["segment"], HOLIDAYS))
+    rows = cut_lineage(features.add_features(_totals(spark, sf_dir), ["segment"], HOLIDAYS))
     return rows, features.model_columns(rows, ["segment"])
 
 
@@ -627,7 +632,7 @@ _LAG7 = with_views("daily_panel").replace("WITH", "WITH RECURSIVE", 1) + f", s A
 
 
 def _forecast_lag7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cut_lineage(views.daily_panel(spark, sf_dir))
+    rows = cut_lineage(_totals(spark, sf_dir))
     state = forecast.with_bounds(forecast.start_state(rows, ["segment"]), rows, ["segment"])
     return forecast.recursive_forecast(state, _lag7, 30, ["segment"], HOLIDAYS)
 
@@ -652,7 +657,7 @@ _BACKTEST = (with_views("daily_panel").replace("WITH", "WITH RECURSIVE", 1) + f"
 
 
 def _backtest_lag7(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return backtest.rolling_backtest(cut_lineage(views.daily_panel(spark, sf_dir)), _MONTHS, ["segment"], holiday_dates=HOLIDAYS, predictor=_lag7)
+    return backtest.rolling_backtest(cut_lineage(_totals(spark, sf_dir)), _MONTHS, ["segment"], holiday_dates=HOLIDAYS, predictor=_lag7)
 
 
 @_register(_BACKTEST + " SELECT fold, segment, strategy, date, purchase_true, round(purchase_pred, 2) AS purchase_pred, redeem_true, round(redeem_pred, 2) AS redeem_pred FROM forecast")

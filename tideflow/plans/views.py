@@ -59,11 +59,11 @@ def _cents(c: str) -> F.Column:
 
 
 def txn(spark: SparkSession, sf_dir: str, segments: bool = False) -> DataFrame:
-    """Line items as ledger rows; the customers are joined only where their segment is asked for."""
+    """Line items as ledger rows; the customers are joined only where their segment is asked for, and to the orders, so that line items are shuffled once."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
     if segments:
-        rows = rows.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        orders = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     returned = F.col("l_returnflag") == "R"
     return rows.select(F.col("l_shipdate").cast("date").alias("date"), F.col("o_custkey").alias("user_id"), *([F.col("c_mktsegment").alias("segment")] if segments else []),
                        F.when(~returned, _cents("l_extendedprice")).otherwise(0).alias("purchase_amt"), F.when(returned, _cents("l_extendedprice")).otherwise(0).alias("redeem_amt"))
